@@ -1,5 +1,9 @@
 """Joining externally generated texts back to their requests.
 
+Both sides of these joins grow with the corpus, and a planner's estimate does not see how far
+an ``explode`` multiplies rows. The joins ask for a sort-merge, so neither side is ever
+broadcast on a wrong guess; adaptive execution still splits a skewed partition.
+
 ``completions (run, story_id, position, sample_idx, raw_text)`` comes from the generation
 engine: one row per sample of a request. Rows delivered twice are the same row.
 """
@@ -53,7 +57,7 @@ def attach_completions(
     Both sides meet on the full request key, so one aggregation shuffle serves the join too.
     """
     answers = gather_samples(clean_completions(completions, runs, registry))
-    return requests.join(answers, KEYS, "left").withColumn(
+    return requests.join(answers.hint("merge"), KEYS, "left").withColumn(
         "continuations", F.coalesce("continuations", F.array().cast("array<string>"))
     )
 
@@ -72,7 +76,7 @@ def finetune_rows(attached: DataFrame, cut_texts: DataFrame) -> DataFrame:
     texts = cut_texts.select("story_id", "position", "prefix", "ground_truth_continuation")
     return (
         attached.select(*KEYS, "continuations")
-        .join(texts, ["story_id", "position"])
+        .join(texts.hint("merge"), ["story_id", "position"])
         .select(
             *KEYS,
             "prefix",

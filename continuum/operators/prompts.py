@@ -67,7 +67,7 @@ def export_prompts(requests: DataFrame, cut_texts: DataFrame) -> DataFrame:
     base = F.col("prompt_mode") == "base_raw"
     chat = messages(F.col("target_n_words"), F.col("prefix"))
     texts = cut_texts.select("story_id", "position", "prefix")
-    return requests.join(texts, ["story_id", "position"]).select(
+    return requests.join(texts.hint("merge"), ["story_id", "position"]).select(
         "run",
         "story_id",
         "position",

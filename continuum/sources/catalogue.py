@@ -192,15 +192,17 @@ def run_table(spark: SparkSession, runs: Sequence[Run] = RUNS, registry: Sequenc
     return F.broadcast(with_run_flags(dimension(spark, runs, _RUN_SCHEMA), registry))
 
 
-def run_structs(runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS) -> Column:
-    """The catalogue as one literal array, for fanning rows out over runs without a join."""
+def run_structs(
+    fields: Sequence[str], runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS
+) -> Column:
+    """The named fields of all runs as one literal array."""
     _check_size(runs)
     by_name = {m.model: m for m in registry}
     rows = []
     for r in runs:
         m = by_name.get(r.model, Model(r.model))
         thinks = m.is_reasoning and r.thinking
-        fields = {
+        known = {
             "run_no": F.lit(r.run_no),
             "run": F.lit(r.run),
             "model": F.lit(r.model),
@@ -212,7 +214,7 @@ def run_structs(runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS)
             "quantization": F.lit(r.quantization).cast("string"),
             "max_tokens_mult": F.lit(float(r.max_tokens_mult)),
         }
-        rows.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
+        rows.append(F.struct(*[known[f].alias(f) for f in fields]))
     return F.array(*rows)
 
 
@@ -220,8 +222,7 @@ def fan_out(
     df: DataFrame, fields: Sequence[str], runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS
 ) -> DataFrame:
     """One row per input row and run, with the named run fields. Narrow: no join, no shuffle."""
-    picked = F.transform(run_structs(runs, registry), lambda r: F.struct(*[r[f].alias(f) for f in fields]))
-    return df.select("*", F.inline(picked))
+    return df.select("*", F.inline(run_structs(fields, runs, registry)))
 
 
 def stripping_runs(runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS) -> list[str]:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.functions.text import zero_fill
 from continuum.operators.joins import anti_join
 
 SUFFIX = ".txt"
@@ -83,14 +82,27 @@ def read_table_corpus(
     id_column: str = "story_id",
     text_column: str = "text",
     file_format: str = "parquet",
+    min_partitions: int = 0,
 ) -> DataFrame:
-    """Stories from a columnar table: the layout to use beyond a few thousand stories."""
+    """Stories from a columnar table: the layout to use beyond a few thousand stories.
+
+    A table of few files is read by few tasks; ``min_partitions`` spreads such a table, which
+    is small by definition, by id. A large table has more partitions and is never shuffled.
+    """
     rows = spark.read.format(file_format).load(path)
-    return rows.select(
-        zero_fill(F.col(id_column).cast("string"), ID_WIDTH).alias("story_id"),
+    narrow = rows.rdd.getNumPartitions() < min_partitions
+    rows = rows.select(
+        pad_id(F.col(id_column)).alias("story_id"),
         F.col("_metadata.file_path").alias("source_file"),
         F.col(text_column).alias("text"),
     )
+    return rows.repartition(min_partitions, "story_id") if narrow else rows
+
+
+def pad_id(number: Column) -> Column:
+    """A numeric id as text of at least five digits."""
+    digits = number.cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(ID_WIDTH) - F.length(digits), F.lit(0))), digits)
 
 
 def write_table_corpus(stories: DataFrame, path: str, *, max_records_per_file: int = 0) -> None:

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from continuum.functions.text import zero_fill
-from continuum.sources.corpus import ID_WIDTH, SUFFIX, story_id_of
+from continuum.sources.corpus import SUFFIX, pad_id, story_id_of
 
 
 def stream_table_corpus(
@@ -33,7 +32,7 @@ def stream_table_corpus(
         .parquet(folder)
     )
     return rows.select(
-        zero_fill(F.col(id_column).cast("string"), ID_WIDTH).alias("story_id"),
+        pad_id(F.col(id_column)).alias("story_id"),
         F.col(text_column).alias("text"),
     )
 

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.functions.text import zero_fill
 from continuum.operators.ordering import with_global_index
 from continuum.sources.catalogue import fan_out
-from continuum.sources.corpus import ID_WIDTH, read_table_corpus
+from continuum.sources.corpus import pad_id, read_table_corpus
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table_corpus(spark, f"{sf_dir}/documents.parquet", id_column="doc_id")
+    return read_table_corpus(
+        spark,
+        f"{sf_dir}/documents.parquet",
+        id_column="doc_id",
+        min_partitions=spark.sparkContext.defaultParallelism,
+    )
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(story_id, quality)`` of the labelled documents; as a done-set, that of one run."""
     table = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return table.select(zero_fill(F.col("doc_id").cast("string"), ID_WIDTH).alias("story_id"), "quality")
+    return table.select(pad_id(F.col("doc_id")).alias("story_id"), "quality")
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +60,13 @@ def completions(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFr
         .otherwise(F.concat(F.lit("<think>cut off "), "text"))
     )
     samples = F.explode(F.sequence(F.lit(0), F.col("n_continuations") - 1)).alias("sample_idx")
+    # One small file means one task; spread the narrow keys before texts are put on them.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = requests.select("run", "run_no", "story_id", "position", "n_continuations")
     return (
-        requests.select("run", "run_no", "story_id", "position", samples)
+        keys.repartition(width, "story_id", "position")
+        .select("run", "run_no", "story_id", "position", samples)
         .withColumn("k", k)
-        .join(turns, "k")
+        .join(turns.hint("merge"), "k")
         .select("run", "story_id", "position", "sample_idx", raw.alias("raw_text"))
     )

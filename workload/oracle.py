@@ -343,7 +343,7 @@ ORACLE_SQL: dict[str, str] = {
         *_REQ,
         """SELECT run, story_id, position, CASE WHEN prompt_mode = 'base_raw' THEN md5(prefix) END AS prompt_md5,
   CASE WHEN prompt_mode <> 'base_raw' THEN md5(user_text) END AS user_md5,
-  CASE WHEN is_reasoning THEN enable_thinking END AS enable_thinking, max_tokens FROM requests""",
+  CASE WHEN is_reasoning THEN CAST(enable_thinking AS VARCHAR) END AS enable_thinking, max_tokens FROM requests""",
     ),
     "attach_completions": _with(
         *_ANS, "SELECT run, story_id, position, sample_idx, continuation FROM answers"

@@ -227,7 +227,7 @@ def export_prompts(spark, d):
         "position",
         _md5(F.col("prompt")).alias("prompt_md5"),
         _md5(F.col("messages")[1]["content"]).alias("user_md5"),
-        "enable_thinking",
+        F.col("enable_thinking").cast("string").alias("enable_thinking"),
         "max_tokens",
     )
 
