@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from continuum.sources.catalogue import COMPARISON_GROUPS, RUNS, GroupMember, Run, group_members
@@ -14,7 +15,7 @@ STAGE_SIDES = ("base", "sft", "dpo", "final")
 
 
 def align(
-    attached: DataFrame,
+    cleaned: DataFrame,
     kind: str,
     sides: Sequence[str],
     members: Sequence[GroupMember] = COMPARISON_GROUPS,
@@ -22,31 +23,36 @@ def align(
 ) -> DataFrame:
     """``(group_id, story_id, position, <side> array<string>...)`` where every side is present.
 
-    One shuffle, with one slot per side, in place of a self-join per side. The group table is
-    configuration and broadcast; a group of keys has as many rows as there are sides.
+    ``cleaned`` holds one row per sample. One aggregation shuffle replaces a self-join per side;
+    a key has sides x samples rows, and copies of a row fold before the shuffle. The group table
+    is configuration and broadcast.
     """
-    groups = group_members(attached.sparkSession, kind, members, runs)
-    slots = [
-        F.max(F.when(F.col("ord") == i, F.col("continuations"))).alias(side)
-        for i, side in enumerate(sides, start=1)
-    ]
-    present = F.lit(True)
-    for side in sides:
-        present = present & F.col(side).isNotNull()
-    return (
-        attached.select("run", "story_id", "position", "continuations")
-        .join(groups, "run")
+    groups = group_members(cleaned.sparkSession, kind, members, runs)
+    bags = (
+        cleaned.join(groups, "run")
         .groupBy("group_id", "story_id", "position")
-        .agg(*slots)
-        .filter(present)
+        .agg(F.sort_array(F.collect_set(F.struct("ord", "sample_idx", "continuation"))).alias("bag"))
     )
+    aligned = bags.select(
+        "group_id",
+        "story_id",
+        "position",
+        *[_side(i).alias(side) for i, side in enumerate(sides, start=1)],
+    )
+    present = [F.size(side) > 0 for side in sides]
+    return aligned.filter(reduce(Column.__and__, present))
+
+
+def _side(ord_: int) -> Column:
+    mine = F.filter("bag", lambda b: b["ord"] == ord_)
+    return F.transform(mine, lambda b: b["continuation"])
 
 
-def compare_pairs(attached: DataFrame, **config) -> DataFrame:
+def compare_pairs(cleaned: DataFrame, **config) -> DataFrame:
     """Base against instruct, thinking off against on."""
-    return align(attached, "pair", PAIR_SIDES, **config)
+    return align(cleaned, "pair", PAIR_SIDES, **config)
 
 
-def compare_stages(attached: DataFrame, **config) -> DataFrame:
+def compare_stages(cleaned: DataFrame, **config) -> DataFrame:
     """The two chains base, SFT, DPO, final."""
-    return align(attached, "stages", STAGE_SIDES, **config)
+    return align(cleaned, "stages", STAGE_SIDES, **config)

@@ -67,20 +67,15 @@ def sample_rows(attached: DataFrame) -> DataFrame:
     return attached.select(*KEYS, F.posexplode("continuations").alias("sample_idx", "continuation"))
 
 
-def finetune_rows(attached: DataFrame, cut_texts: DataFrame) -> DataFrame:
+def finetune_rows(cleaned: DataFrame, cut_texts: DataFrame) -> DataFrame:
     """Self-contained rows: context, real rest and one alternative each.
 
-    Texts are joined per (story, cut), then samples are unfolded after the join, so neither
-    the prefix nor the rest is shuffled once per sample.
+    One join on (story, cut): each continuation and each text is shuffled once, and a text meets
+    its samples only in the join's output. Copies from repeated delivery are dropped on the same
+    partitioning, and before the long texts are put on.
     """
     texts = cut_texts.select("story_id", "position", "prefix", "ground_truth_continuation")
-    return (
-        attached.select(*KEYS, "continuations")
-        .join(texts.hint("merge"), ["story_id", "position"])
-        .select(
-            *KEYS,
-            "prefix",
-            "ground_truth_continuation",
-            F.posexplode("continuations").alias("sample_idx", "continuation"),
-        )
+    once = cleaned.repartition("story_id", "position").dropDuplicates([*KEYS, "sample_idx", "continuation"])
+    return once.join(texts.hint("merge"), ["story_id", "position"]).select(
+        *KEYS, "sample_idx", "prefix", "ground_truth_continuation", "continuation"
     )

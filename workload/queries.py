@@ -240,12 +240,20 @@ def answered(spark, d):
     return study.answered_requests(s, fixtures.completions(spark, d, study.open_requests(s)))
 
 
+def raw_completions(spark, d):
+    return fixtures.completions(spark, d, study.open_requests(fixtures.stories(spark, d)))
+
+
+def cleaned(spark, d):
+    return C.clean_completions(raw_completions(spark, d))
+
+
 def attach_completions(spark, d):
     return C.sample_rows(answered(spark, d))
 
 
 def finetune_rows(spark, d):
-    rows = C.finetune_rows(answered(spark, d), cut_texts(spark, d))
+    rows = C.finetune_rows(cleaned(spark, d), cut_texts(spark, d))
     return rows.select(
         "run",
         "story_id",
@@ -297,12 +305,12 @@ def _joined(side: str) -> Column:
 
 
 def compare_pairs(spark, d):
-    rows = compare.compare_pairs(answered(spark, d))
+    rows = compare.compare_pairs(cleaned(spark, d))
     return rows.select("group_id", "story_id", "position", *[_joined(s) for s in compare.PAIR_SIDES])
 
 
 def compare_stages(spark, d):
-    rows = compare.compare_stages(answered(spark, d))
+    rows = compare.compare_stages(cleaned(spark, d))
     return rows.select("group_id", "story_id", "position", *[_joined(s) for s in compare.STAGE_SIDES])
 
 
@@ -332,15 +340,16 @@ def check_model_class(spark, d):
 
 
 def check_think_leak(spark, d):
-    return checks.check_think_leak(answered(spark, d))
+    return checks.check_think_leak(cleaned(spark, d))
 
 
 def check_output_count(spark, d):
-    return checks.check_output_count(answered(spark, d))
+    open_ = study.open_requests(fixtures.stories(spark, d))
+    return checks.check_output_count(open_, fixtures.completions(spark, d, open_))
 
 
 def check_empty_output(spark, d):
-    return checks.check_empty_output(answered(spark, d))
+    return checks.check_empty_output(cleaned(spark, d))
 
 
 def check_prompts(spark, d):
@@ -355,7 +364,8 @@ def check_summary(spark, d):
     return checks.check_summary(
         [
             check_model_class(spark, d),
-            checks.check_outputs(answered(spark, d)),
+            checks.check_output_texts(cleaned(spark, d)),
+            check_output_count(spark, d),
             check_prompts(spark, d),
             check_missing_runs(spark, d),
         ]
