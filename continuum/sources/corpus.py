@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from continuum.operators.joins import anti_join
 
@@ -86,13 +87,15 @@ def read_table_corpus(
 ) -> DataFrame:
     """Stories from a columnar table: the layout to use beyond a few thousand stories.
 
+    A text id is taken as it is, a numeric one is zero-filled to the usual width.
     A table of few files is read by few tasks; ``min_partitions`` spreads such a table, which
     is small by definition, by id. A large table has more partitions and is never shuffled.
     """
     rows = spark.read.format(file_format).load(path)
     narrow = rows.rdd.getNumPartitions() < min_partitions
+    textual = isinstance(rows.schema[id_column].dataType, StringType)
     rows = rows.select(
-        pad_id(F.col(id_column)).alias("story_id"),
+        (F.col(id_column) if textual else pad_id(F.col(id_column))).alias("story_id"),
         F.col("_metadata.file_path").alias("source_file"),
         F.col(text_column).alias("text"),
     )
