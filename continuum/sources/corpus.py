@@ -87,7 +87,8 @@ def read_table_corpus(
 ) -> DataFrame:
     """Stories from a columnar table: the layout to use beyond a few thousand stories.
 
-    A text id is taken as it is, a numeric one is zero-filled to the usual width.
+    A text id is taken as it is, a numeric one is zero-filled to the usual width. The source is
+    the table's ``source_file`` column, or else the table's own path.
     A table of few files is read by few tasks; ``min_partitions`` spreads such a table, which
     is small by definition, by id. A large table has more partitions and is never shuffled.
     """
@@ -96,7 +97,7 @@ def read_table_corpus(
     textual = isinstance(rows.schema[id_column].dataType, StringType)
     rows = rows.select(
         (F.col(id_column) if textual else pad_id(F.col(id_column))).alias("story_id"),
-        F.col("_metadata.file_path").alias("source_file"),
+        (F.col("source_file") if "source_file" in rows.columns else F.lit(path)).alias("source_file"),
         F.col(text_column).alias("text"),
     )
     return rows.repartition(min_partitions, "story_id") if narrow else rows
