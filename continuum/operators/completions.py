@@ -70,12 +70,15 @@ def sample_rows(attached: DataFrame) -> DataFrame:
 def finetune_rows(cleaned: DataFrame, cut_texts: DataFrame) -> DataFrame:
     """Self-contained rows: context, real rest and one alternative each.
 
-    One join on (story, cut): each continuation and each text is shuffled once, and a text meets
-    its samples only in the join's output. Copies from repeated delivery are dropped on the same
-    partitioning, and before the long texts are put on.
+    The samples of a cut (runs x samples, a bounded handful) are folded on the join's own keys:
+    copies fold before the shuffle, each continuation and each text is shuffled once, and the
+    long texts are repeated per sample only after the join.
     """
     texts = cut_texts.select("story_id", "position", "prefix", "ground_truth_continuation")
-    once = cleaned.repartition("story_id", "position").dropDuplicates([*KEYS, "sample_idx", "continuation"])
-    return once.join(texts.hint("merge"), ["story_id", "position"]).select(
-        *KEYS, "sample_idx", "prefix", "ground_truth_continuation", "continuation"
+    bags = cleaned.groupBy("story_id", "position").agg(
+        F.collect_set(F.struct("run", "sample_idx", "continuation")).alias("bag")
     )
+    rows = texts.join(bags.hint("merge"), ["story_id", "position"])
+    return rows.select(
+        "story_id", "position", "prefix", "ground_truth_continuation", F.inline("bag")
+    ).select(*KEYS, "sample_idx", "prefix", "ground_truth_continuation", "continuation")

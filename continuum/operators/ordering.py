@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from continuum.sources.shared import cut_lineage
 
+_TOP_IDS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
@@ -89,5 +90,10 @@ def first_n(stories: DataFrame, n: int) -> DataFrame:
     """
     if n <= 0:
         return stories
-    last = stories.select("story_id").orderBy("story_id").limit(n).agg(F.max("story_id")).first()[0]
+    ids = stories.select("story_id")
+    if n <= _TOP_IDS:
+        head = ids.orderBy("story_id").limit(n)
+    else:  # too many ids for one task: number them all instead
+        head = with_global_index(ids, ["story_id"]).filter(F.col("idx") < n)
+    last = head.agg(F.max("story_id")).first()[0]
     return stories.filter(F.lit(False)) if last is None else stories.filter(F.col("story_id") <= last)

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from continuum.config import CURRENT, StudyConfig
 from continuum.operators import completions as C
 from continuum.operators import filters, ordering, records, requests, sentences
+from continuum.operators.joins import anti_join
 from continuum.sources.catalogue import MODELS, RUNS, Model, Run
 
 
@@ -75,6 +77,23 @@ def open_requests(
     return requests.context_guard(planned, config)
 
 
+def pending_requests(
+    stories: DataFrame,
+    done: DataFrame,
+    runs: Sequence[Run] = RUNS,
+    registry: Sequence[Model] = MODELS,
+    config: StudyConfig = CURRENT,
+) -> DataFrame:
+    """Open requests of the (run, story) pairs not in ``done``.
+
+    Stories finished in every run leave before the split; single pairs leave afterwards, by keys.
+    """
+    planned = done.filter(F.col("run").isin([r.run for r in runs])).select("run", "story_id").distinct()
+    finished = planned.groupBy("story_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(runs))
+    rest = filters.resume(stories, finished)
+    return anti_join(open_requests(rest, runs, registry, config), planned, ["run", "story_id"])
+
+
 def answered_requests(
     stories: DataFrame,
     completions: DataFrame,

@@ -46,7 +46,9 @@ def read_text_corpus(
         text.alias("text"),
     )
     if resolve_collisions:
-        files = anti_join(files, _shadowed_names(spark, folder), "file_name")
+        shadowed = _shadowed_names(spark, folder)
+        if shadowed is not None:
+            files = anti_join(files, shadowed, "file_name")
     return files.select(story_id_of(F.col("file_name")).alias("story_id"), "source_file", "text")
 
 
@@ -61,13 +63,15 @@ def list_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _shadowed_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Files whose id is taken by a later name.
+def _shadowed_names(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Files whose id is taken by a later name; None if no name can clash.
 
-    A collision needs a name with ``.txt`` inside, so only ids of such names are looked at.
+    A clash needs a name with ``.txt`` inside, so only ids of such names are looked at.
     """
     names = list_text_corpus(spark, folder)
     odd = names.filter(F.col("file_name") != F.concat("story_id", F.lit(SUFFIX)))
+    if odd.isEmpty():
+        return None
     winners = (
         names.join(odd.select("story_id").distinct(), "story_id", "left_semi")
         .groupBy("story_id")

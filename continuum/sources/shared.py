@@ -18,7 +18,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="continuum-")
-        spark.conf.set(SETTING, folder)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder

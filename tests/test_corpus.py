@@ -64,6 +64,20 @@ def test_id_filter_on_files(spark, folder):
     assert {r.story_id for r in kept.collect()} == {"00001", "00002", "00003"}
 
 
+def files_read(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numFiles").value()
+
+
+def test_id_filter_opens_only_matching_files(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i:05d}.txt").write_text("Some text.", encoding="utf-8")
+    stories = corpus.read_text_corpus(spark, str(tmp_path))
+    assert files_read(filters.id_range(stories, 5, 12)) == 7
+    assert files_read(filters.id_list(stories, "3,4,99")) == 2
+
+
 def test_table_round_trip_is_sorted_and_prunable(spark, folder, tmp_path):
     path = str(tmp_path / "table")
     corpus.write_table_corpus(corpus.read_text_corpus(spark, folder), path)

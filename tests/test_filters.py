@@ -65,8 +65,10 @@ def test_global_index_over_many_partitions(spark):
     assert {r.n_rows for r in rows} == {5000}
 
 
+@pytest.mark.parametrize("top", [1, 1000])
 @pytest.mark.parametrize("n", [0, 2, 50])
-def test_first_n(spark, n):
+def test_first_n(spark, n, top, monkeypatch):
+    monkeypatch.setattr(ordering, "_TOP_IDS", top)
     df = frame(spark, ["00003", "00001", "00002"])
     assert ids(ordering.first_n(df, n)) == ["00001", "00002", "00003"][: n or None]
 

@@ -324,6 +324,12 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT story_id, position, {_q(SYSTEM_TEXT)} AS system_text, {_USER_TEXT} AS user_text FROM pos",
     ),
     "requests": _with(*_POS, _RUNS, _REQUESTS, _REQUEST_SQL + "all_requests"),
+    "pending_requests": _with(
+        *_REQ,
+        _DONE,
+        _REQUEST_SQL
+        + "requests q WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.run = q.run AND d.story_id = q.story_id)",
+    ),
     "context_guard": _with(*_REQ, _REQUEST_SQL + "requests"),
     "context_guard_4096": _with(*_REQ_4096, _REQUEST_SQL + "requests"),
     "run_catalogue": _with(

@@ -190,6 +190,12 @@ def request_table(spark, d):
     return all_requests(spark, d).select(*REQUEST_COLUMNS)
 
 
+def pending_requests(spark, d):
+    """Requests left when the done-set of all runs is taken off."""
+    open_ = study.pending_requests(fixtures.stories(spark, d), fixtures.done(spark, d))
+    return open_.select(*REQUEST_COLUMNS)
+
+
 def context_guard(spark, d, config=CURRENT):
     return requests.context_guard(all_requests(spark, d), config).select(*REQUEST_COLUMNS)
 
@@ -399,6 +405,7 @@ QUERIES: dict[str, Query] = {
     "prompt_base": prompt_base,
     "prompt_chat": prompt_chat,
     "requests": request_table,
+    "pending_requests": pending_requests,
     "context_guard": context_guard,
     "context_guard_4096": context_guard_4096,
     "run_catalogue": run_catalogue,
