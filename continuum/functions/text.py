@@ -83,7 +83,8 @@ def strip_reasoning(c: Column) -> Column:
     An unclosed block stays: there is no telling where the answer starts.
     """
     paired = F.regexp_replace(c, f"(?s){THINK_OPEN}.*?{THINK_CLOSE}", "")
-    answer = F.regexp_replace(paired, rf"(?s)\A.*?{THINK_CLOSE}", "")
+    # The last of at most two parts: what follows the first close tag, or everything.
+    answer = F.element_at(F.split(paired, THINK_CLOSE, 2), -1)
     # Both patterns need a close tag; a byte search for its start spares most texts the regex.
     return strip(F.when(F.contains(c, F.lit("</")), answer).otherwise(c))
 
