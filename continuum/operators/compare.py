@@ -27,9 +27,13 @@ def align(
     a key has sides x samples rows, and copies of a row fold before the shuffle. The group table
     is configuration and broadcast.
     """
+    numbers = {m.run_no for m in members if m.kind == kind}
+    compared = [r.run for r in runs if r.run_no in numbers]
     groups = group_members(cleaned.sparkSession, kind, members, runs)
+    # The filter reaches the scan, so texts of other runs are neither read nor cleaned.
     bags = (
-        cleaned.join(groups, "run")
+        cleaned.filter(F.col("run").isin(compared))
+        .join(groups, "run")
         .groupBy("group_id", "story_id", "position")
         .agg(F.sort_array(F.collect_set(F.struct("ord", "sample_idx", "continuation"))).alias("bag"))
     )

@@ -63,6 +63,20 @@ def list_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def invalid_utf8_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(story_id, source_file)`` of the files a strict read would fail on."""
+    return (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", f"*{SUFFIX}")
+        .load(folder)
+        .filter(~F.is_valid_utf8(F.col("content").cast("string")))
+        .select(
+            story_id_of(F.col("_metadata.file_name")).alias("story_id"),
+            F.col("_metadata.file_path").alias("source_file"),
+        )
+    )
+
+
 def _shadowed_names(spark: SparkSession, folder: str) -> DataFrame | None:
     """Files whose id is taken by a later name; None if no name can clash.
 

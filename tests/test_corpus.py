@@ -52,6 +52,10 @@ def test_strict_reading_rejects_bad_bytes(spark, folder):
     assert strict.filter("story_id = '00002'").first().text == "﻿Bom stays."
 
 
+def test_bad_bytes_are_flagged(spark, folder):
+    assert [r.story_id for r in corpus.invalid_utf8_files(spark, folder).collect()] == ["00003"]
+
+
 def test_listing_reads_no_content(spark, folder):
     listing = corpus.list_text_corpus(spark, folder)
     assert "content" not in listing._jdf.queryExecution().executedPlan().toString()

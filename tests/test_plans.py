@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from continuum.functions import text
-from continuum.operators import completions, filters, ordering, requests
+from continuum.operators import compare, completions, filters, ordering, requests
 from continuum.plans import study
 from continuum.sources import catalogue, corpus
 from tests.conftest import plan_of
@@ -99,6 +99,15 @@ def test_reasoning_is_stripped_before_the_shuffle(spark):
     assert plan.index("Exchange") < plan.index("regexp_replace")  # below the exchange in the tree
 
 
+def test_comparison_reads_only_its_runs(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    schema = "run string, story_id string, position int, sample_idx int, raw_text string"
+    spark.createDataFrame([("olmo3_base", "1", 1, 0, "x")], schema).write.partitionBy("run").parquet(path)
+    plan = plan_of(compare.compare_stages(completions.clean_completions(spark.read.parquet(path))))
+    assert re.search(r"PartitionFilters: \[[^\]]*run#\d+ IN", plan)
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_run_flags_are_literals(spark, stories):
     df = catalogue.fan_out(stories.select("story_id"), ["run"])
     assert "transform(" not in plan_of(df)

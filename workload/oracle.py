@@ -352,12 +352,12 @@ ORACLE_SQL: dict[str, str] = {
   CASE WHEN is_reasoning THEN CAST(enable_thinking AS VARCHAR) END AS enable_thinking, max_tokens FROM requests""",
     ),
     "attach_completions": _with(
-        *_ANS, "SELECT run, story_id, position, sample_idx, continuation FROM answers"
+        *_ANS, "SELECT run, story_id, position, sample_idx, md5(continuation) AS continuation_md5 FROM answers"
     ),
     "finetune_rows": _with(
         *_ANS,
         """SELECT run, story_id, position, sample_idx, md5(prefix) AS prefix_md5, md5(truth) AS ground_truth_md5,
-  continuation FROM answers JOIN pos USING (story_id, position)""",
+  md5(continuation) AS continuation_md5 FROM answers JOIN pos USING (story_id, position)""",
     ),
     "nest_story": _with(*_ANS, _RECORDS, _RECORD_SQL),
     "nest_story_4096": _with(*_REQ_4096, _ANSWERS, _RECORDS, _RECORD_SQL),

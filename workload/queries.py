@@ -255,7 +255,8 @@ def cleaned(spark, d):
 
 
 def attach_completions(spark, d):
-    return C.sample_rows(answered(spark, d))
+    rows = C.sample_rows(answered(spark, d))
+    return rows.select(*requests.KEYS, "sample_idx", _md5(F.col("continuation")).alias("continuation_md5"))
 
 
 def finetune_rows(spark, d):
@@ -267,7 +268,7 @@ def finetune_rows(spark, d):
         "sample_idx",
         _md5(F.col("prefix")).alias("prefix_md5"),
         _md5(F.col("ground_truth_continuation")).alias("ground_truth_md5"),
-        "continuation",
+        _md5(F.col("continuation")).alias("continuation_md5"),
     )
 
 
