@@ -127,13 +127,17 @@ def pad_id(number: Column) -> Column:
     return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(ID_WIDTH) - F.length(digits), F.lit(0))), digits)
 
 
-def write_table_corpus(stories: DataFrame, path: str, *, max_records_per_file: int = 0) -> None:
+def write_table_corpus(
+    stories: DataFrame, path: str, *, partitions: int | None = None, max_records_per_file: int = 0
+) -> None:
     """Turn a folder of small files into a table sorted by id within range partitions.
 
-    Sorted ids give row groups tight min/max ranges, so shards and id bounds prune.
+    Sorted ids give row groups tight min/max ranges, so shards and id bounds prune. Without a
+    number of partitions the session's shuffle width is used.
     """
+    width = [] if partitions is None else [partitions]
     (
-        stories.repartitionByRange("story_id")
+        stories.repartitionByRange(*width, "story_id")
         .sortWithinPartitions("story_id")
         .write.option("maxRecordsPerFile", max_records_per_file)
         .parquet(path)

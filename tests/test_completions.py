@@ -186,3 +186,19 @@ def test_missing_runs_and_summary(spark):
         ("missing_runs", "pass"): 2, ("missing_runs", "fail"): 19}
     assert not checks.passed(summary)
     assert checks.passed(summary.filter("status = 'pass'"))
+
+
+def test_a_flood_of_copies_of_one_sample_changes_nothing(spark, stories, raw):
+    one = raw.filter(f"run = '{THINKS}' AND story_id = '00001' AND position = 4 AND sample_idx = 3")
+    copies = one.limit(1).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("i")
+    flooded = raw.unionByName(copies)
+    assert flooded.count() > 1.5 * raw.count()
+    order = ["run", "story_id", "position"]
+    columns = [*order, "continuations"]
+
+    def answers(rows):
+        return study.answered_requests(stories, rows).select(columns).orderBy(order).collect()
+
+    assert answers(flooded) == answers(raw)
+    sizes = study.story_records(stories, flooded).select(F.flatten("positions.continuations").alias("c"))
+    assert {len(r.c) for r in sizes.collect()} == {15, 20}
