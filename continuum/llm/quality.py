@@ -28,7 +28,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 # Fixed values of the line rules.
-SEPARATORS = "|•·»«›‹¦"
+SEPARATORS = "|¦«»"
 NOISE = "#*$%&<>~^=_{}\\"
 SENTENCE_ENDS = ".!?…:;。！？：；\"”’'»)]"
 BOILERPLATE = [
@@ -62,9 +62,14 @@ def words_of(text: Column) -> Column:
     )
 
 
+def _class(characters: str, negated: bool = False) -> str:
+    """A regular expression for one character (not) in the set."""
+    return ("[^" if negated else "[") + "".join(f"\\x{{{ord(c):x}}}" for c in characters) + "]"
+
+
 def n_of(text: Column, characters: str) -> Column:
     """How many characters of the text are in the set."""
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    return F.char_length(F.regexp_replace(text, _class(characters, negated=True) + "+", ""))
 
 
 def _covered(hits: Column) -> Column:
@@ -108,13 +113,16 @@ def repeated_words(words: Column) -> Column:
             ),
         )
 
-    hashes = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)),
-        lambda i: F.xxhash64(F.slice(words, i, WINDOW)),
-    )
+    def pairs(h: Column, gap: int) -> Column:
+        return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + gap)))
+
+    def windows(h: Column) -> Column:  # pairs of pairs of pairs: eight words; the last seven are cut off
+        eights = bind(bind(pairs(h, 1), lambda two: pairs(two, 2)), lambda four: pairs(four, 4))
+        return F.slice(eights, F.lit(1), F.size(h) - (WINDOW - 1))
+
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(
         bind(
-            hashes,
+            bind(F.transform(words, lambda w: F.xxhash64(w)), windows),
             lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
                 bind(positions(h), _covered)
             ),
@@ -126,17 +134,22 @@ def line_passes(line: Column) -> Column:
     trimmed = F.btrim(line, F.lit(SPACES))
     size = F.char_length(line)
     bars = n_of(line, SEPARATORS)
-    navigation = (
+    marked = line.rlike(_class(SEPARATORS + NOISE + "!"))  # most lines have none of these
+    navigation = marked & (
         (bars * 5 > size)
         | ((bars > 0) & (bars * 3 > F.size(words_of(line))))
         | (n_of(line, NOISE) * 10 > size)
         | (n_of(line, "!") * 20 > size)
     )
-    lower = F.lower(line)
-    phrase = F.lit(False)
-    for text in BOILERPLATE:
-        phrase = phrase | F.contains(lower, F.lit(text))
-    boilerplate = (size <= BOILERPLATE_CHARS) & phrase
+
+
+    def phrased(lower: Column) -> Column:
+        found = F.lit(False)
+        for phrase in BOILERPLATE:
+            found = found | F.contains(lower, F.lit(phrase))
+        return found
+
+    boilerplate = (size <= BOILERPLATE_CHARS) & bind(F.lower(line), phrased)
     closed = F.contains(F.lit(SENTENCE_ENDS), F.right(trimmed, F.lit(1)))
     open_short = ~closed & (F.size(words_of(line)) < MIN_OPEN_WORDS)
     return ~(navigation | boilerplate | open_short)
@@ -147,7 +160,11 @@ def assess(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     by_words = bind(
         words_of(whole),
-        lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeat")),
+        lambda w: F.struct(
+            F.size(w).alias("n"),
+            F.char_length(F.array_join(w, "")).alias("chars"),
+            repeated_words(w).alias("repeat"),
+        ),
     )
     worded = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     by_lines = bind(
@@ -161,11 +178,11 @@ def assess(text: Column) -> Column:
 
     def verdict(w: Column, v: Column) -> Column:
         failed = (w["n"] < MIN_WORDS) | (w["repeat"] * 100 > w["n"] * MAX_REPEAT_PERCENT)
-        kept_chars = F.char_length(F.translate(v["clean"], "\n", ""))
+        kept_chars = F.char_length(F.replace(v["clean"], F.lit("\n"), F.lit("")))
         enough = kept_chars >= v["chars"] * F.lit(MIN_KEPT_SHARE)
         return F.struct(
             w["n"].cast("long").alias("n_words"),
-            F.char_length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
+            w["chars"].cast("long").alias("word_chars"),
             n_of(whole, SYMBOLS).cast("long").alias("n_symbols"),
             v["dup"].cast("long").alias("n_dup_lines"),
             w["repeat"].cast("long").alias("n_repeat_words"),
