@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from continuum.llm import quality
+from continuum.llm import minhash, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,18 @@ def op7_line_cleaning(spark, d):
     return quality.measure(table(spark, d, "documents"))
 
 
+def op1_pack_sequences(spark, d):
+    pieces = packing.pieces(table(spark, d, "documents"))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(digests)
+
+
+def op9_near_duplicates(spark, d):
+    return minhash.classes(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "op1_pack_sequences": op1_pack_sequences,
     "op7_line_cleaning": op7_line_cleaning,
+    "op9_near_duplicates": op9_near_duplicates,
 }
