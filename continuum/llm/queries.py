@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.llm import minhash, packing, quality
+from continuum.llm import minhash, packing, quality, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_pack_sequences(spark, d):
     return packing.placed(digests)
 
 
+def op8_repeated_strings(spark, d):
+    return suffix.digests(table(spark, d, "documents"))
+
+
 def op9_near_duplicates(spark, d):
     return minhash.classes(table(spark, d, "documents"))
 
@@ -29,5 +33,6 @@ def op9_near_duplicates(spark, d):
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op7_line_cleaning": op7_line_cleaning,
+    "op8_repeated_strings": op8_repeated_strings,
     "op9_near_duplicates": op9_near_duplicates,
 }
