@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.llm import minhash, packing, quality, suffix
+from continuum.llm import minhash, multiset, packing, quality, suffix
+from continuum.llm.store import importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,9 +32,14 @@ def op9_near_duplicates(spark, d):
     return minhash.classes(table(spark, d, "documents"))
 
 
+def op10_multiset_fingerprints(spark, d):
+    return multiset.with_edits(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op7_line_cleaning": op7_line_cleaning,
     "op8_repeated_strings": op8_repeated_strings,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_multiset_fingerprints": op10_multiset_fingerprints,
 }

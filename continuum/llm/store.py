@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from continuum.sources.shared import fresh_path
 
@@ -25,3 +26,12 @@ def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     writer = df.repartition(n, *keys).write.format("parquet").option("path", path)
     writer.bucketBy(n, *keys).saveAsTable(table)
     return spark.table(table)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package, from wherever the driver was started."""
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join([root, *paths])
