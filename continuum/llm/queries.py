@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.llm import minhash, multiset, packing, quality, suffix
+from continuum.llm import brown, minhash, multiset, packing, quality, suffix
 from continuum.llm.store import importable
 
 
@@ -14,10 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_class_ngrams(spark, d):
+    held_out = fold(7) == 2
+    scored = brown.scores(table(spark, d, "documents"), ~held_out)
+    return scored.select(
+        "doc_id",
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op7_line_cleaning(spark, d):
     return quality.measure(table(spark, d, "documents"))
 
 
+def fold(n: int):
+    """The remainder that tells training rows from held-out ones."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op1_pack_sequences(spark, d):
     pieces = packing.pieces(table(spark, d, "documents"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -38,6 +57,7 @@ def op10_multiset_fingerprints(spark, d):
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op6_class_ngrams": op6_class_ngrams,
     "op7_line_cleaning": op7_line_cleaning,
     "op8_repeated_strings": op8_repeated_strings,
     "op9_near_duplicates": op9_near_duplicates,
