@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.llm import brown, minhash, multiset, packing, quality, suffix
+from continuum.llm import brown, minhash, multiset, packing, quality, suffix, toxicity
 from continuum.llm.store import importable
 
 
@@ -14,6 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    labels = table(spark, d, "labels").select("doc_id", "toxic")
+    held_out = fold(5) == 0
+    model = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out))
+    scored = toxicity.scores(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_class_ngrams(spark, d):
     held_out = fold(7) == 2
     scored = brown.scores(table(spark, d, "documents"), ~held_out)
@@ -57,6 +71,7 @@ def op10_multiset_fingerprints(spark, d):
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op4_toxicity": op4_toxicity,
     "op6_class_ngrams": op6_class_ngrams,
     "op7_line_cleaning": op7_line_cleaning,
     "op8_repeated_strings": op8_repeated_strings,
