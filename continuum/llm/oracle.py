@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from continuum.llm import mixing as M
 from continuum.llm import quality as Q
 
 
@@ -74,3 +75,49 @@ FROM failed
 """
 
 ORACLE_SQL = {"op7_line_cleaning": QUALITY}
+
+MIXING = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce('=' || source, '') AS src,
+         {_words("coalesce(text, '')")} + 1 AS n_tokens,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))), 1, 8)
+              AS BIGINT) AS key
+  FROM documents
+), totals AS (
+  SELECT src, sum(n_tokens) AS tokens FROM docs GROUP BY src
+), ends AS (
+  SELECT CAST(max(tokens) AS DOUBLE) AS large, CAST(min(tokens) AS DOUBLE) AS small FROM totals
+), halving AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+  UNION ALL
+  SELECT k + 1,
+         CASE WHEN pow(large / small, 1 - (low + high) / 2) <= {M.REPETITIONS} THEN low ELSE (low + high) / 2 END,
+         CASE WHEN pow(large / small, 1 - (low + high) / 2) <= {M.REPETITIONS} THEN (low + high) / 2 ELSE high END
+  FROM halving, ends WHERE k < {M.STEPS}
+), chosen AS (
+  SELECT round(high, {M.DECIMALS}) AS x FROM halving WHERE k = {M.STEPS}
+), plan AS (
+  SELECT src, tokens, pow(CAST(tokens AS DOUBLE), x) / sum(pow(CAST(tokens AS DOUBLE), x)) OVER () AS weight,
+         floor(pow(large / tokens, 1 - x)) AS passes,
+         CAST(floor((pow(large / tokens, 1 - x) - floor(pow(large / tokens, 1 - x))) * tokens) AS BIGINT) AS quota,
+         greatest(1, CAST(ceil(tokens / {M.BLOCK}.0) AS BIGINT)) AS n_blocks
+  FROM totals, ends, chosen
+), placed AS (
+  SELECT docs.*, weight, CAST(passes AS INTEGER) AS passes, quota, key % n_blocks AS block
+  FROM docs JOIN plan USING (src)
+), ordered AS (
+  SELECT *, sum(n_tokens) OVER (
+    PARTITION BY src
+    ORDER BY CAST('0x' || substr(md5(src || ':' || block || ':' || passes), 1, 8) AS BIGINT), block, key, doc_id
+    ROWS UNBOUNDED PRECEDING) AS used
+  FROM placed
+)
+SELECT doc_id, source, e AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 9) AS weight
+FROM (
+  SELECT *, CAST(unnest(range(passes)) AS INTEGER) AS e FROM placed
+  UNION ALL BY NAME
+  SELECT * EXCLUDE (used), passes AS e FROM ordered WHERE used <= quota
+)
+"""
+
+ORACLE_SQL["op5_temperature_mix"] = MIXING

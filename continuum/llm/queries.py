@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.llm import brown, chat, minhash, multiset, packing, quality, suffix, toxicity
+from continuum.llm import brown, chat, html, minhash, mixing, multiset, packing, quality, suffix, toxicity
 from continuum.llm.store import importable
 
 
@@ -26,6 +26,10 @@ def op2_chat_windows(spark, d):
     return chat.read_back(chat.windows(turns.unionByName(extra)))
 
 
+def op3_main_text(spark, d):
+    return html.texts(table(spark, d, "pages"))
+
+
 def op4_toxicity(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     labels = table(spark, d, "labels").select("doc_id", "toxic")
@@ -40,6 +44,11 @@ def op4_toxicity(spark, d):
     )
 
 
+def op5_temperature_mix(spark, d):
+    rows = mixing.mixed(table(spark, d, "documents"))
+    return rows.select("_doc.doc_id", "_doc.source", "epoch", "n_tokens", F.round("weight", 9).alias("weight"))
+
+
 def op6_class_ngrams(spark, d):
     held_out = fold(7) == 2
     scored = brown.scores(table(spark, d, "documents"), ~held_out)
@@ -84,7 +93,9 @@ def op10_multiset_fingerprints(spark, d):
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_chat_windows": op2_chat_windows,
+    "op3_main_text": op3_main_text,
     "op4_toxicity": op4_toxicity,
+    "op5_temperature_mix": op5_temperature_mix,
     "op6_class_ngrams": op6_class_ngrams,
     "op7_line_cleaning": op7_line_cleaning,
     "op8_repeated_strings": op8_repeated_strings,
