@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Dimensions built from these tuples may be broadcast or inlined up to this many rows.
-MAX_DIMENSION_ROWS = 1_000
+BROADCAST_ROWS = 10_000  # configuration rows of some hundred bytes
 
 
 class Model(NamedTuple):
@@ -141,14 +141,9 @@ _RUN_SCHEMA = (
 
 
 def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small table from configuration, broadcast because its size is checked here."""
-    _check_size(rows)
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
-
-
-def _check_size(rows: Sequence) -> None:
-    if len(rows) > MAX_DIMENSION_ROWS:
-        raise ValueError(f"{len(rows)} configuration rows; at most {MAX_DIMENSION_ROWS} may be inlined")
+    """A table from configuration, broadcast if it has few rows and joined as any other if not."""
+    table = spark.createDataFrame(list(rows), schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
 def models(spark: SparkSession, registry: Sequence[Model] = MODELS) -> DataFrame:
@@ -189,14 +184,14 @@ def with_run_flags(runs: DataFrame, registry: Sequence[Model] = MODELS) -> DataF
 
 def run_table(spark: SparkSession, runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS) -> DataFrame:
     """The run catalogue with its class and mode columns, as a broadcastable table."""
-    return F.broadcast(with_run_flags(dimension(spark, runs, _RUN_SCHEMA), registry))
+    table = with_run_flags(dimension(spark, runs, _RUN_SCHEMA), registry)
+    return F.broadcast(table) if len(runs) <= BROADCAST_ROWS else table
 
 
 def run_structs(
     fields: Sequence[str], runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS
 ) -> Column:
     """The named fields of all runs as one literal array."""
-    _check_size(runs)
     by_name = {m.model: m for m in registry}
     rows = []
     for r in runs:

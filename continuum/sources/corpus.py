@@ -6,6 +6,9 @@ is raw; cleaning happens where the text is used, after the cheap filters.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,6 +24,41 @@ def story_id_of(file_name: Column) -> Column:
     return F.replace(file_name, F.lit(SUFFIX), F.lit(""))
 
 
+def text_glob(folder: str) -> str:
+    """A path pattern for the ``*.txt`` files of one folder itself, whatever its name holds.
+
+    A pattern, not the folder: so a sub-folder such as ``k=1`` is neither read nor taken for a
+    partition. The characters of patterns in the folder's own name are escaped.
+    """
+    escaped = re.sub(r"([\\*?\[\]{}])", r"\\\1", folder.rstrip("/"))
+    return f"{escaped}/*{SUFFIX}"
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """``file_name, source_file, content`` of the files that hold bytes."""
+    # A filter on this name is decided before the file is opened; in it, names are URL-encoded.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return spark.read.format("binaryFile").load(text_glob(folder)).select(
+        name.alias("file_name"), F.col("path").alias("source_file"), "content"
+    )
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    """``file_name, source_file`` of all files, the empty ones too.
+
+    The list is the one Spark's file index keeps on the driver anyway. A scan leaves out files
+    whose names start with a dot or an underline; such a story is refused here, not lost.
+    """
+    paths = [unquote(f) for f in spark.read.format("binaryFile").load(text_glob(folder)).inputFiles()]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(text_glob(folder).removesuffix(f"*{SUFFIX}") + f"[._]*{SUFFIX}")
+    hidden = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    if hidden:
+        raise ValueError(f"{len(hidden)} files with hidden names, such as {hidden[0].getPath().getName()}; rename them")
+    rows = [(p.rpartition("/")[2], re.sub(r"^(\w+:)///", r"\1/", p)) for p in paths]
+    return spark.createDataFrame(rows, "file_name string, source_file string")
+
+
 def read_text_corpus(
     spark: SparkSession,
     folder: str,
@@ -28,23 +66,21 @@ def read_text_corpus(
     strict: bool = False,
     resolve_collisions: bool = True,
 ) -> DataFrame:
-    """One row per ``*.txt`` file of one folder, the whole file as the text.
+    """One row per ``*.txt`` file of one folder, the whole file as the text; '' for an empty one.
 
     ``strict`` fails the job on bytes that are not UTF-8; otherwise they become
     U+FFFD. Two names can yield one id (``a.txt``, ``a.txt.txt``): the later name wins.
+    Sub-folders are not read, and hidden names raise an error.
     """
-    reader = spark.read.option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", "false")
-    if strict:
-        files = reader.format("binaryFile").load(folder)
-        text = F.validate_utf8(F.col("content").cast("string"))
-    else:
-        files = reader.text(folder, wholetext=True)
-        text = F.make_valid_utf8(F.col("value"))
-    files = files.select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_path").alias("source_file"),
-        text.alias("text"),
+    names = _names(spark, folder)
+    found = _files(spark, folder)
+    raw = F.col("content").cast("string")
+    files = found.select(
+        "file_name", "source_file", (F.validate_utf8(raw) if strict else F.make_valid_utf8(raw)).alias("text")
     )
+    # A scan has no rows for files without bytes; only names are compared to find them.
+    empty = names.join(found.select("file_name"), "file_name", "left_anti")
+    files = files.unionByName(empty.withColumn("text", F.lit("")))
     if resolve_collisions:
         shadowed = _shadowed_names(spark, folder)
         if shadowed is not None:
@@ -53,27 +89,17 @@ def read_text_corpus(
 
 
 def list_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Names and ids only. The binary reader opens no file unless its content is asked for."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{SUFFIX}")
-        .load(folder)
-        .select(F.col("_metadata.file_name").alias("file_name"))
-        .withColumn("story_id", story_id_of(F.col("file_name")))
-    )
+    """Names and ids only; no file is opened."""
+    names = _names(spark, folder).select("file_name")
+    return names.withColumn("story_id", story_id_of(F.col("file_name")))
 
 
 def invalid_utf8_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(story_id, source_file)`` of the files a strict read would fail on."""
     return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{SUFFIX}")
-        .load(folder)
+        _files(spark, folder)
         .filter(~F.is_valid_utf8(F.col("content").cast("string")))
-        .select(
-            story_id_of(F.col("_metadata.file_name")).alias("story_id"),
-            F.col("_metadata.file_path").alias("source_file"),
-        )
+        .select(story_id_of(F.col("file_name")).alias("story_id"), "source_file")
     )
 
 
@@ -112,13 +138,31 @@ def read_table_corpus(
     """
     rows = spark.read.format(file_format).load(path)
     narrow = rows.rdd.getNumPartitions() < min_partitions
+    rows = table_stories(rows, path, id_column, text_column)
+    return rows.repartition(min_partitions, "story_id") if narrow else rows
+
+
+def table_stories(rows: DataFrame, path: str, id_column: str, text_column: str) -> DataFrame:
+    """The readers' columns from a table's rows, batch or stream alike."""
     textual = isinstance(rows.schema[id_column].dataType, StringType)
-    rows = rows.select(
+    return rows.select(
         (F.col(id_column) if textual else pad_id(F.col(id_column))).alias("story_id"),
         (F.col("source_file") if "source_file" in rows.columns else F.lit(path)).alias("source_file"),
         F.col(text_column).alias("text"),
     )
-    return rows.repartition(min_partitions, "story_id") if narrow else rows
+
+
+def repeated_ids(stories: DataFrame) -> DataFrame:
+    """``(story_id, n)`` of ids that more than one row has; texts are not read."""
+    return stories.groupBy("story_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def require_unique(stories: DataFrame) -> DataFrame:
+    """The stories; raises if an id occurs twice, as cuts and completions would mix."""
+    first = repeated_ids(stories).first()
+    if first is not None:
+        raise ValueError(f"story_id {first['story_id']!r} occurs {first['n']} times")
+    return stories
 
 
 def pad_id(number: Column) -> Column:

