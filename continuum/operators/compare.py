@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from continuum.config import CURRENT
+from continuum.operators.completions import gather_samples
 from continuum.sources.catalogue import COMPARISON_GROUPS, RUNS, GroupMember, Run, group_members
 
 PAIR_SIDES = ("left", "right")
@@ -20,22 +22,23 @@ def align(
     sides: Sequence[str],
     members: Sequence[GroupMember] = COMPARISON_GROUPS,
     runs: Sequence[Run] = RUNS,
+    n: int = CURRENT.n_continuations,
 ) -> DataFrame:
     """``(group_id, story_id, position, <side> array<string>...)`` where every side is present.
 
-    ``cleaned`` holds one row per sample. One aggregation shuffle replaces a self-join per side;
-    a key has sides x samples rows, and copies of a row fold before the shuffle. The group table
-    is configuration and broadcast.
+    ``cleaned`` holds one row per sample. Deliveries fold per request first; one more
+    aggregation over at most one row per side replaces a self-join per side. The group table is
+    configuration and broadcast.
     """
     numbers = {m.run_no for m in members if m.kind == kind}
     compared = [r.run for r in runs if r.run_no in numbers]
     groups = group_members(cleaned.sparkSession, kind, members, runs)
     # The filter reaches the scan, so texts of other runs are neither read nor cleaned.
+    answers = gather_samples(cleaned.filter(F.col("run").isin(compared)), n=n)
     bags = (
-        cleaned.filter(F.col("run").isin(compared))
-        .join(groups, "run")
+        answers.join(groups, "run")
         .groupBy("group_id", "story_id", "position")
-        .agg(F.sort_array(F.collect_set(F.struct("ord", "sample_idx", "continuation"))).alias("bag"))
+        .agg(F.collect_list(F.struct("ord", "samples")).alias("bag"))
     )
     aligned = bags.select(
         "group_id",
@@ -49,7 +52,7 @@ def align(
 
 def _side(ord_: int) -> Column:
     mine = F.filter("bag", lambda b: b["ord"] == ord_)
-    return F.transform(mine, lambda b: b["continuation"])
+    return F.flatten(F.transform(mine, lambda b: b["samples"]["continuation"]))
 
 
 def compare_pairs(cleaned: DataFrame, **config) -> DataFrame:

@@ -5,7 +5,10 @@ an ``explode`` multiplies rows. The joins ask for a sort-merge, so neither side
 broadcast on a wrong guess; adaptive execution still splits a skewed partition.
 
 ``completions (run, story_id, position, sample_idx, raw_text)`` comes from the generation
-engine: one row per sample of a request. Rows delivered twice are the same row.
+engine: one row per sample of a request. A sample may be delivered again. Then one delivery
+counts, everywhere: the least continuation in text order, whatever order they came in. Samples
+numbered outside ``0..n-1`` are not part of a request; ``checks.check_output_count`` reports
+them, and repeated and missing ones. Gathered samples keep their numbers.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from continuum.config import CURRENT, StudyConfig
 from continuum.functions import text
+from continuum.operators import sentences
 from continuum.operators.requests import KEYS
 from continuum.sources.catalogue import MODELS, RUNS, Model, Run, stripping_runs
 
@@ -36,14 +41,21 @@ def clean_completions(
     )
 
 
-def gather_samples(cleaned: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``continuations array<string>`` per request, ordered by sample.
+def gather_samples(
+    cleaned: DataFrame, keys: Sequence[str] = KEYS, n: int = CURRENT.n_continuations
+) -> DataFrame:
+    """``samples array<struct<sample_idx, continuation>>`` per request, ordered by sample.
 
-    A request has a handful of samples. Repeated deliveries are folded by the partial
-    aggregation, before the shuffle, so a flood of copies of one row stays one row.
+    One minimum per sample number, so deliveries fold in the partial aggregation, before the
+    shuffle, and a request never holds more than ``n`` texts.
     """
-    bag = F.collect_set(F.struct("sample_idx", "continuation"))
-    return cleaned.groupBy(*keys).agg(F.sort_array(bag).getField("continuation").alias("continuations"))
+    folded = cleaned.groupBy(*keys).agg(
+        *[F.min(F.when(F.col("sample_idx") == i, F.col("continuation"))).alias(f"_s{i}") for i in range(n)]
+    )
+    samples = F.array(
+        *[F.struct(F.lit(i).alias("sample_idx"), F.col(f"_s{i}").alias("continuation")) for i in range(n)]
+    )
+    return folded.select(*keys, F.filter(samples, lambda s: s["continuation"].isNotNull()).alias("samples"))
 
 
 def attach_completions(
@@ -51,34 +63,66 @@ def attach_completions(
     completions: DataFrame,
     runs: Sequence[Run] = RUNS,
     registry: Sequence[Model] = MODELS,
+    config: StudyConfig = CURRENT,
 ) -> DataFrame:
-    """Requests with their continuations; an unanswered request keeps an empty array.
+    """Requests with their ``samples`` and ``continuations``; both empty for an unanswered one.
 
     Both sides meet on the full request key, so one aggregation shuffle serves the join too.
     """
-    answers = gather_samples(clean_completions(completions, runs, registry))
-    return requests.join(answers.hint("merge"), KEYS, "left").withColumn(
-        "continuations", F.coalesce("continuations", F.array().cast("array<string>"))
-    )
+    cleaned = clean_completions(completions, runs, registry)
+    answers = gather_samples(cleaned, n=config.n_continuations)
+    none = F.array().cast("array<struct<sample_idx: int, continuation: string>>")
+    joined = requests.join(answers.hint("merge"), KEYS, "left").withColumn("samples", F.coalesce("samples", none))
+    return joined.withColumn("continuations", F.col("samples.continuation"))
 
 
 def sample_rows(attached: DataFrame) -> DataFrame:
-    """``(run, story_id, position, sample_idx, continuation)``."""
-    return attached.select(*KEYS, F.posexplode("continuations").alias("sample_idx", "continuation"))
+    """``(run, story_id, position, sample_idx, continuation)`` with the samples' own numbers."""
+    return attached.select(*KEYS, F.inline("samples"))
 
 
-def finetune_rows(cleaned: DataFrame, cut_texts: DataFrame) -> DataFrame:
+def finetune_rows(
+    cleaned: DataFrame, cut_texts: DataFrame, config: StudyConfig = CURRENT
+) -> DataFrame:
     """Self-contained rows: context, real rest and one alternative each.
 
-    The samples of a cut (runs x samples, a bounded handful) are folded on the join's own keys:
-    copies fold before the shuffle, each continuation and each text is shuffled once, and the
-    long texts are repeated per sample only after the join.
+    ``cut_texts`` comes from ``sentences.prefix_truth`` or is derived from it. Samples fold per
+    request; the long texts are repeated per sample only after the join.
     """
     texts = cut_texts.select("story_id", "position", "prefix", "ground_truth_continuation")
-    bags = cleaned.groupBy("story_id", "position").agg(
-        F.collect_set(F.struct("run", "sample_idx", "continuation")).alias("bag")
-    )
-    rows = texts.join(bags.hint("merge"), ["story_id", "position"])
+    answers = gather_samples(cleaned, n=config.n_continuations)
+    rows = texts.join(answers.hint("merge"), ["story_id", "position"])
     return rows.select(
-        "story_id", "position", "prefix", "ground_truth_continuation", F.inline("bag")
+        *KEYS, "prefix", "ground_truth_continuation", F.inline("samples")
+    ).select(*KEYS, "sample_idx", "prefix", "ground_truth_continuation", "continuation")
+
+
+def finetune_stories(
+    cleaned: DataFrame, cut: DataFrame, config: StudyConfig = CURRENT
+) -> DataFrame:
+    """The rows of ``finetune_rows`` from cut stories: each story's text is shuffled once.
+
+    The samples of a story (runs x cuts x samples, at most) meet its sentences on the story id,
+    and prefixes and remainders are put together after the join.
+    """
+    answers = gather_samples(cleaned, n=config.n_continuations)
+    bags = answers.groupBy("story_id").agg(F.collect_list(F.struct("run", "position", "samples")).alias("bag"))
+    rows = cut.join(bags.hint("merge"), "story_id")
+    per_cut = rows.select(
+        "story_id",
+        "sentences",
+        F.explode("cuts").alias("position"),
+        "bag",
+    )
+    own = F.filter("bag", lambda b: b["position"] == F.col("position"))
+    texts = per_cut.select(
+        "story_id",
+        "position",
+        sentences.prefix_at(F.col("position")).alias("prefix"),
+        sentences.truth_at(F.col("position")).alias("ground_truth_continuation"),
+        F.explode(own).alias("answer"),
+    )
+    return texts.select(
+        F.col("answer.run").alias("run"), "story_id", "position", "prefix", "ground_truth_continuation",
+        F.inline("answer.samples"),
     ).select(*KEYS, "sample_idx", "prefix", "ground_truth_continuation", "continuation")

@@ -60,14 +60,19 @@ def prompt_words(prefix_words: Column, prompt_mode: Column) -> Column:
 
 
 def export_prompts(requests: DataFrame, cut_texts: DataFrame) -> DataFrame:
-    """What a generation engine needs per request: prompt or messages, budget and sample count.
+    """``export_rows`` of requests from elsewhere: the prefixes are joined on by story and cut.
 
-    The texts are joined on here, at the very end; the request table itself carries none.
+    ``plans.study.export_requests`` builds requests and prompts from one row, without a join.
     """
+    texts = cut_texts.select("story_id", "position", "prefix")
+    return export_rows(requests.join(texts.hint("merge"), ["story_id", "position"]))
+
+
+def export_rows(requests: DataFrame) -> DataFrame:
+    """What a generation engine needs per request: prompt or messages, budget and sample count."""
     base = F.col("prompt_mode") == "base_raw"
     chat = messages(F.col("target_n_words"), F.col("prefix"))
-    texts = cut_texts.select("story_id", "position", "prefix")
-    return requests.join(texts.hint("merge"), ["story_id", "position"]).select(
+    return requests.select(
         "run",
         "story_id",
         "position",

@@ -41,8 +41,10 @@ def requests(
     config: StudyConfig = CURRENT,
     *,
     token_counts: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Every cut for every run, before the context guard. Keys, flags and numbers only.
+    """Every cut for every run, before the context guard. Keys, flags and numbers only, and
+    the columns to ``keep``.
 
     ``token_counts (run, story_id, position, prompt_tokens)`` replaces the estimate where a
     tokenizer's count is at hand.
@@ -62,12 +64,13 @@ def requests(
         F.lit(config.n_continuations).alias("n_continuations"),
         F.lit(config.temperature).alias("temperature"),
         F.lit(config.top_p).alias("top_p"),
+        *keep,
     )
     if token_counts is None:
         return rows
     counted = token_counts.select(*KEYS, F.col("prompt_tokens").alias("_counted"))
     return (
-        rows.join(counted, KEYS, "left")
+        rows.join(counted.hint("merge"), KEYS, "left")
         .withColumn("prompt_tokens_est", F.coalesce(F.col("_counted").cast("int"), "prompt_tokens_est"))
         .drop("_counted")
     )

@@ -57,11 +57,12 @@ def with_cuts(split: DataFrame, config: StudyConfig = CURRENT) -> DataFrame:
     return sized.withColumn("cuts", study.cut_points(F.col("n_sentences"), config.position_pcts))
 
 
-def positions(cut: DataFrame) -> DataFrame:
-    """One narrow row per story and cut: sizes only, no text."""
+def positions(cut: DataFrame, *, with_prefix: bool = False) -> DataFrame:
+    """One narrow row per story and cut: sizes only, no text, or with the prefix beside them."""
     p, n = F.col("position"), F.col("n_sentences")
+    texts = ["sentences"] if with_prefix else []
     return cut.select(
-        "story_id", "n_sentences", "n_words", "sentence_words", F.explode("cuts").alias("position")
+        "story_id", "n_sentences", "n_words", "sentence_words", *texts, F.explode("cuts").alias("position")
     ).select(
         "story_id",
         "position",
@@ -70,6 +71,7 @@ def positions(cut: DataFrame) -> DataFrame:
         study.pct_revealed(p, n).alias("pct_story_revealed"),
         words_before(p).alias("prefix_words"),
         words_after(p).alias("target_n_words"),
+        *([prefix_at(p).alias("prefix")] if with_prefix else []),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from continuum.config import CURRENT, StudyConfig
 from continuum.operators import completions as C
-from continuum.operators import filters, ordering, records, requests, sentences
+from continuum.operators import filters, ordering, prompts, records, requests, sentences
 from continuum.operators.joins import anti_join
 from continuum.sources.catalogue import MODELS, RUNS, Model, Run
 
@@ -77,6 +77,31 @@ def open_requests(
     return requests.context_guard(planned, config)
 
 
+def export_requests(
+    stories: DataFrame,
+    runs: Sequence[Run] = RUNS,
+    registry: Sequence[Model] = MODELS,
+    config: StudyConfig = CURRENT,
+) -> DataFrame:
+    """Open requests with their prompts, from one row per story: narrow, no text is shuffled."""
+    cut = cut_stories(select_stories(stories, config=config), config)
+    cuts = sentences.positions(cut, with_prefix=True)
+    planned = requests.requests(cuts, runs, registry, config, keep=["prefix"])
+    return prompts.export_rows(requests.context_guard(planned, config))
+
+
+def finetuning(
+    stories: DataFrame,
+    completions: DataFrame,
+    runs: Sequence[Run] = RUNS,
+    registry: Sequence[Model] = MODELS,
+    config: StudyConfig = CURRENT,
+) -> DataFrame:
+    """Fine-tuning rows of all stories under the word cap."""
+    cut = cut_stories(select_stories(stories, config=config), config)
+    return C.finetune_stories(C.clean_completions(completions, runs, registry), cut, config)
+
+
 def pending_requests(
     stories: DataFrame,
     done: DataFrame,
@@ -102,7 +127,8 @@ def answered_requests(
     config: StudyConfig = CURRENT,
 ) -> DataFrame:
     """Requests with their cleaned continuations."""
-    return C.attach_completions(open_requests(stories, runs, registry, config), completions, runs, registry)
+    open_ = open_requests(stories, runs, registry, config)
+    return C.attach_completions(open_, completions, runs, registry, config)
 
 
 def story_records(
@@ -111,7 +137,10 @@ def story_records(
     runs: Sequence[Run] = RUNS,
     registry: Sequence[Model] = MODELS,
     config: StudyConfig = CURRENT,
+    *,
+    complete: bool = True,
+    done: DataFrame | None = None,
 ) -> DataFrame:
-    """Nested records of every run."""
+    """Nested records of every run: the complete ones that are not in ``done``."""
     cut = cut_stories(select_stories(stories, config=config), config)
-    return records.nest_story(cut, completions, runs, registry, config)
+    return records.nest_story(cut, completions, runs, registry, config, complete=complete, done=done)

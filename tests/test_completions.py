@@ -51,6 +51,46 @@ def test_attach_orders_samples_and_folds_copies(spark, stories, raw):
         assert [c.split()[-1] for c in r.continuations] == list("01234")
 
 
+def test_one_delivery_of_a_sample_counts(spark, stories, raw):
+    """Differing, missing and out-of-range deliveries: every table keeps the same samples."""
+    here = f"run = '{PLAIN}' AND story_id = '00001' AND position = 4"
+    again = raw.filter(f"{here} AND sample_idx = 0").withColumn("raw_text", F.lit("!!! first in order"))
+    beyond = raw.filter(f"{here} AND sample_idx = 4").withColumn("sample_idx", F.lit(7))
+    faulty = raw.filter(f"NOT ({here} AND sample_idx = 2)").unionByName(again).unionByName(beyond)
+    attached = study.answered_requests(stories, faulty)
+    rows = {r.sample_idx: r.continuation for r in completions.sample_rows(attached.filter(here)).collect()}
+    assert set(rows) == {0, 1, 3, 4} and rows[0] == "!!! first in order"
+    order = [*KEYS, "sample_idx"]
+    tuned = study.finetuning(stories, faulty)
+    by_cut = completions.finetune_rows(completions.clean_completions(faulty), study.story_texts(stories))
+    assert tuned.orderBy(order).collect() == by_cut.orderBy(order).collect()
+    keyed = [*order, "continuation"]
+    assert tuned.select(keyed).orderBy(order).collect() == (
+        completions.sample_rows(attached).select(keyed).orderBy(order).collect()
+    )
+    faults = by_subject(checks.check_output_count(study.open_requests(stories), faulty))
+    assert faults[PLAIN] == (1, "fail") and faults[THINKS] == (0, "pass")
+    assert study.story_records(stories, faulty).count() == 39
+    kept = study.story_records(stories, faulty, complete=False).filter(f"run = '{PLAIN}' AND story_id = '00001'").first()
+    assert [len(p.continuations) for p in kept.positions] == [4, 5, 5, 5]
+
+
+def test_records_resume(spark, stories, raw, tmp_path):
+    """Write, resume, write: nothing is lost, doubled or done before it is complete."""
+    out = str(tmp_path / "records")
+    part = raw.filter("story_id = '00001' OR sample_idx < 3")
+    none = spark.createDataFrame([], RAW)
+    assert study.story_records(stories, none).isEmpty()
+    results.write_records(study.story_records(stories, part), out, file_format="parquet")
+    done = results.done_set(results.read_records(spark, out, file_format="parquet"))
+    assert {r.story_id for r in done.collect()} == {"00001"}
+    assert study.pending_requests(stories, done).select("story_id").distinct().collect() == [("00002",)]
+    results.write_records(study.story_records(stories, raw, done=done), out, file_format="parquet")
+    back = results.read_records(spark, out, file_format="parquet")
+    assert back.count() == back.select("run", "story_id").distinct().count() == 40
+    assert study.pending_requests(stories, results.done_set(back)).isEmpty()
+
+
 def test_unanswered_request_keeps_an_empty_array(spark, stories, raw):
     missing = raw.filter(f"NOT (run = '{PLAIN}' AND story_id = '00001' AND position = 4)")
     row = study.answered_requests(stories, missing).filter("size(continuations) = 0").collect()
@@ -163,6 +203,9 @@ def test_model_class_check(spark, stories):
         "prompt_mode", F.when(F.col("model") == "Qwen/QwQ-32B", "base_raw").otherwise(F.col("prompt_mode"))
     )
     assert by_subject(checks.check_model_class(wrong))["Qwen/QwQ-32B"][1] == "fail"
+    nothing = by_subject(checks.check_model_class(open_.filter("false")))
+    assert set(nothing.values()) == {(0, "fail")} and len(nothing) == 18
+    assert not checks.passed(checks.check_summary([checks.check_model_class(open_)]).filter("false"))
     unknown = open_.withColumn("model", F.lit("made/up"))
     assert by_subject(checks.check_model_class(unknown))["made/up"][1] == "fail"
 

@@ -183,18 +183,15 @@ _RECORD_SQL = "SELECT * FROM records"
 def _compare(kind: str, sides: tuple[str, ...]) -> str:
     names = {r.run_no: r.run for r in RUNS}
     members = [(m.group_id, m.ord, names[m.run_no]) for m in COMPARISON_GROUPS if m.kind == kind]
-    joins = "".join(
-        f"\n  JOIN members m{i} ON m{i}.group_id = m1.group_id AND m{i}.ord = {i}"
-        f"\n  JOIN attached a{i} ON a{i}.run = m{i}.run AND a{i}.story_id = a1.story_id"
-        f" AND a{i}.position = a1.position"
-        for i in range(2, len(sides) + 1)
+    texts = ", ".join(
+        f"md5(any_value(continuations) FILTER (WHERE ord = {i})) AS {s}_md5" for i, s in enumerate(sides, start=1)
     )
-    texts = ", ".join(f"md5(a{i}.continuations) AS {s}_md5" for i, s in enumerate(sides, start=1))
     return _with(
         *_ANS,
         _values("members", "group_id, ord, run", members),
-        f"""SELECT m1.group_id, a1.story_id, a1.position, {texts}
-  FROM members m1 JOIN attached a1 ON a1.run = m1.run AND m1.ord = 1{joins}""",
+        f"""SELECT group_id, story_id, position, {texts}
+  FROM members JOIN attached USING (run) GROUP BY group_id, story_id, position
+  HAVING count(DISTINCT ord) = {len(sides)}""",
     )
 
 

@@ -225,8 +225,7 @@ def model_class(spark, d):
 
 def export_prompts(spark, d):
     """Requests as handed to a generation engine; texts as MD5."""
-    open_ = study.open_requests(fixtures.stories(spark, d))
-    out = prompts.export_prompts(open_, cut_texts(spark, d))
+    out = study.export_requests(fixtures.stories(spark, d))
     return out.select(
         "run",
         "story_id",
@@ -260,7 +259,7 @@ def attach_completions(spark, d):
 
 
 def finetune_rows(spark, d):
-    rows = C.finetune_rows(cleaned(spark, d), cut_texts(spark, d))
+    rows = study.finetuning(fixtures.stories(spark, d), raw_completions(spark, d))
     return rows.select(
         "run",
         "story_id",
