@@ -4,7 +4,7 @@ Prefix doubling sorts positions by the pair (rank of a string, rank of the strin
 offset further on), ranks again, and drops positions whose rank has become unique, until the
 compared length is past the threshold. Here a rank is the content hash of the string, computed
 where the text lies, so that ranks agree everywhere without a global sort and pairs are formed
-by grouping. The lengths are 72, about 265 and 200 bytes:
+by grouping. The rounds compare 72, 193 and 200 bytes:
 
 1. Of the 129 strings of 72 bytes inside a window of 200, the one with the least hash is the
    window's anchor; equal windows have equal anchors. Only anchors (about one position in 65)
@@ -12,9 +12,12 @@ by grouping. The lengths are 72, about 265 and 200 bytes:
    their windows.
 2. An anchor that is left is ranked by the pair (its rank, rank of the stretch of text that its
    windows cover together). Where this pair repeats, all windows of the anchor repeat.
-3. Of the rest, and of one anchor per repeated pair with the same 72-byte rank, every window is
-   ranked by the pair (rank of its anchor, rank of the 200 bytes). Windows with a repeated pair
-   repeat.
+3. Of the rest, and of one anchor per repeated pair with the same 72-byte rank, the windows are
+   taken in runs of eight by their distance from the anchor. A run is ranked by the pair (rank
+   of its anchor, rank of the 193 bytes that all its windows share); where that is unique, no
+   window repeats, and where the pair with the whole stretch of the run repeats, all do.
+4. Of the runs that are left, every window is ranked by the pair (rank of its anchor, rank of
+   the 200 bytes). Windows with a repeated pair repeat.
 
 Wholly equal texts are processed once; a text that has a copy, and is long enough, loses all.
 Pairs of two independent 64-bit ranks are compared, never the texts themselves.
@@ -26,7 +29,7 @@ carried by ``without_repeats`` and not read.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,8 @@ from continuum.sources.shared import cut_lineage
 LENGTH = 200
 GRAM = 72
 CHOICES = LENGTH - GRAM + 1
+RUN = 8
+RUNS = 1 << 5  # more than there are runs in a stretch
 _PLACE = np.uint64((1 << 31) - 1)
 _BASES = (0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -105,14 +110,41 @@ class Anchors:
         lie = (span * LENGTH + self.at - self.first).astype(np.uint64)
         return words.mix(inner + lie * words.GOLDEN).view(np.int64)
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, 200-byte ranks and anchor ranks of all windows of the anchors at ``at``."""
+    def _owned(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank of the anchors at ``at``, and their least and greatest distance to a window."""
         i = np.searchsorted(self.at, at)
-        size = self.last[i] - self.first[i] + 1
-        start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        start += np.repeat(self.first[i], size)
-        rank = Ranks(self.data, _BASES[1]).of(start, LENGTH).view(np.int64)
-        return start, rank, np.repeat(self.rank[i], size)
+        return self.rank[i], at - self.last[i], at - self.first[i]
+
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes, anchor ranks, shared ranks and stretch ranks of all runs of the anchors ``at``."""
+        rank, near, far = self._owned(at)
+        size = far // RUN - near // RUN + 1
+        run = spread(near // RUN, size)
+        at, rank, near, far = (np.repeat(x, size) for x in (at, rank, near, far))
+        near, far = np.maximum(near, run * RUN), np.minimum(far, run * RUN + RUN - 1)
+        ranks = Ranks(self.data, _BASES[1])
+        core = ranks.of(at - run * RUN, LENGTH - RUN + 1).view(np.int64)
+        lie = (near * LENGTH + far).astype(np.uint64)
+        whole = words.mix(ranks.of(at - far, far - near + LENGTH) + lie * words.GOLDEN).view(np.int64)
+        return at * RUNS + run, rank, core, whole
+
+    def starts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows in the coded runs, and the ranks of their anchors."""
+        at, run = codes // RUNS, codes % RUNS
+        rank, near, far = self._owned(at)
+        near, far = np.maximum(near, run * RUN), np.minimum(far, run * RUN + RUN - 1)
+        size = far - near + 1
+        return spread(at - far, size), np.repeat(rank, size)
+
+    def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, anchor ranks and 200-byte ranks of the windows in the coded runs."""
+        start, rank = self.starts(codes)
+        return start, rank, Ranks(self.data, _BASES[1]).of(start, LENGTH).view(np.int64)
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first, first + 1, ...``, ``size`` of them, for each pair in turn."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
 
 
 def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,29 +171,38 @@ def _find_anchors(batches):
         yield _frame(out)
 
 
-def _find_windows(batches):
-    for batch in batches:
-        out = {"uid": [], "start": [], "rank": [], "window": []}
-        for uid, text, at in zip(batch["uid"], batch["text"], batch["at"], strict=True):
-            a = Anchors(text.encode())
-            start, window, rank = a.windows(np.sort(np.asarray(at, np.int64)))
-            for name, x in zip(out, (np.full(len(start), uid, np.int64), start, rank, window), strict=True):
-                out[name].append(x)
-        yield _frame(out)
+def _visit(of, names):
+    """For texts with a list of numbers each: what ``of`` an ``Anchors`` finds for the list."""
+
+    def find(batches):
+        for batch in batches:
+            out = {"uid": [], **{n: [] for n in names}}
+            for uid, text, at in zip(batch["uid"], batch["text"], batch["at"], strict=True):
+                found = of(Anchors(text.encode()), np.sort(np.asarray(at, np.int64)))
+                out["uid"].append(np.full(len(found[0]), uid, np.int64))
+                for name, x in zip(names, found, strict=True):
+                    out[name].append(x)
+            yield _frame(out)
+
+    return find
 
 
 def _cut(batches):
+    def numbers(x) -> np.ndarray:
+        return np.asarray([] if x is None else x, np.int64)
+
     for batch in batches:
         rows = []
-        for node, text, at, start in zip(
-            batch["node"], batch["text"], batch["at"], batch["starts"], strict=True
+        for node, text, at, runs, start in zip(
+            *(batch[c] for c in ("node", "text", "at", "runs", "starts")), strict=True
         ):
             data = text.encode()
-            found = [np.asarray([] if start is None else start, np.int64)]
-            if at is not None and len(at):
+            found = [numbers(start)]
+            at, runs = np.sort(numbers(at)), numbers(runs)
+            if len(at) or len(runs):
                 a = Anchors(data)
-                i = np.searchsorted(a.at, np.asarray(at, np.int64))
-                found += [np.arange(x, y + 1) for x, y in zip(a.first[i], a.last[i], strict=True)]
+                i = np.searchsorted(a.at, at)
+                found += [spread(a.first[i], a.last[i] - a.first[i] + 1), a.starts(runs)[0]]
             left, right = spans(np.unique(np.concatenate(found)))
             edge = [0, *np.stack([left, right], axis=1).ravel().tolist(), len(data)]
             kept = b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True))
@@ -169,6 +210,21 @@ def _cut(batches):
         yield pd.DataFrame(rows, columns=["node", "n_removed", "n_spans", "kept", "clean"])
 
 
+def settled(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``uid, at, stretch`` and keys: the places known to repeat, and those to look into.
+
+    Places with unique keys are dropped. Where keys and stretch repeat, all windows of the
+    place repeat; one such place stands for its equals beside the ones to look into.
+    """
+    ranked = rows.groupBy(*keys).agg(F.count("*").alias("c"), (F.min("stretch") == F.max("stretch")).alias("same"))
+    live = stored(rows.join(ranked.filter("c > 1").drop("c").hint("merge"), keys), f"live_{name}")
+    mixed = live.filter("not same")
+    pairs = mixed.groupBy(*keys, "stretch").agg(F.count("*").alias("c"), F.min(F.struct("uid", "at")).alias("first"))
+    judged = stored(mixed.join(pairs.hint("merge"), [*keys, "stretch"]), f"judged_{name}")
+    sure = live.filter("same").select("uid", "at").unionByName(judged.filter("c > 1").select("uid", "at"))
+    return sure, judged.filter(F.struct("uid", "at") == F.col("first")).select("uid", "at")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
@@ -195,39 +251,34 @@ def repeats(docs: DataFrame) -> DataFrame:
         texts.select("uid", "text").mapInPandas(_find_anchors, "uid long, at long, rank long, stretch long"),
         "anchors",
     )
-    # Round 1: ranks of 72 bytes.
-    ranked = anchors.groupBy("rank").agg(
-        F.count("*").alias("c"), (F.min("stretch") == F.max("stretch")).alias("same")
-    )
-    live = stored(anchors.join(ranked.filter("c > 1").hint("merge"), "rank").drop("c"), "live")
-    # Round 2: pairs with the rank of the covered stretch.
-    mixed = live.filter("not same")
-    pairs = mixed.groupBy("rank", "stretch").agg(
-        F.count("*").alias("c"), F.min(F.struct("uid", "at")).alias("first")
-    )
-    judged = stored(mixed.join(pairs.hint("merge"), ["rank", "stretch"]), "judged")
-    whole = live.filter("same").select("uid", "at").unionByName(judged.filter("c > 1").select("uid", "at"))
-    open_ = judged.filter(F.struct("uid", "at") == F.col("first")).select("uid", "at")
-    # Round 3: pairs with the rank of each window.
     places = nodes.select("uid", "node", "r")
-    visits = open_.groupBy("uid").agg(F.collect_list("at").alias("at")).join(places.hint("merge"), "uid")
-    windows = stored(
-        texts.join(visits.drop("uid").hint("merge"), ["node", "r"])
-        .select("uid", "text", "at")
-        .mapInPandas(_find_windows, "uid long, start long, rank long, window long"),
-        "windows",
-    )
+
+    def visited(rows: DataFrame, of, names: list[str], name: str) -> DataFrame:
+        lists = rows.groupBy("uid").agg(F.collect_list("at").alias("at")).join(places.hint("merge"), "uid")
+        found = texts.join(lists.drop("uid").hint("merge"), ["node", "r"]).select("uid", "text", "at")
+        schema = ", ".join(f"{c} long" for c in ["uid", *names])
+        return stored(found.mapInPandas(_visit(of, names), schema), name)
+
+    whole, open_ = settled(anchors, ["rank"], "anchors")
+    runs = visited(open_, Anchors.runs, ["at", "rank", "core", "stretch"], "runs")
+    keyed_runs = runs.withColumn("run", F.col("at") % RUNS)
+    sure_runs, open_runs = settled(keyed_runs, ["rank", "run", "core"], "runs")
+    windows = visited(open_runs, Anchors.windows, ["start", "rank", "window"], "windows")
     again = windows.groupBy("rank", "window").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    starts = windows.join(again.hint("merge"), ["rank", "window"]).select("uid", "start")
+    starts = windows.join(again.hint("merge"), ["rank", "window"])
     # Last visit: cut.
+    found = [whole.select("uid", "at"), sure_runs.select("uid", "at"), starts.select("uid", F.col("start").alias("at"))]
+    marks = functools.reduce(
+        DataFrame.unionByName, [x.withColumn("kind", F.lit(k)) for k, x in enumerate(found)]
+    )
     losses = (
-        whole.groupBy("uid").agg(F.collect_list("at").alias("at"))
-        .join(starts.groupBy("uid").agg(F.collect_list("start").alias("starts")).hint("merge"), "uid", "full")
+        marks.groupBy("uid")
+        .agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in enumerate(("at", "runs", "starts"))])
         .join(nodes.filter("copies = 1").select("uid", "node", "r").hint("merge"), "uid")
     )
     cut = (
         texts.join(losses.drop("uid").hint("merge"), ["node", "r"])
-        .select("node", "text", "at", "starts")
+        .select("node", "text", "at", "runs", "starts")
         .mapInPandas(_cut, "node binary, n_removed long, n_spans long, kept binary, clean string")
     )
     lost = nodes.filter("copies > 1").select(
