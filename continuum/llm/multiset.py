@@ -15,7 +15,7 @@ held to 0..1, and 1 for equal fingerprints.
 
 Defined results: a null text is empty, which is one empty paragraph; rows with equal ids follow
 each other by the MD5 of their texts, equal rows count once in that order and each has a result;
-null ids come first; the only row of a table is its own next; an empty table gives no rows;
+ids are numbers and null ids come first; the only row of a table is its own next; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -29,10 +29,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import IntegerType
 
 from continuum.llm import words
-from continuum.operators.ordering import with_global_index
 
 HASH_LANES = 32
 COUNT_LANES = 256
@@ -81,81 +80,115 @@ def likeness(a: list[bytes], b: list[bytes]) -> np.ndarray:
         np.frombuffer(b"".join(f[cut:] for f in side), "<i2").reshape(-1, COUNT_LANES).astype(float)
         for side in (a, b)
     )
+    if not len(x):
+        return np.empty(0)
     norm = np.maximum((x * x).sum(axis=1), (y * y).sum(axis=1))
     share = np.clip((x * y).sum(axis=1) / np.where(norm == 0, 1, norm), 0, 1)
     return np.where([p == q for p, q in zip(a, b, strict=True)], 1.0, share)
 
 
-def _print_all(batches):
-    for batch in batches:
-        yield batch.assign(print=[fingerprint(t) for t in batch["text"]])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, digest, print`` with the fingerprint as bytes."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct("doc_id").alias("key"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"key struct<doc_id: {kind}>, text string, digest binary, print binary"
-    return rows.mapInPandas(_print_all, schema).select(F.col("key.doc_id").alias("doc_id"), "text", "digest", "print")
-
-
-def _compare(batches):
-    for batch in batches:
-        edited, prints = [], []
-        for text, head in zip(batch["text"], batch["head"], strict=True):
-            edited.append(text[: len(text) - len(text) // 2] + head)
-            prints.append(fingerprint(edited[-1]))
-        own, following = batch["print"].tolist(), batch["next_print"].tolist()
-        yield pd.DataFrame(
+class Chain:
+    """Reads texts in order and gives each its results once the next one is known."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.state = None
+        self.keys: list = []
+        self.text = self.print = None
+
+    def add(self, group: int, tail: bool, key, digest: bytes, text: str) -> None:
+        state = (group, tail, key, digest)
+        if state == self.state:
+            self.keys.append(key)
+            return
+        now = fingerprint(text)
+        if self.state and self.state[0] == group and not self.state[1]:
+            room = len(self.text) // 2
+            edited = self.text[: len(self.text) - room] + text[:room]
+            result = (
+                len(self.text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(),
+                self.print, fingerprint(edited), now,
+            )
+            self.rows += [(k, *result) for k in self.keys]
+        self.state, self.keys, self.text, self.print = state, [key], text, now
+
+    def taken(self) -> pd.DataFrame:
+        rows, self.rows = self.rows, []
+        key, n, sha, own, changed, following = (list(x) for x in zip(*rows, strict=True))
+        return pd.DataFrame(
             {
-                "key": batch["key"],
-                "n_chars": batch["text"].str.len().astype("int64"),
-                "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in edited],
+                "key": key,
+                "n_chars": n,
+                "edited_sha256": sha,
                 "fingerprint": [base64.b64encode(p).decode() for p in own],
-                "edited_fingerprint": [base64.b64encode(p).decode() for p in prints],
-                "near_edited": likeness(own, prints),
+                "edited_fingerprint": [base64.b64encode(p).decode() for p in changed],
+                "near_edited": likeness(own, changed),
                 "near_next": likeness(own, following),
             }
         )
 
 
+def _walk(batches):
+    chain = Chain()
+    for batch in batches:
+        for row in zip(*(batch[c] for c in ("group", "tail", "key", "digest", "text")), strict=True):
+            chain.add(*row)
+        if chain.rows:
+            yield chain.taken()
+
+
+def _range_of(bounds: list):
+    """The number of the range an id without nulls falls into, by the least ids of the ranges."""
+
+    @F.pandas_udf(IntegerType())
+    def range_of(ids: pd.Series) -> pd.Series:
+        at = np.searchsorted(np.array(bounds), ids.to_numpy(), side="right") if bounds else np.zeros(len(ids))
+        return pd.Series(np.maximum(at - 1, 0).astype(np.int32))
+
+    return range_of
+
+
+def _ranges(docs: DataFrame, n: int) -> list:
+    """The least ids of at most ``n`` ranges of about equal numbers of rows, ascending."""
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
+    shares = [k / n for k in range(n)]
+    about = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 100 * n))).first()[0]
+    parts = ids.groupBy(_range_of(sorted(set(about or [])))("doc_id")).agg(F.min("doc_id"))
+    return sorted(row[1] for row in parts.collect())
+
+
 def with_edits(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint beside those of its edited text and of the next row.
 
-    The edited text ends in the beginning of the next row's text, see the module. Rows are
-    dealt by key once with their texts; the beginning then goes to the row before.
+    The last half of the edited text is the beginning of the next row's text. Rows are dealt
+    into ranges of ids and walked through in order; the first rows of a range go to the one
+    before as well, where they end the walk, so each text moves once.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = fingerprints(docs).withColumn("r", F.xxhash64("doc_id"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema["doc_id"].dataType
+    bounds = _ranges(docs, 4 * n)
+    last = max(len(bounds) - 1, 0)
+
     text = F.coalesce("text", F.lit(""))
-    keys = docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), F.char_length(text).alias("n")).distinct()
-    order = with_global_index(keys, ["doc_id", "digest"], "at")
-    after = F.when(F.col("at") + 1 == F.col("n_rows"), F.lit(0)).otherwise(F.col("at") + 1)
-    before = order.select(
-        after.alias("at"), F.xxhash64("doc_id").alias("before_r"), F.col("digest").alias("before_digest"),
-        F.floor(F.col("n") / 2).cast("int").alias("room"),
-    )
-    linked = order.join(before.hint("merge"), "at").select(
-        F.xxhash64("doc_id").alias("r"), "digest", "before_r", "before_digest", "room"
-    )
-    placed = rows.join(linked.hint("merge"), ["r", "digest"])
-    once = Window.partitionBy("r", "digest").orderBy(F.lit(0))
-    heads = placed.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(
-        F.col("before_r").alias("r"),
-        F.col("before_digest").alias("digest"),
-        F.col("text").substr(F.lit(1), F.col("room")).alias("head"),
-        F.col("print").alias("next_print"),
+    starts = F.array(*[F.lit(x) for x in bounds]).cast(f"array<{kind.simpleString()}>")
+    filled = F.coalesce("doc_id", F.lit(bounds[0] if bounds else None).cast(kind))
+    rows = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("digest"), _range_of(bounds)(filled).alias("group"))
+    # Null ids come first, so where there are any, they and not the least id follow the last row.
+    heads = docs.filter("doc_id IS NULL").limit(1).count()
+    leads = F.coalesce(F.get(starts, F.col("group")) == F.col("doc_id"), F.lit(False))
+    wraps = F.col("doc_id").isNull() if heads else leads & (F.col("group") == 0)
+    own = F.struct(F.col("group"), F.lit(False).alias("tail"))
+    to_last = F.struct(F.lit(last).alias("group"), F.lit(True).alias("tail"))
+    before = F.struct((F.col("group") - 1).alias("group"), F.lit(True).alias("tail"))
+    copies = F.when(wraps, F.array(own, to_last)).when(leads & (F.col("group") > 0), F.array(own, before)).otherwise(F.array(own))
+    dealt = rows.withColumn("to", F.explode(copies)).select("to.group", "to.tail", "doc_id", "digest", "text")
+    ordered = dealt.repartition(n, "group").sortWithinPartitions("group", "tail", "doc_id", "digest")
+    # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
+    walked = ordered.select("group", "tail", F.col("doc_id").cast("string").alias("key"), "digest", "text")
+    schema = (
+        "key string, n_chars long, edited_sha256 string, fingerprint string, "
+        "edited_fingerprint string, near_edited double, near_next double"
     )
-    pairs = placed.select("r", "digest", F.struct("doc_id").alias("key"), "text", "print").join(
-        heads.hint("merge"), ["r", "digest"]
-    )
-    return (
-        pairs.select("key", "text", "print", "head", "next_print")
-        .mapInPandas(
-            _compare,
-            f"key struct<doc_id: {kind}>, n_chars long, edited_sha256 string, fingerprint string, "
-            "edited_fingerprint string, near_edited double, near_next double",
-        )
-        .select("key.doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return walked.mapInPandas(_walk, schema).select(
+        F.col("key").cast(kind).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
