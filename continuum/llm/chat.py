@@ -117,12 +117,8 @@ class Windows:
 WINDOW = "window int, text string, n_repeated int, n_tokens long, loss array<struct<start: long, end: long>>"
 
 
-def _kind(turns: DataFrame) -> str:
-    return f"key struct<conv_id: {turns.schema['conv_id'].dataType.simpleString()}>"
-
-
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str | None = None) -> DataFrame:
-    """``key.conv_id, window, text, n_repeated, n_tokens, loss`` in order within each partition.
+    """``conv_id, window, text, n_repeated, n_tokens, loss`` in order within each partition.
 
     ``n_repeated`` turns at the start of the text were in an earlier window; ``loss`` holds
     spans of characters to learn from.
@@ -147,12 +143,17 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, voca
             )
 
     rows = turns.select(
-        F.struct("conv_id").alias("key"), "turn", F.coalesce("role", F.lit("")).alias("role"),
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "key").sortWithinPartitions("key", "turn", "role", "text")
-    return ordered.mapInPandas(write, f"{_kind(turns)}, {WINDOW}")
+    ordered = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
+    told = ordered.select(F.col("conv_id").cast("string").alias("key"), "role", "text")
+    kind = turns.schema["conv_id"].dataType
+    return told.mapInPandas(write, f"key string, {WINDOW}").select(
+        F.col("key").cast(kind).alias("conv_id"), "window", "text", "n_repeated", "n_tokens", "loss"
+    )
 
 
 class Reading:
@@ -199,8 +200,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests per conversation, from what ``windows`` wrote and in its order."""
-    kind = formatted.schema["key"].dataType.simpleString()
+    kind = formatted.schema["conv_id"].dataType
+    rows = formatted.select(F.col("conv_id").cast("string").alias("key"), "text", "n_repeated", "loss")
     schema = (
-        f"key {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+        "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
-    return formatted.mapInPandas(_read, schema).select("key.conv_id", *_READ[1:])
+    return rows.mapInPandas(_read, schema).select(F.col("key").cast(kind).alias("conv_id"), *_READ[1:])

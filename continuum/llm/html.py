@@ -277,11 +277,15 @@ def main_text(page: str) -> str:
 def _extract(batches):
     for batch in batches:
         text = [main_text(page) for page in batch["html"]]
-        yield pd.DataFrame({"key": batch["key"], "text": text, "n_chars": [len(t) for t in text]})
+        yield pd.DataFrame({"key": batch["key"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
 
 def texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row."""
-    rows = pages.select(F.struct("page_id", "url").alias("key"), F.coalesce("html", F.lit("")).alias("html"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(_extract, f"key {kind}, text string, n_chars long").select("key.*", "text", "n_chars")
+    # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
+    rows = pages.select(
+        F.col("page_id").cast("string").alias("key"), "url", F.coalesce("html", F.lit("")).alias("html")
+    )
+    made = rows.mapInPandas(_extract, "key string, url string, text string, n_chars long")
+    page_id = F.col("key").cast(pages.schema["page_id"].dataType).alias("page_id")
+    return made.select(page_id, "url", "text", "n_chars")

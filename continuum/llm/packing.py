@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from continuum.sources.shared import cut_lineage
 BUDGET = 2048
 END_ID = 0
 GROUP = 1 << 15
-PIECES = "doc_id {id}, piece int, start long, length long, ids binary"
+PIECES = "key string, piece int, start long, length long, ids binary"
 
 
 def pieces(docs: DataFrame, budget: int = BUDGET, vocabulary: str | None = None) -> DataFrame:
@@ -40,7 +41,7 @@ def pieces(docs: DataFrame, budget: int = BUDGET, vocabulary: str | None = None)
         encoder = tokens.encoder(vocabulary)
         for batch in batches:
             rows = []
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for key, text in zip(batch["key"], batch["text"], strict=True):
                 ids = encoder.ids(text or "") + end
                 n = len(ids) // 4
                 stop = n if n <= budget else n % budget or budget
@@ -48,20 +49,14 @@ def pieces(docs: DataFrame, budget: int = BUDGET, vocabulary: str | None = None)
                 while start < n:
                     rows.append((key, number, start, stop - start, ids[4 * start : 4 * stop]))
                     start, stop, number = stop, stop + budget, number + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+            yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(_keep_ids(cut), PIECES.format(id=kind))
-
-
-def _keep_ids(step):
-    """Null ids would turn whole columns of large integers into floats; objects keep both."""
-
-    def stepped(batches):
-        yield from step(b.astype({"doc_id": object}).where(b.notna(), None) for b in batches)
-
-    return stepped
+    # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
+    texts = docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInPandas(cut, PIECES).select(
+        F.col("key").cast(kind).alias("doc_id"), "piece", "start", "length", "ids"
+    )
 
 
 def fill(lengths: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +99,13 @@ def placed(items: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFr
     dealt = numbered.withColumn("_group", F.pmod(F.xxhash64("_group"), F.lit(n_groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        where, offset = fill(rows["length"].to_numpy(np.int64), budget)
-        number = (np.int64(rows["_group"].iloc[0]) << 32) + where
-        return rows.drop(columns="_group").assign(sequence_id=number, offset=offset)
+    def pack(rows: pa.Table) -> pa.Table:
+        where, offset = fill(rows["length"].to_numpy().astype(np.int64), budget)
+        number = (np.int64(rows["_group"][0].as_py()) << 32) + where
+        rows = rows.drop_columns(["_group"]).append_column("sequence_id", pa.array(number))
+        return rows.append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("_group").applyInPandas(pack, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(pack, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | N
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """``doc_id, score`` for each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -202,5 +202,6 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> Data
                     result[i] = _sigmoid(total + weights[:, -1]).mean()
             yield pd.DataFrame({"key": batch["key"], "score": result})
 
-    rows = docs.select(F.struct("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(score, f"key struct<doc_id: {kind}>, score double").select("key.doc_id", "score")
+    # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
+    rows = docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(score, "key string, score double").select(F.col("key").cast(kind).alias("doc_id"), "score")
