@@ -211,12 +211,23 @@ def test_model_class_check(spark, stories):
 
 
 def test_prompt_check(spark, stories):
-    texts = study.story_texts(stories)
-    assert {s for _, s in by_subject(checks.check_prompts(texts)).values()} == {"pass"}
-    tagged = texts.withColumn("prefix", F.concat("prefix", F.lit(" </THINK>")))
-    got = by_subject(checks.check_prompts(tagged))
-    assert got["qwen25_32b_instruct"] == (7, "fail")
-    assert got[THINKS] == (0, "pass") and got[PLAIN] == (0, "pass")
+    good = study.export_requests(stories)
+    assert {s for _, s in by_subject(checks.check_prompts(good)).values()} == {"pass"}
+    chat, here = F.col("messages"), F.col("run") == "qwen25_32b_instruct"
+    system = F.array(chat[0])
+    user = F.struct(chat[1]["role"].alias("role"), F.concat(chat[1]["content"], F.lit(" </THINK>")).alias("content"))
+    faults = {
+        "tag": good.withColumn("messages", F.when(chat.isNotNull(), F.array(chat[0], user))),
+        "one message": good.withColumn("messages", F.when(here, system).otherwise(chat)),
+        "no message": good.withColumn("messages", F.when(~here, chat)),
+        "both": good.withColumn("prompt", F.when(here, F.lit("x")).otherwise(F.col("prompt"))),
+    }
+    for name, rows in faults.items():
+        got = by_subject(checks.check_prompts(rows))
+        assert got["qwen25_32b_instruct"] == (7, "fail"), name
+        assert got[THINKS] == (0, "pass") and got[PLAIN] == (0, "pass"), name
+    empty = good.withColumn("prompt", F.when(F.col("prompt").isNotNull(), F.lit(" ")))
+    assert by_subject(checks.check_prompts(empty))[PLAIN] == (7, "fail")
 
 
 def test_missing_runs_and_summary(spark):

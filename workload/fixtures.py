@@ -37,6 +37,17 @@ def done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(reached).select("run", "story_id")
 
 
+#: Folders of completions written beforehand, by table folder; ``bench.py`` fills it.
+PREPARED: dict[str, str] = {}
+
+
+def all_completions(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
+    """Completions of all open requests: those prepared for this folder, or else new ones."""
+    if sf_dir in PREPARED:
+        return spark.read.parquet(PREPARED[sf_dir])
+    return completions(spark, sf_dir, requests)
+
+
 def completions(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
     """A raw text for every sample of every request, drawn from the assistant turns.
 

@@ -223,7 +223,7 @@ _PROMPTS = _fault(
     "prompts",
     f"""count(*) FILTER (WHERE CASE WHEN prompt_mode = 'base_raw' THEN {_strip('prefix')} = ''
       ELSE user_text = '' OR (regexp_matches(user_text, '(?i)</?think>') AND NOT enable_thinking) END)""",
-    "all_requests",
+    "requests",
 )
 _MISSING_RUNS = """SELECT 'missing_runs' AS "check", r.run AS subject, count(d.story_id) AS n,
   CASE WHEN count(d.story_id) > 0 THEN 'pass' ELSE 'fail' END AS status
@@ -320,6 +320,7 @@ ORACLE_SQL: dict[str, str] = {
         *_POS,
         f"SELECT story_id, position, {_q(SYSTEM_TEXT)} AS system_text, {_USER_TEXT} AS user_text FROM pos",
     ),
+    "requests_old": _with(*_BASE, _cuts(OLD), _RUNS, _REQUESTS, _REQUEST_SQL + "all_requests"),
     "requests": _with(*_POS, _RUNS, _REQUESTS, _REQUEST_SQL + "all_requests"),
     "pending_requests": _with(
         *_REQ,
@@ -356,6 +357,12 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT run, story_id, position, sample_idx, md5(prefix) AS prefix_md5, md5(truth) AS ground_truth_md5,
   md5(continuation) AS continuation_md5 FROM answers JOIN pos USING (story_id, position)""",
     ),
+    "pending_records": _with(
+        *_ANS,
+        _RECORDS,
+        _DONE,
+        _RECORD_SQL + " ANTI JOIN done USING (run, story_id)",
+    ),
     "nest_story": _with(*_ANS, _RECORDS, _RECORD_SQL),
     "nest_story_4096": _with(*_REQ_4096, _ANSWERS, _RECORDS, _RECORD_SQL),
     "story_result_json": _with(*_ANS, _RECORDS, _RECORD_SQL),
@@ -378,7 +385,7 @@ ORACLE_SQL: dict[str, str] = {
     "check_think_leak": _with(*_ANS, _THINK_LEAK),
     "check_output_count": _with(*_ANS, _OUTPUT_COUNT),
     "check_empty_output": _with(*_ANS, _EMPTY_OUTPUT),
-    "check_prompts": _with(*_POS, _RUNS, _REQUESTS, _PROMPTS),
+    "check_prompts": _with(*_REQ, _PROMPTS),
     "check_missing_runs": _with(_RUNS, _DONE, _MISSING_RUNS),
     "check_summary": _with(
         *_ANS,

@@ -190,6 +190,10 @@ def request_table(spark, d):
     return all_requests(spark, d).select(*REQUEST_COLUMNS)
 
 
+def requests_old(spark, d):
+    return all_requests(spark, d, OLD).select(*REQUEST_COLUMNS)
+
+
 def pending_requests(spark, d):
     """Requests left when the done-set of all runs is taken off."""
     open_ = study.pending_requests(fixtures.stories(spark, d), fixtures.done(spark, d))
@@ -242,11 +246,11 @@ def export_prompts(spark, d):
 
 def answered(spark, d):
     s = fixtures.stories(spark, d)
-    return study.answered_requests(s, fixtures.completions(spark, d, study.open_requests(s)))
+    return study.answered_requests(s, fixtures.all_completions(spark, d, study.open_requests(s)))
 
 
 def raw_completions(spark, d):
-    return fixtures.completions(spark, d, study.open_requests(fixtures.stories(spark, d)))
+    return fixtures.all_completions(spark, d, study.open_requests(fixtures.stories(spark, d)))
 
 
 def cleaned(spark, d):
@@ -274,7 +278,8 @@ def finetune_rows(spark, d):
 def story_records(spark, d, config=CURRENT):
     s = fixtures.stories(spark, d)
     planned = requests.requests(study.story_positions(s))
-    raw = fixtures.completions(spark, d, requests.context_guard(planned, config))
+    make = fixtures.all_completions if config is CURRENT else fixtures.completions
+    raw = make(spark, d, requests.context_guard(planned, config))
     return study.story_records(s, raw, config=config)
 
 
@@ -294,6 +299,13 @@ def nest_story(spark, d):
     return _record_view(story_records(spark, d))
 
 
+def pending_records(spark, d):
+    """Records that are complete and not in the done-set of all runs."""
+    s = fixtures.stories(spark, d)
+    raw = fixtures.all_completions(spark, d, study.open_requests(s))
+    return _record_view(study.story_records(s, raw, done=fixtures.done(spark, d)))
+
+
 def nest_story_4096(spark, d):
     """With a small context window some records lose positions, and some lose all of them."""
     return _record_view(story_records(spark, d, SMALL_CONTEXT))
@@ -359,7 +371,7 @@ def check_empty_output(spark, d):
 
 
 def check_prompts(spark, d):
-    return checks.check_prompts(cut_texts(spark, d))
+    return checks.check_prompts(study.export_requests(fixtures.stories(spark, d)))
 
 
 def check_missing_runs(spark, d):
@@ -405,6 +417,7 @@ QUERIES: dict[str, Query] = {
     "prompt_base": prompt_base,
     "prompt_chat": prompt_chat,
     "requests": request_table,
+    "requests_old": requests_old,
     "pending_requests": pending_requests,
     "context_guard": context_guard,
     "context_guard_4096": context_guard_4096,
@@ -414,6 +427,7 @@ QUERIES: dict[str, Query] = {
     "attach_completions": attach_completions,
     "finetune_rows": finetune_rows,
     "nest_story": nest_story,
+    "pending_records": pending_records,
     "nest_story_4096": nest_story_4096,
     "story_result_json": story_result_json,
     "compare_pairs": compare_pairs,
