@@ -8,11 +8,12 @@ coordinates, and a coordinate keeps the earliest dart that falls on the text. Ra
 in strips of doubling width, until all coordinates of a text are met, so a long text looks at
 narrow strips only and a short one throws many darts per cell.
 
-Equal texts are one node from the start. Nodes that share a band are candidates. Within a band
-group a growing number of leaders is compared with all members that are not yet in the same
-class, by the exact similarity of whole texts; leaders then leave the group, and a group ends
-once its members are in one class. So no link between classes is lost among candidates, and a
-group of copies costs about one comparison per member, not one per pair.
+Equal texts are one node from the start. Nodes that share a band are candidates, and whole texts
+decide. First all members of a band group are compared with its leader. Where a group then still
+holds several classes, the members outside its largest class are compared with all members by
+an inverted index of cells, in blocks of bounded size, and only the links that join classes are
+kept. So no link between classes is lost among candidates, and pairs within a class are not
+formed.
 
 Defined results: a null text is empty; empty texts are one class; texts of fewer than five
 words are alike only if their words are; rows with equal ids or wholly equal rows are rows of
@@ -41,7 +42,7 @@ THRESHOLD = 0.8
 BANDS = 24  # with 4 coordinates each, a pair at 0.8 is missed with probability 3e-6
 ROWS = 4
 FIRST_STRIP = 2.0**-5
-LEADER_GROWTH = 4
+BLOCK = 2000
 MAX_CELLS = 1 << 20
 
 
@@ -133,9 +134,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                     found += [(len(x), k) for x, k in zip(pending, band_keys(signatures(pending)))]
                     pending, load = [], 0
             found += [(len(x), k) for x, k in zip(pending, band_keys(signatures(pending)))]
-            yield pd.DataFrame(
-                {"node": nodes, "n": [n for n, _ in found], "bands": [k for _, k in found]}
-            )
+            if nodes:
+                yield pd.DataFrame(
+                    {"node": nodes, "n": [n for n, _ in found], "bands": [k for _, k in found]}
+                )
 
     texts = docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(sign, "node binary, n long, bands array<long>")
@@ -158,53 +160,93 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("node", "text")
 
 
+def shared_cells(texts: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """For each of the arrays numbered ``some``, how many cells it shares with every array."""
+    sizes = [len(c) for c in texts]
+    cell, inverse = np.unique(np.concatenate(texts), return_inverse=True)
+    owner = np.repeat(np.arange(len(texts)), sizes)[np.argsort(inverse, kind="stable")]
+    stop = np.cumsum(np.bincount(inverse, minlength=len(cell)))
+    begin = np.cumsum(sizes) - sizes
+    result = np.empty((len(some), len(texts)), np.int64)
+    for row, i in enumerate(some):
+        own = inverse[begin[i] : begin[i] + sizes[i]]
+        size = stop[own] - np.where(own > 0, stop[own - 1], 0)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(stop[own] - size, size)
+        result[row] = np.bincount(owner[at], minlength=len(texts))
+    return result
+
+
+def _join_groups(rows: pd.DataFrame) -> pd.DataFrame:
+    """Enough links to join what is alike in a band group, beyond what is joined already."""
+    texts = [cells(words.shingles(t.encode(), SHINGLE)) for t in rows["text"]]
+    group = pd.factorize(rows["comp"])[0]
+    outside = np.flatnonzero(group != np.bincount(group).argmax())  # the largest class is joined
+    n = np.array([len(c) for c in texts])
+    nodes = rows["node"].to_numpy()
+    found = []
+    for start in range(0, len(outside), 256):
+        some = outside[start : start + 256]
+        both = shared_cells(texts, some)
+        alike = both >= THRESHOLD * (n[some][:, None] + n[None, :] - both)
+        for i, j in zip(*np.nonzero(alike), strict=True):
+            one, other = group[some[i]], group[j]
+            if one != other:
+                group[group == one] = other
+                found.append((nodes[some[i]], nodes[j]))
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _unsettled(group: DataFrame) -> DataFrame:
+    """``key, c``: band groups with members of several classes, one of each with equal members."""
+    kinds = group.groupBy("key").agg(
+        F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+    )
+    return kinds.filter("low <> high").groupBy("c", "members").agg(F.min("key").alias("key"))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """``node, root`` for each different text that is linked to a lesser one."""
     signed = cut_lineage(_signed(docs).groupBy("node").agg(F.min("n").alias("n"), F.min("bands").alias("bands")))
     rows = signed.select("node", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    group = cut_lineage(rows.join(shared.hint("merge"), "key").withColumn("comp", F.col("node")))
+    group = cut_lineage(rows.join(shared.hint("merge"), "key"))
     texts = cut_lineage(_texts_of(docs, group.select("node").distinct()))
-    forest = None
-    leaders = 1
-    while True:
-        slot = F.pmod(F.xxhash64("node", "key"), F.lit(leaders))
-        order = F.struct(F.xxhash64("key", "node").alias("o"), "node", "comp", "n")
-        chosen = group.groupBy("key", slot.alias("slot")).agg(F.min(order).alias("lead"))
-        lead = chosen.select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "comp", "n")])
-        near = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * THRESHOLD
-        pairs = (
-            group.join(lead.hint("merge"), "key")
-            .filter((F.col("comp") != F.col("lead_comp")) & near)
-            .select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b"))
-            .distinct()
-        )
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        linked = cut_lineage(
-            pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-            .filter(_alike("text_a", "text_b")).select("a", "b")
-        )
-        known = linked if forest is None else linked.unionByName(forest.toDF("a", "b"))
-        forest = components(known)
-        stays = group.join(lead.select("key", F.col("lead_node").alias("node")), ["key", "node"], "left_anti")
-        named = (
-            stays.drop("comp").join(forest.hint("merge"), "node", "left")
-            .select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
-        )
-        led = lead.join(forest.hint("merge"), F.col("lead_node") == F.col("node"), "left").select(
-            "key", F.coalesce("root", "lead_node").alias("comp")
-        )
-        spread = (
-            named.select("key", "comp").unionByName(led).groupBy("key")
-            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
-            .filter("low <> high").select("key")
-        )
-        many = named.groupBy("key").agg(F.count("*").alias("c")).select("key")
-        group = cut_lineage(named.join(spread.join(many, "key").hint("merge"), "key", "left_semi"))
-        if group.isEmpty():
-            return forest
-        leaders *= LEADER_GROWTH
+    # First, everyone against the leader of each band group; leaders differ between bands.
+    order = F.struct(F.xxhash64("key", "node").alias("o"), "node", "n")
+    chosen = group.groupBy("key").agg(F.min(order).alias("lead"))
+    lead = chosen.select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "n")])
+    led = group.join(lead.hint("merge"), "key").filter("node <> lead_node")
+    near = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * THRESHOLD
+    pairs = led.filter(near).select(
+        F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")
+    ).distinct()
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    linked = (
+        pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        .filter(_alike("text_a", "text_b")).select("a", "b")
+    )
+    forest = components(linked)
+    # Then, within the groups that still hold several classes, everyone outside the largest
+    # class against all. Leaders have been compared and stay out. A large group is dealt into
+    # blocks, and each pair of blocks is a group of its own.
+    named = cut_lineage(
+        led.select("key", "node").join(forest.hint("merge"), "node", "left")
+        .select("key", "node", F.coalesce("root", "node").alias("comp"))
+    )
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    dealt = (
+        named.join(_unsettled(named).hint("merge"), "key")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "comp")
+    )
+    more = dealt.join(texts.hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(
+        _join_groups, "a binary, b binary"
+    )
+    return components(forest.toDF("a", "b").unionByName(more))
 
 
 def classes(docs: DataFrame) -> DataFrame:
