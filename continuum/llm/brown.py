@@ -37,8 +37,8 @@ from continuum.llm import words
 from continuum.llm.store import stored
 
 CLASSES = 64
-FREQUENT = 1000
-SPELLINGS = 512
+FREQUENT = 800
+SPELLINGS = 256
 SWEEPS = 12
 PRIOR = 0.5
 END = np.uint64(1)  # stands for the end token among word hashes
@@ -221,9 +221,9 @@ def fit(listed: DataFrame, docs: DataFrame) -> Model:
     items = Items(top["word"].to_numpy(np.int64).view(np.uint64))
     size = len(top) + SPELLINGS + 1
     rows = docs.filter("train").select("text").mapInPandas(_bigrams(items, size), "pair int, n long")
-    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(size * size, np.int64)
-    pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
     pairs = pairs.reshape(size, size)
     class_of = exchange(pairs)
     count, different = np.zeros(size), np.zeros(size)
@@ -254,7 +254,7 @@ def scores(docs: DataFrame, train) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.struct("doc_id").alias("key"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
+        F.col("doc_id").cast("string").alias("key"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
         F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("chunk"),
     )
     listed = stored(
@@ -278,11 +278,12 @@ def scores(docs: DataFrame, train) -> DataFrame:
             parts.append(pd.DataFrame({"key": some["key"].to_numpy(), "train": some["train"].to_numpy(), **result}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=["key", "train", *_MEASURES])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"key struct<doc_id: {kind}>, train boolean, n_tokens long, n_known long, base_score double, score double"
+    # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
+    kind = docs.schema["doc_id"].dataType
+    schema = "key string, train boolean, n_tokens long, n_known long, base_score double, score double"
     scored = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
     return scored.select(
-        "key.doc_id", "train", "n_tokens", "n_known", F.lit(model.value.total).cast("long").alias("train_tokens"),
+        F.col("key").cast(kind).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(model.value.total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
 
