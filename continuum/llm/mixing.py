@@ -131,12 +131,10 @@ def mixed(
     text = F.col("_doc")["text"]
     key = order_key(F.col("_doc")["doc_id"], F.md5(F.coalesce(text, F.lit(""))))
     rows = docs.select(F.struct("*").alias("_doc")).select(
-        "_doc",
-        F.coalesce(F.concat(F.lit("="), F.col("_doc")["source"]), F.lit("")).alias("src"),
-        token_count(text).alias("n_tokens"),
-        key.alias("key"),
+        "_doc", F.coalesce(F.concat(F.lit("="), F.col("_doc")["source"]), F.lit("")).alias("src"), key.alias("key")
     )
-    totals = source_totals(rows)
+    count = token_count(text)  # words are counted only where a step needs them
+    totals = source_totals(rows.withColumn("n_tokens", count))
     if entropy is not None:
         exponent = exponent_for_entropy(totals, entropy)
     else:
@@ -145,37 +143,41 @@ def mixed(
     plan = cut_lineage(passes(totals, exponent, budget).withColumn("n_blocks", n_blocks))
     small = plan.count() <= MOST_BROADCAST
 
-    def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
         """Joined without moving the rows while the sources are known to be few."""
-        return left.join(F.broadcast(right) if small else right.hint("merge"), keys)
+        return left.join(F.broadcast(right) if small else right.hint("merge"), keys, how)
 
     placed = beside(rows, plan, ["src"]).withColumn("block", F.col("key") % F.col("n_blocks"))
     # Which blocks the partial pass takes whole, and which one it cuts.
-    sizes = placed.filter("quota > 0").groupBy("src", "block", "full", "quota").agg(F.sum("n_tokens").alias("size"))
-    turn = Window.partitionBy("src").orderBy(order_key(F.col("src"), F.col("block"), F.col("full")), "block")
-    ends = F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, 0))
-    lined = sizes.withColumn("end", ends).withColumn("begin", F.col("end") - F.col("size"))
-    cut = cut_lineage(
-        lined.filter("begin < quota AND end > quota").select("src", "block", (F.col("quota") - F.col("begin")).alias("left"))
+    open_ = placed.filter("quota > 0")
+    sizes = open_.withColumn("n_tokens", count).groupBy("src", "block", "full", "quota").agg(
+        F.sum("n_tokens").alias("size")
     )
-    # A block before the cut one is taken whole: its turn decides, so no list of blocks is joined.
-    edge = lined.groupBy("src").agg(
-        F.max(F.when(F.col("end") <= F.col("quota"), F.struct(order_key(F.col("src"), F.col("block"), F.col("full")).alias("o"), F.col("block").alias("b")))).alias("edge")
+    place = F.struct(
+        order_key(F.col("src"), F.col("block"), F.col("full")).alias("o"), F.col("block").alias("b")
     )
-    edges = cut_lineage(edge.filter("edge IS NOT NULL"))
-    mine = F.struct(order_key(F.col("src"), F.col("block"), F.col("full")).alias("o"), F.col("block").alias("b"))
-    taken = beside(placed.filter("quota > 0"), edges, ["src"]).filter(mine <= F.col("edge"))
-    partial = beside(placed.filter("quota > 0"), cut, ["src", "block"])
-    inner = Window.partitionBy("src", "block").orderBy("key", F.col("_doc")["doc_id"]).rowsBetween(Window.unboundedPreceding, 0)
-    some = partial.withColumn("end", F.sum("n_tokens").over(inner)).filter(F.col("end") <= F.col("left"))
-    keep = ["_doc", "n_tokens", "weight"]
-    whole = placed.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    last = F.col("full").alias("epoch")
-    return (
-        whole.select(*keep, "epoch")
-        .unionByName(taken.select(*keep, last))
-        .unionByName(some.select(*keep, last))
+    turn = Window.partitionBy("src").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    lined = cut_lineage(
+        sizes.withColumn("end", F.sum("size").over(turn)).withColumn("begin", F.col("end") - F.col("size"))
+    )
+    cut = lined.filter("begin < quota AND end > quota").select(
+        "src", "block", (F.col("quota") - F.col("begin")).alias("left")
+    )
+    # A block is taken whole if its turn is not after the last whole one: no list of blocks is joined.
+    edges = lined.filter("end <= quota").groupBy("src").agg(F.max(place).alias("edge"))
+    epochs = F.when(place <= F.col("edge"), F.sequence(F.lit(0), F.col("full"))).when(
+        F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)
     )
+    whole = beside(placed, edges, ["src"], "left").withColumn("epoch", F.explode(epochs)).withColumn("n_tokens", count)
+    inner = Window.partitionBy("src", "block").orderBy("key", F.col("_doc")["doc_id"]).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    some = (
+        beside(open_, cut, ["src", "block"]).withColumn("n_tokens", count)
+        .withColumn("end", F.sum("n_tokens").over(inner)).filter(F.col("end") <= F.col("left"))
+    )
+    keep = ["_doc", "n_tokens", "weight"]
+    return whole.select(*keep, "epoch").unionByName(some.select(*keep, F.col("full").alias("epoch")))
 
 
 def remixed(docs: DataFrame, **how) -> DataFrame:
