@@ -86,11 +86,11 @@ def test_completions_meet_requests_by_sort_merge(spark, stories):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
-def test_records_shuffle_each_side_once(spark, stories):
+def test_records_shuffle_stories_once_and_fold_samples_first(spark, stories):
     open_ = study.open_requests(stories)
     raw = open_.select(*requests.KEYS, F.lit(0).alias("sample_idx"), F.lit("x").alias("raw_text"))
     plan = plan_of(study.story_records(stories, raw))
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("Exchange hashpartitioning") == 3
 
 
 def test_reasoning_is_stripped_before_the_shuffle(spark):
@@ -105,7 +105,7 @@ def test_comparison_reads_only_its_runs(spark, tmp_path):
     spark.createDataFrame([("olmo3_base", "1", 1, 0, "x")], schema).write.partitionBy("run").parquet(path)
     plan = plan_of(compare.compare_stages(completions.clean_completions(spark.read.parquet(path))))
     assert re.search(r"PartitionFilters: \[[^\]]*run#\d+ IN", plan)
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
 
 
 def test_run_flags_are_literals(spark, stories):
