@@ -333,6 +333,19 @@ def test_lines_are_removed_and_documents_rejected(spark):
     assert set(out) == {1, 2} and out[1].text == out[2].text == good and out[2].n_chars == len(good)
 
 
+SEPARATED = [" › ".join("Home News Sport Local Weather Shop About".split()), " • ".join("Home News Sport Local Weather".split()),
+             "Tags: red · green · blue · white · black", " ‹ ".join("Home News Sport Local Weather".split())]
+
+
+@pytest.mark.parametrize("menu", SEPARATED)
+def test_separators_outside_latin_1_mark_navigation(spark, menu):
+    assert len(WORD.findall(menu)) >= 8  # so that the rule for short lines says nothing
+    good = prose(1, 120)
+    rows = [(1, f"{menu}\n{good}"), (2, "\n".join(f"{menu} {i}" for i in range(20)))]
+    out = quality.clean(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.text) for r in out] == [(1, good)]
+
+
 # --- 8: repeated strings -----------------------------------------------------------------
 
 
