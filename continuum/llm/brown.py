@@ -1,12 +1,20 @@
 """Language-model scores by Brown classes: class transitions times word emissions.
 
 Tokens are the words of the text with A-Z lower-cased, then one end. Counts are taken over all
-training rows. The items that are clustered are the ``FREQUENT`` most frequent words, and
-``SPELLINGS`` buckets into which every other word falls by its last three bytes, so that any
-word, seen or not, has a class. The exchange algorithm starts from classes dealt by frequency
-and moves one item at a time to the class that raises the likelihood of the class bigrams most,
-until a sweep moves none. Its input is the table of item bigrams, at most (FREQUENT + SPELLINGS
-+ 1) squared whatever the corpus. The end token is a class of its own.
+training rows. Classes are found in two steps.
+
+1. The ``FREQUENT`` most frequent words, and ``SPELLINGS`` buckets into which every other word
+   falls by its last three bytes, are clustered on the driver by the exchange algorithm: from
+   classes dealt by frequency it moves one item at a time to the class that raises the likelihood
+   of the class bigrams most, until a sweep moves none.
+2. Every other word that occurs twice or more in training starts from the class of its bucket. In
+   each of ``ROUNDS`` rounds a Spark job counts, for each of these words, the classes before and
+   after it, a table that grows with the vocabulary, and moves each word to its best class by
+   the exact gain of the exchange. Words of a round move at once, against the class table of its
+   start; of all rounds the classes with the highest likelihood are taken.
+
+Words seen once in training and unseen words have the class of their bucket. The end token is a
+class of its own.
 
     P(w | before) = P(C(w) | C(before)) * (c(w) + 1) / (N(C) + V(C) + 1)
 
@@ -14,8 +22,8 @@ with N(C) the tokens and V(C) the different words of the class, so the unseen wo
 share one more count, as they do in the base. Transitions are smoothed with ``PRIOR`` per class.
 
 Word counts never meet in one place: texts are dealt into chunks by a hash of the row, each
-chunk lists its different words once, totals are formed per word and sent back to the chunks
-that need them.
+chunk lists its different words once and keeps its texts as numbers of that list, totals and
+classes are formed per word and sent back to the chunks that need them.
 
 Defined results: a null text is empty and has the end token only; rows with equal ids are
 rows of their own, equal rows count each time they occur; null ids are allowed; without any
@@ -34,11 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from continuum.llm import words
-from continuum.llm.store import stored
+from continuum.llm.store import dealt, stored
 
 CLASSES = 64
-FREQUENT = 800
-SPELLINGS = 256
+FREQUENT = 1000
+SPELLINGS = 512
+ROUNDS = 2
 SWEEPS = 12
 PRIOR = 0.5
 END = np.uint64(1)  # stands for the end token among word hashes
@@ -76,20 +85,45 @@ def _batch(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found]), sizes
 
 
-def _list_words(key, rows: pd.DataFrame) -> pd.DataFrame:
+_CHUNK = "chunk int, is_word boolean, word long, spelling short, n long, key string, train boolean, ids binary"
+
+
+def _encode(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """The different words of a chunk in the order of their hashes, and its texts as numbers of these."""
     h, s, sizes = _batch(rows["text"])
-    train = np.repeat(rows["train"].to_numpy(bool), sizes)
+    train = rows["train"].to_numpy(bool)
     word, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    n_words, n_texts = len(word), len(rows)
+    counts = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=n_words).astype(np.int64)
+    ids = [x.tobytes() for x in np.split(inverse.astype(np.int32), np.cumsum(sizes)[:-1])]
+    zeros = np.zeros(n_texts, np.int64)
     return pd.DataFrame(
         {
             "chunk": np.int32(key[0]),
-            "word": word.view(np.int64),
-            "spelling": s[first].astype(np.int16),
-            "n": np.bincount(inverse, weights=train, minlength=len(word)).astype(np.int64),
+            "is_word": np.arange(n_words + n_texts) < n_words,
+            "word": np.append(word.view(np.int64), zeros),
+            "spelling": np.append(s[first], zeros).astype(np.int16),
+            "n": np.append(counts, zeros),
+            "key": [None] * n_words + rows["key"].tolist(),
+            "train": np.append(np.zeros(n_words, bool), train),
+            "ids": [None] * n_words + ids,
         }
     )
 
 
+def _ids(texts: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(texts["ids"]), np.int32)
+
+
+def _by_hash(known: pd.DataFrame) -> pd.DataFrame:
+    return known.iloc[np.argsort(known["word"].to_numpy(np.int64).view(np.uint64))]
+
+
+def _before(x: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each token; every text ends with the end token, and so begins after one."""
+    return np.append(np.full(min(1, len(x)), end, x.dtype), x[:-1])
+
+
 class Items:
     """Numbers of items: frequent words first, then spelling buckets, then the end."""
 
@@ -106,20 +140,15 @@ class Items:
 
 
 def _bigrams(items: Items, size: int):
-    """Counts of item bigrams, summed over a whole partition before they leave it."""
-
-    def count(batches):
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            h, s, sizes = _batch(batch["text"])
-            item = items.of(h, s)
-            before = np.empty_like(item)
-            before[1:] = item[:-1]
-            if len(item):
-                before[0] = size - 1
-            total += np.bincount(before * size + item, minlength=size * size)
+    """Counts of item bigrams, summed over a whole chunk before they leave it."""
+
+    def count(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = _by_hash(known)
+        of = items.of(known["word"].to_numpy(np.int64).view(np.uint64), known["spelling"].to_numpy(np.int64))
+        item = of[_ids(texts)]
+        total = np.bincount(_before(item, size - 1) * size + item, minlength=size * size)
         codes = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": codes.astype(np.int32), "n": total[codes]})
+        return pd.DataFrame({"pair": codes.astype(np.int32), "n": total[codes]})
 
     return count
 
@@ -183,24 +212,120 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def gains(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What ``exchange`` gains by each class for words on their own, one row per word.
+
+    ``right`` and ``left`` count the classes after and before each word, without the ``own``
+    bigrams of the word with itself; the words are still in their classes ``old`` in ``table``.
+    """
+    k, n = len(table) - 1, len(old)
+    gain, rows = np.zeros((n, k)), np.arange(n)
+
+    def sides(table, r, c):
+        b, other = np.nonzero(r)
+        if not len(b):
+            return
+        x, at = r[b, other], np.flatnonzero(other == old[b])
+        base = table.T[other, :k]
+        base[np.arange(len(b)), old[b]] -= x
+        base[at] -= c[b[at], :k]
+        base[at, old[b[at]]] -= own[b[at]]
+        found = np.unique(b, return_index=True)
+        gain[found[0]] += np.add.reduceat(_f(base + x[:, None]) - _f(base), found[1])
+
+    sides(table, right, left)
+    sides(table.T, left, right)
+    r, c, own_ = right[:, :k], left[:, :k], own[:, None]
+    both = np.repeat(np.diag(table)[None, :k], n, axis=0)
+    both[rows, old] -= right[rows, old] + left[rows, old] + own
+    gain += _f(both + r + c + own_) - _f(both + r) - _f(both + c) + _f(both)
+    for axis, mass in ((1, right.sum(axis=1) + own), (0, left.sum(axis=1) + own)):
+        total = np.repeat(table.sum(axis=axis)[None, :k], n, axis=0)
+        total[rows, old] -= mass
+        gain -= _f(total + mass[:, None]) - _f(total)
+    return gain
+
+
+WIDTH = 2 * (CLASSES + 1) + 1  # classes after, classes before, itself
+_BLOCKS = "part int, words binary, sizes binary, codes binary, counts binary"
+
+
+def _contexts(parts: int):
+    """Per chunk: its class bigrams (part -1), and blocks of the contexts of the words that may move."""
+
+    def count(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = _by_hash(known)
+        ids, k = _ids(texts), CLASSES + 1
+        c = known["class"].to_numpy(np.int64)[ids]
+        before = _before(c, CLASSES)
+        table = np.bincount(before * k + c, minlength=k * k)
+        made = [(-1, b"", b"", b"", table.tobytes())]
+        if parts:
+            moves = known["moves"].to_numpy(bool)[ids]
+            at = np.flatnonzero(moves)  # never the end of a text, so a token follows
+            w = ids[at].astype(np.int64)
+            twin = ids[at + 1] == ids[at]
+            again = np.zeros(len(at), bool)  # the second of a pair of equal words
+            again[1:] = (w[1:] == w[:-1]) & (at[1:] == at[:-1] + 1)
+            code = np.concatenate([
+                w * WIDTH + np.where(twin, 2 * k, c[at + 1]),
+                (w * WIDTH + k + before[at])[~again],
+            ])
+            code, n = np.unique(code, return_counts=True)
+            local, code = code // WIDTH, (code % WIDTH).astype(np.uint8)
+            word = known["word"].to_numpy(np.int64)[local]
+            part = (word.view(np.uint64) >> np.uint64(1)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+                first = np.flatnonzero(np.append(True, np.diff(local[x]) != 0))
+                sizes = np.diff(np.append(first, len(x))).astype(np.uint8)
+                made.append((int(part[x[0]]), word[x][first].tobytes(), sizes.tobytes(), code[x].tobytes(), n[x].astype(np.uint32).tobytes()))
+        return pd.DataFrame(made, columns=["part", "words", "sizes", "codes", "counts"])
+
+    return count
+
+
+def _best(table: np.ndarray):
+    """The best class of each word of a part, from its blocks and its present classes."""
+
+    def choose(blocks: pd.DataFrame, present: pd.DataFrame) -> pd.DataFrame:
+        word = np.sort(present["word"].to_numpy(np.int64))
+        old = present["class"].to_numpy(np.int64)[np.argsort(present["word"].to_numpy(np.int64))]
+        seen = np.zeros((len(word), WIDTH), np.float32 if len(word) > 1 << 20 else np.float64)
+        for b in blocks.itertuples():
+            row = np.searchsorted(word, np.frombuffer(b.words, np.int64))
+            row = np.repeat(row, np.frombuffer(b.sizes, np.uint8))
+            seen[row, np.frombuffer(b.codes, np.uint8)] += np.frombuffer(b.counts, np.uint32)  # pairs are unique
+        new, k = old.copy(), CLASSES + 1
+        for start in range(0, len(word), 1024):
+            x = slice(start, start + 1024)
+            some = seen[x].astype(float)
+            gain = gains(table, old[x], some[:, :k], some[:, k : 2 * k], some[:, 2 * k])
+            best, rows = gain.argmax(axis=1), np.arange(len(some))
+            new[x] = np.where(gain[rows, best] > gain[rows, old[x]] + 1e-9, best, old[x])
+        return pd.DataFrame({"word": word, "new": new.astype(np.int32)})
+
+    return choose
+
+
+def _likelihood(table: np.ndarray) -> float:
+    return _f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum()
+
+
 class Model:
-    """What scoring needs, of a size that depends on the parameters only."""
+    """What scoring needs beside the words' counts and classes, of a size that depends on the parameters only."""
 
-    def __init__(self, items, class_of, transitions, emission, total, different):
-        self.items, self.class_of = items, class_of
+    def __init__(self, transitions, emission, total, different):
         self.transitions, self.emission = transitions, emission
         self.total, self.different = total, different
 
-    def score(self, h, s, sizes, counts) -> dict[str, np.ndarray]:
-        """Per text: tokens, known tokens, base score and score. ``counts``: of each token."""
-        c = self.class_of[self.items.of(h, s)]
+    def score(self, sizes, counts, c) -> dict[str, np.ndarray]:
+        """Per text: tokens, known tokens, base score and score. ``counts``, ``c``: count and class of each token."""
         starts = np.cumsum(sizes) - sizes
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[starts] = len(self.emission) - 1
+        before = _before(c, CLASSES)
         unigram = np.log10(counts + 1.0)
         base = unigram - np.log10(self.total + self.different + 1.0)
-        emitted = np.where(h == END, 0.0, unigram - self.emission[c])
+        emitted = np.where(c == CLASSES, 0.0, unigram - self.emission[c])
         per_text = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token
         return {
             "n_tokens": sizes,
@@ -210,39 +335,76 @@ class Model:
         }
 
 
-def fit(listed: DataFrame, docs: DataFrame) -> Model:
-    """The model from chunks' word lists and the rows ``text, train``."""
+def fit(listed: DataFrame, encoded: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and ``at`` (the chunk), ``word, c, class`` of the chunks' words, from their lists and texts."""
+    spark = listed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    trained = encoded.filter("train")
     totals = stored(
         listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("spelling").alias("spelling")).filter("c > 0"),
         "totals",
     )
-    kinds = totals.groupBy("spelling").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
     top = totals.filter(F.col("word") != int(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
     items = Items(top["word"].to_numpy(np.int64).view(np.uint64))
     size = len(top) + SPELLINGS + 1
-    rows = docs.filter("train").select("text").mapInPandas(_bigrams(items, size), "pair int, n long")
+    per_chunk = lambda known, f, schema: (
+        trained.groupBy("chunk").cogroup(known.groupBy("at")).applyInPandas(f, schema)
+    )
+    rows = per_chunk(listed.select("at", "word", "spelling"), _bigrams(items, size), "pair int, n long")
     found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(size * size, np.int64)
     pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    pairs = pairs.reshape(size, size)
-    class_of = exchange(pairs)
-    count, different = np.zeros(size), np.zeros(size)
-    at = len(top) + kinds["spelling"].to_numpy(np.int64)
-    count[at], different[at] = kinds["c"], kinds["v"]
-    own = len(top) + top["spelling"].to_numpy(np.int64)
-    np.subtract.at(count, own, top["c"].to_numpy(float))
-    np.subtract.at(different, own, 1)
-    count[: len(top)], different[: len(top)] = top["c"], 1
-    n_classes = CLASSES + 1
-    mass = np.bincount(class_of, weights=count, minlength=n_classes)
-    kinds_of = np.bincount(class_of, weights=different, minlength=n_classes)
-    member = np.zeros((size, n_classes))
-    member[np.arange(size), class_of] = 1
-    table = member.T @ pairs @ member + PRIOR
-    transitions = np.log10(table / table.sum(axis=1, keepdims=True))
-    return Model(
-        items, class_of, transitions, np.log10(mass + kinds_of + 1), int(kinds["c"].sum()), int(kinds["v"].sum())
+    class_of = exchange(pairs.reshape(size, size))
+    del found, pairs
+
+    by_spelling = F.element_at(F.lit(class_of[len(top) :].tolist()).cast("array<int>"), F.col("spelling") + 1)
+    frequent = spark.createDataFrame(
+        list(zip(top["word"].tolist(), class_of[: len(top)].tolist(), strict=True)), "word long, own int"
     )
+    classed = stored(
+        totals.join(F.broadcast(frequent), "word", "left").select(
+            "word", "c", "spelling", F.coalesce("own", by_spelling).alias("class"),
+            (F.col("own").isNull() & (F.col("c") >= 2) & (F.col("word") != int(END))).alias("moves"),
+        ),
+        "classes",
+    )
+
+    def known_of(classed: DataFrame) -> DataFrame:
+        mine = listed.select("at", "word", "spelling").join(classed.drop("spelling").hint("merge"), "word", "left")
+        return mine.select(
+            "at", "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", by_spelling).alias("class"),
+            F.coalesce("moves", F.lit(False)).alias("moves"),
+        )
+
+    best = None
+    for left in range(ROUNDS, -1, -1):  # the last one only counts
+        blocks = stored(per_chunk(known_of(classed), _contexts(parts if left else 0), _BLOCKS), "contexts")
+        table = np.zeros((CLASSES + 1) ** 2, np.int64)
+        for (x,) in blocks.filter("part = -1").select("counts").collect():
+            table += np.frombuffer(x, np.int64)
+        table = table.reshape(CLASSES + 1, CLASSES + 1).astype(float)
+        if best and _likelihood(table) <= best[0]:
+            break
+        best = _likelihood(table), table, classed
+        if not left:
+            break
+        part = F.expr(f"cast(pmod(shiftrightunsigned(word, 1), {parts}) as int)")
+        present = classed.filter("moves").select(part.alias("part"), "word", "class")
+        new = (
+            blocks.filter("part >= 0").groupBy("part").cogroup(present.groupBy("part"))
+            .applyInPandas(_best(table), "word long, new int")
+        )
+        moved = classed.join(new.hint("merge"), "word", "left")
+        classed = stored(moved.withColumn("class", F.coalesce("new", "class")).drop("new"), "classes")
+
+    _, table, classed = best
+    kinds = classed.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
+    mass, different = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    mass[kinds["class"]], different[kinds["class"]] = kinds["c"], kinds["v"]
+    table = table + PRIOR
+    transitions = np.log10(table / table.sum(axis=1, keepdims=True))
+    model = Model(transitions, np.log10(mass + different + 1), int(mass.sum()), int(different.sum()))
+    return model, known_of(classed).drop("moves")
 
 
 def scores(docs: DataFrame, train) -> DataFrame:
@@ -257,33 +419,29 @@ def scores(docs: DataFrame, train) -> DataFrame:
         F.col("doc_id").cast("string").alias("key"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
         F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("chunk"),
     )
-    listed = stored(
-        rows.select("chunk", "text", "train").groupBy("chunk")
-        .applyInPandas(_list_words, "chunk int, word long, spelling short, n long"),
-        "words",
-    )
-    model = spark.sparkContext.broadcast(fit(listed, rows))
-    total = F.sum("n").over(Window.partitionBy("word"))  # a word has one row per chunk at most
-    known = listed.select("chunk", "word", total.alias("c"))
-
-    def score(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        word = counts["word"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(word)
-        word, c = word[order], counts["c"].to_numpy(np.int64)[order]
+    chunks = dealt(rows.groupBy("chunk").applyInPandas(_encode, _CHUNK), "words", ["chunk"])
+    listed = chunks.filter("is_word").select(F.col("chunk").alias("at"), "word", "spelling", "n")
+    encoded = chunks.filter("NOT is_word").select("chunk", "key", "train", "ids")
+    fitted, known = fit(listed, encoded)
+    model = spark.sparkContext.broadcast(fitted)
+
+    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = _by_hash(known)
+        c, class_ = known["c"].to_numpy(np.int64), known["class"].to_numpy(np.int64)
         parts = []
         for start in range(0, len(texts), 2000):
             some = texts.iloc[start : start + 2000]
-            h, s, sizes = _batch(some["text"])
-            result = model.value.score(h, s, sizes, c[np.searchsorted(word, h)])
+            ids, sizes = _ids(some), some["ids"].map(len).to_numpy(np.int64) // 4
+            result = model.value.score(sizes, c[ids], class_[ids])
             parts.append(pd.DataFrame({"key": some["key"].to_numpy(), "train": some["train"].to_numpy(), **result}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=["key", "train", *_MEASURES])
 
     # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
     kind = docs.schema["doc_id"].dataType
     schema = "key string, train boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
+    scored = encoded.groupBy("chunk").cogroup(known.groupBy("at")).applyInPandas(score, schema)
     return scored.select(
-        F.col("key").cast(kind).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(model.value.total).cast("long").alias("train_tokens"),
+        F.col("key").cast(kind).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(fitted.total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
 

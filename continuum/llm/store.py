@@ -28,6 +28,15 @@ def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return spark.table(table)
 
 
+def dealt(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``bucketed`` for rows that a grouping by ``keys`` has dealt out already: they do not move again."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", fresh_path(spark, name))
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package, from wherever the driver was started."""
     environment = spark.sparkContext.environment

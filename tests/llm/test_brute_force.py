@@ -304,6 +304,40 @@ def test_scores_beat_the_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    pairs, of = rng.poisson(0.7, (21, 21)).astype(float), np.append(np.arange(20) % 4, 4)
+    member = np.eye(5)[of]
+    table, own = member.T @ pairs @ member, np.diag(pairs)[:20]
+    right, left = (pairs @ member)[:20], (pairs.T @ member)[:20]
+    right[np.arange(20), of[:20]] -= own
+    left[np.arange(20), of[:20]] -= own
+    got = brown.gains(table, of[:20], right, left, own)
+    for w, c in itertools.product(range(20), range(4)):
+        other = of.copy()
+        other[w] = c
+        assert got[w, c] - got[w, of[w]] == pytest.approx(likelihood(pairs, other, 4) - likelihood(pairs, of, 4), abs=1e-6)
+
+
+def test_classes_of_words_that_are_not_frequent(spark, monkeypatch):
+    """Two kinds of words with equal endings, told apart only by what stands around them."""
+    monkeypatch.setattr(brown, "FREQUENT", 86)
+    rng = random.Random(2)
+    others = [f"w{i}" for i in range(80)]  # more frequent words than classes, so that none is empty
+    kinds = [[f"{k}{i:03d}ing" for i in range(60)] for k in "xy"]
+    pick = lambda ws: ws[0] if rng.random() < 0.5 else rng.choice(ws)
+    said = [f"the {pick(kinds[0])} sat" if i % 2 else f"we {pick(kinds[1])} now" for i in range(3000)]
+    said = [f"{x} {' '.join(rng.choice(others[k : k + 9]) for k in rng.sample(range(72), 4))}" for x in said]
+    docs = spark.createDataFrame([(i, " ".join(said[i * 10 : i * 10 + 10])) for i in range(300)], "doc_id bigint, text string")
+    seen = {}
+    fit = brown.fit
+    monkeypatch.setattr(brown, "fit", lambda *a: seen.setdefault("made", fit(*a)))
+    check_scores(brown.scores(docs, F.lit(True)).collect(), texts_of(docs), lambda k: True)
+    of = {r["word"]: r["class"] for r in seen["made"][1].collect()}
+    hashed = lambda ws: {of[int(x)] for x in (words.hashes(" ".join(ws).encode()) & brown._MASK).view(np.int64)}
+    assert not hashed(kinds[0]) & hashed(kinds[1])
+
+
 # --- 7: quality --------------------------------------------------------------------------
 
 
