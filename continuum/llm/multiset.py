@@ -6,7 +6,7 @@ paragraphs does not matter, adding or removing one is adding or subtracting its
 texts with equal paragraphs have equal fingerprints.
 
 The vector has two parts. 32 lanes modulo 2**32 are uniform hashes of the whole paragraph: they
-tell different multisets apart. 256 lanes modulo 2**16 count the paragraph's eight-byte strings
+tell different multisets apart. 256 lanes modulo 2**32 count the paragraph's eight-byte strings
 with hashed signs: their inner product estimates how much two texts share, whatever their
 paragraphs.
 
@@ -62,22 +62,22 @@ def fingerprint(text: str) -> bytes:
     where = (hits & np.uint64(2 * COUNT_LANES - 1)).astype(np.int64)
     counts = np.bincount(where, minlength=2 * COUNT_LANES)
     signed = counts[:COUNT_LANES] - counts[COUNT_LANES:]
-    return lanes.astype("<u4").tobytes() + signed.astype("<i2").tobytes()
+    return lanes.astype("<u4").tobytes() + signed.astype("<i4").tobytes()
 
 
 def added(a: bytes, b: bytes, sign: int = 1) -> bytes:
     """The fingerprint of ``a`` with the paragraphs of ``b`` put in (or, with -1, taken out)."""
     cut = 4 * HASH_LANES
     hashes = np.frombuffer(a[:cut], "<u4") + np.uint32(sign % 2**32) * np.frombuffer(b[:cut], "<u4")
-    counts = np.frombuffer(a[cut:], "<i2") + np.int16(sign) * np.frombuffer(b[cut:], "<i2")
-    return hashes.astype("<u4").tobytes() + counts.astype("<i2").tobytes()
+    counts = np.frombuffer(a[cut:], "<i4") + np.int32(sign) * np.frombuffer(b[cut:], "<i4")
+    return hashes.astype("<u4").tobytes() + counts.astype("<i4").tobytes()
 
 
 def likeness(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Estimated share in common of each pair of fingerprints, 0 to 1."""
     cut = 4 * HASH_LANES
     x, y = (
-        np.frombuffer(b"".join(f[cut:] for f in side), "<i2").reshape(-1, COUNT_LANES).astype(float)
+        np.frombuffer(b"".join(f[cut:] for f in side), "<i4").reshape(-1, COUNT_LANES).astype(float)
         for side in (a, b)
     )
     if not len(x):

@@ -494,6 +494,12 @@ def test_fingerprints_are_homomorphic():
     assert multiset.fingerprint("b\na") == multiset.fingerprint("a\nb") != multiset.fingerprint("a\n\nb")
 
 
+def test_counting_lanes_hold_long_repetitive_texts():
+    a, b, c = (multiset.fingerprint("\n".join(["8 bytes."] * n)) for n in (40_000, 30_000, 10_000))
+    assert multiset.likeness([a], [b])[0] == pytest.approx(0.75)
+    assert multiset.added(b, c) == a and multiset.added(a, c, -1) == b
+
+
 def test_fingerprints_odd_rows(odd, none):
     rows = multiset.with_edits(odd).collect()
     order = sorted(set(texts_of(odd)), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
