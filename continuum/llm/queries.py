@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuum.llm import brown, chat, html, minhash, mixing, multiset, packing, quality, suffix, toxicity
+from continuum.llm import (
+    balltree,
+    brown,
+    chat,
+    decontaminate,
+    html,
+    minhash,
+    mixing,
+    multiset,
+    packing,
+    quality,
+    suffix,
+    toxicity,
+    variants,
+)
 from continuum.llm.store import importable
 
 
@@ -90,6 +104,18 @@ def op10_multiset_fingerprints(spark, d):
     return multiset.with_edits(table(spark, d, "documents"))
 
 
+def op11_benchmark_hits(spark, d):
+    return decontaminate.digests(decontaminate.occurrences(table(spark, d, "documents"), table(spark, d, "benchmark")))
+
+
+def op12_lexical_search(spark, d):
+    return balltree.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_spelling_variants(spark, d):
+    return variants.groups(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_chat_windows": op2_chat_windows,
@@ -101,4 +127,7 @@ QUERIES = {
     "op8_repeated_strings": op8_repeated_strings,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_multiset_fingerprints": op10_multiset_fingerprints,
+    "op11_benchmark_hits": op11_benchmark_hits,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
