@@ -21,9 +21,13 @@ class of its own.
 with N(C) the tokens and V(C) the different words of the class, so the unseen words of a class
 share one more count, as they do in the base. Transitions are smoothed with ``PRIOR`` per class.
 
-Word counts never meet in one place: texts are dealt into chunks by a hash of the row, each
-chunk lists its different words once and keeps its texts as numbers of that list, totals and
-classes are formed per word and sent back to the chunks that need them.
+How it is spread: each task cuts its texts into chunks of ``CHUNK_BYTES``, which stay where they
+are. A chunk's words are numbered in the order of their hashes, and its texts are kept as numbers.
+The hash range is divided into parts of bounded size; a chunk sends the list of its words of each
+part there once, and the part answers with what it knows of them, item, class or count, as an
+array in the list's order. So words move once, and a round moves a byte per word of a chunk, and
+the counts of the words that may move. Tables of counts are added up in the tasks, then in two
+steps of groups, before they come to the driver; their size depends on the parameters only.
 
 Defined results: a null text is empty and has the end token only; rows with equal ids are
 rows of their own, equal rows count each time they occur; null ids are allowed; without any
@@ -34,14 +38,16 @@ other columns are not read.
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from continuum.llm import words
+from continuum.llm.counts import TABLE, added, packed, slices, steps, unpacked
 from continuum.llm.store import dealt, stored
 
 CLASSES = 64
@@ -50,73 +56,150 @@ SPELLINGS = 512
 ROUNDS = 2
 SWEEPS = 12
 PRIOR = 0.5
-END = np.uint64(1)  # stands for the end token among word hashes
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFE)
+CHUNK_BYTES = 24 << 20  # text that a task numbers at once
+PAGE_TOKENS = 1 << 20  # tokens kept in one row, or one longer text
+PART_BYTES = 16 << 20  # text whose words one part answers for
+SLICES = 32  # rows that the table of item bigrams is dealt into
+END = 1  # stands for the end token among word hashes
+_MASK = 0xFFFFFFFFFFFFFFFE
+_MOVES = 128  # beside the class, in a byte: the word may move
 
 
-class Spellings(dict):
-    """Word (bytes) to its spelling bucket; emptied when it grows too large."""
+class Numbered(dict):
+    """Word (bytes) to a running number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= words.MAX_WORDS:
-            self.clear()
-        self[word] = value = zlib.crc32(word[-3:]) % SPELLINGS
-        return value
-
-
-_spelling = Spellings()
-
-
-def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and spelling buckets of the tokens; the end token is last."""
-    data = text.encode("utf-8", "replace").lower()
-    h = words.hashes(data) & _MASK
-    parts = data.split()
-    s = np.fromiter(map(_spelling.__getitem__, parts), np.int64, len(parts))
-    return np.append(h, END), np.append(s, SPELLINGS)
-
-
-def _batch(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, spelling buckets and the number of tokens of each text, all texts in a row."""
-    found = [tokens(t) for t in texts]
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    sizes = np.array([len(h) for h, _ in found])
-    return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found]), sizes
-
-
-_CHUNK = "chunk int, is_word boolean, word long, spelling short, n long, key string, train boolean, ids binary"
-
-
-def _encode(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """The different words of a chunk in the order of their hashes, and its texts as numbers of these."""
-    h, s, sizes = _batch(rows["text"])
-    train = rows["train"].to_numpy(bool)
-    word, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    n_words, n_texts = len(word), len(rows)
-    counts = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=n_words).astype(np.int64)
-    ids = [x.tobytes() for x in np.split(inverse.astype(np.int32), np.cumsum(sizes)[:-1])]
-    zeros = np.zeros(n_texts, np.int64)
-    return pd.DataFrame(
-        {
-            "chunk": np.int32(key[0]),
-            "is_word": np.arange(n_words + n_texts) < n_words,
-            "word": np.append(word.view(np.int64), zeros),
-            "spelling": np.append(s[first], zeros).astype(np.int16),
-            "n": np.append(counts, zeros),
-            "key": [None] * n_words + rows["key"].tolist(),
-            "train": np.append(np.zeros(n_words, bool), train),
-            "ids": [None] * n_words + ids,
-        }
-    )
-
+        self[word] = number = len(self)
+        return number
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; parts are ranges, in order."""
+    return (((h >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)).astype(np.int64)
+
+
+_CHUNK = (
+    "chunk long, part int, words binary, counts binary, spellings binary, "
+    "keys array<string>, train array<boolean>, sizes array<int>, ids binary"
+)
+_CHUNK_COLUMNS = [c.split()[0] for c in _CHUNK.split(", ")]
+
+
+def _number(parts: int):
+    """Chunks of a task's texts: a row per part for its words, and pages of texts (part -1)."""
+
+    def chunk_rows(number: int, seen: Numbered, texts: list[tuple[str | None, bool, np.ndarray]]):
+        end = seen[b""]  # no word is empty
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) & _MASK for w in seen), np.uint64, len(seen))
+        spelling = np.fromiter((zlib.crc32(w[-3:]) % SPELLINGS for w in seen), np.uint16, len(seen))
+        h[end], spelling[end] = END, SPELLINGS
+        order = np.argsort(h)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        h, spelling = h[order], spelling[order]
+        trained = [ids for _, train, ids in texts if train]
+        counts = np.bincount(place[np.concatenate([*trained, np.empty(0, np.int64)])], minlength=len(h))
+        part = part_of(h, parts)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(first, np.append(first[1:], len(h)), strict=True):
+            yield number, int(part[a]), h[a:b].tobytes(), packed(counts[a:b]), packed(spelling[a:b], "<u2"), None, None, None, None
+        page, load = [], 0
+        for i, (key, train, ids) in enumerate(texts):
+            page.append((key, train, len(ids), place[ids]))
+            load += len(ids)
+            if load >= PAGE_TOKENS or i + 1 == len(texts):
+                keys, trains, sizes, found = zip(*page, strict=True)
+                yield number, -1, None, None, None, list(keys), list(trains), list(sizes), packed(np.concatenate(found))
+                page, load = [], 0
+
+    def frame(number: int, seen: Numbered, texts) -> pd.DataFrame:
+        rows = list(chunk_rows(number, seen, texts))
+        return pd.DataFrame(rows, columns=_CHUNK_COLUMNS).astype({"chunk": np.int64, "part": np.int32})
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        seen, texts, load = Numbered(), [], 0
+        for batch in batches:
+            for key, text, train in zip(batch["key"], batch["text"], batch["train"], strict=True):
+                words = text.lower().split()
+                ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+                texts.append((key, bool(train), np.append(ids, seen[b""]).astype(np.int32)))
+                load += len(text) + 1
+                if load >= CHUNK_BYTES:
+                    yield frame(number, seen, texts)
+                    number += 1
+                    seen, texts, load = Numbered(), [], 0
+        if texts:
+            yield frame(number, seen, texts)
+
+    return run
+
+
+_LISTS = "part int, chunk long, words binary, counts binary, spellings binary, places binary"
+
+
+def _meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """A part's words with their totals (chunk -1), and where the words of each chunk are among them."""
+    h = [np.frombuffer(w, np.uint64) for w in rows["words"]]
+    word, first, place = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
+    total = np.zeros(len(word), np.int64)
+    np.add.at(total, place, np.concatenate([unpacked(c) for c in rows["counts"]]).astype(np.int64))
+    spelling = np.concatenate([unpacked(x, "<u2") for x in rows["spellings"]])[first]
+    made = [(key[0], -1, word.tobytes(), packed(total, "<i8"), packed(spelling, "<u2"), None)]
+    for chunk, x in zip(rows["chunk"], np.split(place, np.cumsum([len(x) for x in h])[:-1]), strict=True):
+        made.append((key[0], chunk, None, None, None, packed(steps(x))))
+    return pd.DataFrame(made, columns=[c.split()[0] for c in _LISTS.split(", ")])
+
+
+class Part:
+    """The words of a part, from its row in the lists."""
+
+    def __init__(self, row):
+        self.words = np.frombuffer(row.words, np.uint64)
+        self.counts = unpacked(row.counts, "<i8")
+        self.spellings = unpacked(row.spellings, "<u2").astype(np.int64)
+
+    def own(self, frequent: np.ndarray) -> np.ndarray:
+        """The place of each word among the sorted frequent ones, -1 for any other."""
+        if not len(frequent):
+            return np.full(len(self.words), -1)
+        i = np.minimum(np.searchsorted(frequent, self.words), len(frequent) - 1)
+        return np.where(frequent[i] == self.words, i, -1)
+
+
+def _parts(rows: pd.DataFrame) -> tuple[Part, list]:
+    """The part of a group of lists, and its chunks' lists."""
+    found = list(rows.itertuples())
+    return Part(next(r for r in found if r.chunk < 0)), [r for r in found if r.chunk >= 0]
 
-def _ids(texts: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(texts["ids"]), np.int32)
-
-
-def _by_hash(known: pd.DataFrame) -> pd.DataFrame:
-    return known.iloc[np.argsort(known["word"].to_numpy(np.int64).view(np.uint64))]
+
+def _places(row) -> np.ndarray:
+    return np.cumsum(unpacked(row.places).astype(np.int64))
+
+
+_ANSWER = "chunk long, part int, n int, answer binary, counts binary"
+
+
+def _answers(chunks: list, part: int, answer: np.ndarray, kind: str, counts: np.ndarray | None = None) -> pd.DataFrame:
+    made = []
+    for row in chunks:
+        at = _places(row)
+        c = None if counts is None else packed(counts[at], "<i8")
+        made.append((row.chunk, part, len(at), packed(answer[at], kind), c))
+    return pd.DataFrame(made, columns=["chunk", "part", "n", "answer", "counts"])
+
+
+def _answered(answers: pd.DataFrame, kind: str, column: str = "answer") -> np.ndarray:
+    """What the parts say about the words of a chunk, in the words' order."""
+    ordered = answers.sort_values("part")[column]
+    return np.concatenate([unpacked(x, kind) for x in ordered])
+
+
+def _tokens(pages: pd.DataFrame):
+    """The numbers of each training page's tokens, held-out texts left out."""
+    for page in pages.itertuples():
+        ids = unpacked(page.ids)
+        yield ids[np.repeat(np.asarray(page.train, bool), np.asarray(page.sizes))]
 
 
 def _before(x: np.ndarray, end: int) -> np.ndarray:
@@ -124,31 +207,18 @@ def _before(x: np.ndarray, end: int) -> np.ndarray:
     return np.append(np.full(min(1, len(x)), end, x.dtype), x[:-1])
 
 
-class Items:
-    """Numbers of items: frequent words first, then spelling buckets, then the end."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.order = np.argsort(frequent)
-        self.frequent = frequent[self.order]
+def _bigrams(size: int, kind: str, n_slices: int):
+    """Counts of pairs of neighbours, as numbers below ``size`` by what the parts say of the words."""
 
-    def of(self, h: np.ndarray, s: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return s
-        i = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        known = self.frequent[i] == h
-        return np.where(known, self.order[i], len(self.frequent) + s)
-
-
-def _bigrams(items: Items, size: int):
-    """Counts of item bigrams, summed over a whole chunk before they leave it."""
-
-    def count(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = _by_hash(known)
-        of = items.of(known["word"].to_numpy(np.int64).view(np.uint64), known["spelling"].to_numpy(np.int64))
-        item = of[_ids(texts)]
-        total = np.bincount(_before(item, size - 1) * size + item, minlength=size * size)
-        codes = np.flatnonzero(total)
-        return pd.DataFrame({"pair": codes.astype(np.int32), "n": total[codes]})
+    def count(pages: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        of = _answered(answers, kind).astype(np.int64)
+        if kind == "u1":
+            of &= _MOVES - 1
+        table = np.zeros(size * size, np.int64)
+        for ids in _tokens(pages):
+            x = of[ids]
+            table += np.bincount(_before(x, size - 1) * size + x, minlength=size * size)
+        return slices(table, n_slices)
 
     return count
 
@@ -247,67 +317,77 @@ def gains(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarra
 
 
 WIDTH = 2 * (CLASSES + 1) + 1  # classes after, classes before, itself
-_BLOCKS = "part int, words binary, sizes binary, codes binary, counts binary"
-
-
-def _contexts(parts: int):
-    """Per chunk: its class bigrams (part -1), and blocks of the contexts of the words that may move."""
-
-    def count(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = _by_hash(known)
-        ids, k = _ids(texts), CLASSES + 1
-        c = known["class"].to_numpy(np.int64)[ids]
-        before = _before(c, CLASSES)
-        table = np.bincount(before * k + c, minlength=k * k)
-        made = [(-1, b"", b"", b"", table.tobytes())]
-        if parts:
-            moves = known["moves"].to_numpy(bool)[ids]
-            at = np.flatnonzero(moves)  # never the end of a text, so a token follows
-            w = ids[at].astype(np.int64)
-            twin = ids[at + 1] == ids[at]
-            again = np.zeros(len(at), bool)  # the second of a pair of equal words
-            again[1:] = (w[1:] == w[:-1]) & (at[1:] == at[:-1] + 1)
-            code = np.concatenate([
-                w * WIDTH + np.where(twin, 2 * k, c[at + 1]),
-                (w * WIDTH + k + before[at])[~again],
-            ])
-            code, n = np.unique(code, return_counts=True)
-            local, code = code // WIDTH, (code % WIDTH).astype(np.uint8)
-            word = known["word"].to_numpy(np.int64)[local]
-            part = (word.view(np.uint64) >> np.uint64(1)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-                first = np.flatnonzero(np.append(True, np.diff(local[x]) != 0))
-                sizes = np.diff(np.append(first, len(x))).astype(np.uint8)
-                made.append((int(part[x[0]]), word[x][first].tobytes(), sizes.tobytes(), code[x].tobytes(), n[x].astype(np.uint32).tobytes()))
-        return pd.DataFrame(made, columns=["part", "words", "sizes", "codes", "counts"])
-
-    return count
-
-
-def _best(table: np.ndarray):
-    """The best class of each word of a part, from its blocks and its present classes."""
-
-    def choose(blocks: pd.DataFrame, present: pd.DataFrame) -> pd.DataFrame:
-        word = np.sort(present["word"].to_numpy(np.int64))
-        old = present["class"].to_numpy(np.int64)[np.argsort(present["word"].to_numpy(np.int64))]
-        seen = np.zeros((len(word), WIDTH), np.float32 if len(word) > 1 << 20 else np.float64)
-        for b in blocks.itertuples():
-            row = np.searchsorted(word, np.frombuffer(b.words, np.int64))
-            row = np.repeat(row, np.frombuffer(b.sizes, np.uint8))
-            seen[row, np.frombuffer(b.codes, np.uint8)] += np.frombuffer(b.counts, np.uint32)  # pairs are unique
-        new, k = old.copy(), CLASSES + 1
-        for start in range(0, len(word), 1024):
-            x = slice(start, start + 1024)
-            some = seen[x].astype(float)
-            gain = gains(table, old[x], some[:, :k], some[:, k : 2 * k], some[:, 2 * k])
+_CONTEXTS = "part int, chunk long, words binary, sizes binary, codes binary, counts binary"
+_CONTEXT_COLUMNS = [c.split()[0] for c in _CONTEXTS.split(", ")]
+
+
+def _contexts(pages: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """For each part, the contexts of its words that may move: numbers in the chunk's list, codes, counts."""
+    k = CLASSES + 1
+    said = _answered(answers, "u1").astype(np.int64)
+    c, moves = said & (_MOVES - 1), said >= _MOVES
+    codes = []
+    for ids in _tokens(pages):
+        ids = ids.astype(np.int64)
+        before = _before(c[ids], CLASSES)
+        at = np.flatnonzero(moves[ids])  # never the end of a text, so a token follows
+        w = ids[at]
+        twin = ids[at + 1] == w
+        again = np.zeros(len(at), bool)  # the second of a pair of equal words
+        again[1:] = (w[1:] == w[:-1]) & (at[1:] == at[:-1] + 1)
+        codes.append(w * WIDTH + np.where(twin, 2 * k, c[ids[at + 1]]))
+        codes.append((w * WIDTH + k + before[at])[~again])
+    code, n = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]), return_counts=True)
+    word, code = code // WIDTH, (code % WIDTH).astype(np.uint8)
+    made = []
+    low = 0
+    for part, size in zip(*(answers.sort_values("part")[x] for x in ("part", "n")), strict=True):
+        a, b = np.searchsorted(word, [low, low + size])
+        if b > a:
+            first = np.flatnonzero(np.diff(word[a:b], prepend=-1))
+            sizes = np.diff(np.append(first, b - a))
+            made.append((part, pages["chunk"].iloc[0], packed(steps(word[a:b][first] - low)), packed(sizes, "u1"),
+                         packed(code[a:b], "u1"), packed(n[a:b])))
+        low += size
+    return pd.DataFrame(made, columns=_CONTEXT_COLUMNS).astype({"part": np.int32, "chunk": np.int64})
+
+
+def _best(table: np.ndarray, frequent: np.ndarray):
+    """The best class of each word of a part, from its contexts in all chunks."""
+
+    def choose(key, contexts: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        part, chunks = _parts(lists[lists["classes"].isna()])
+        present = np.frombuffer(lists["classes"].dropna().iloc[0], np.uint8).astype(np.int64)
+        places = {row.chunk: _places(row) for row in chunks}
+        word, code, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for row in contexts.itertuples():
+            local = np.cumsum(unpacked(row.words).astype(np.int64))
+            word.append(np.repeat(places[row.chunk][local], unpacked(row.sizes, "u1")))
+            code.append(unpacked(row.codes, "u1").astype(np.int64))
+            count.append(unpacked(row.counts).astype(np.int64))
+        word, code, count = (np.concatenate(x) for x in (word, code, count))
+        order = np.argsort(word, kind="stable")
+        word, code, count = word[order], code[order], count[order]
+        moving = np.flatnonzero(_moves(part, frequent))
+        new, k = present.copy(), CLASSES + 1
+        for start in range(0, len(moving), 1024):
+            some = moving[start : start + 1024]
+            a, b = np.searchsorted(word, [some[0], some[-1] + 1])
+            seen = np.zeros((len(some), WIDTH))  # counts are whole numbers below 2**53
+            np.add.at(seen, (np.searchsorted(some, word[a:b]), code[a:b]), count[a:b])
+            old = present[some]
+            gain = gains(table, old, seen[:, :k], seen[:, k : 2 * k], seen[:, 2 * k])
             best, rows = gain.argmax(axis=1), np.arange(len(some))
-            new[x] = np.where(gain[rows, best] > gain[rows, old[x]] + 1e-9, best, old[x])
-        return pd.DataFrame({"word": word, "new": new.astype(np.int32)})
+            new[some] = np.where(gain[rows, best] > gain[rows, old] + 1e-9, best, old)
+        return pd.DataFrame({"part": [key[0]], "classes": [new.astype(np.uint8).tobytes()]})
 
     return choose
 
 
+def _moves(part: Part, frequent: np.ndarray) -> np.ndarray:
+    return (part.own(frequent) < 0) & (part.counts >= 2) & (part.words != END)
+
+
 def _likelihood(table: np.ndarray) -> float:
     return _f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum()
 
@@ -335,76 +415,134 @@ class Model:
         }
 
 
-def fit(listed: DataFrame, encoded: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and ``at`` (the chunk), ``word, c, class`` of the chunks' words, from their lists and texts."""
-    spark = listed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trained = encoded.filter("train")
-    totals = stored(
-        listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("spelling").alias("spelling")).filter("c > 0"),
-        "totals",
-    )
-    top = totals.filter(F.col("word") != int(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
-    items = Items(top["word"].to_numpy(np.int64).view(np.uint64))
-    size = len(top) + SPELLINGS + 1
-    per_chunk = lambda known, f, schema: (
-        trained.groupBy("chunk").cogroup(known.groupBy("at")).applyInPandas(f, schema)
-    )
-    rows = per_chunk(listed.select("at", "word", "spelling"), _bigrams(items, size), "pair int, n long")
-    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(size * size, np.int64)
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    class_of = exchange(pairs.reshape(size, size))
-    del found, pairs
-
-    by_spelling = F.element_at(F.lit(class_of[len(top) :].tolist()).cast("array<int>"), F.col("spelling") + 1)
-    frequent = spark.createDataFrame(
-        list(zip(top["word"].tolist(), class_of[: len(top)].tolist(), strict=True)), "word long, own int"
-    )
-    classed = stored(
-        totals.join(F.broadcast(frequent), "word", "left").select(
-            "word", "c", "spelling", F.coalesce("own", by_spelling).alias("class"),
-            (F.col("own").isNull() & (F.col("c") >= 2) & (F.col("word") != int(END))).alias("moves"),
-        ),
-        "classes",
-    )
+@dataclass
+class Fitted:
+    """The model, and beside it the lists and the classes of all words, part by part."""
+
+    model: Model
+    lists: DataFrame
+    classes: DataFrame
+
+    def words(self) -> DataFrame:
+        """``word`` (the hash), ``c, class`` of every word."""
+
+        def told(lists: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+            part, _ = _parts(lists)
+            of = np.frombuffer(classes["classes"].iloc[0], np.uint8)
+            return pd.DataFrame({"word": part.words.view(np.int64), "c": part.counts, "class": of.astype(np.int32)})
+
+        both = self.lists.groupBy("part").cogroup(self.classes.groupBy("part"))
+        return both.applyInPandas(told, "word long, c long, class int")
+
 
-    def known_of(classed: DataFrame) -> DataFrame:
-        mine = listed.select("at", "word", "spelling").join(classed.drop("spelling").hint("merge"), "word", "left")
-        return mine.select(
-            "at", "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", by_spelling).alias("class"),
-            F.coalesce("moves", F.lit(False)).alias("moves"),
-        )
+def fit(pages: DataFrame, lists: DataFrame) -> Fitted:
+    """The model from the pages of the chunks and the lists of the parts."""
 
+    def top_of(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                part = Part(row)
+                known = np.flatnonzero((part.counts > 0) & (part.words != END))
+                best = known[np.argsort(-part.counts[known], kind="stable")[:FREQUENT]]
+                yield pd.DataFrame({"word": part.words[best].view(np.int64), "c": part.counts[best]})
+
+    totals = lists.filter("chunk < 0")
+    top = totals.mapInPandas(top_of, "word long, c long").orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
+    by_hash = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
+    frequent = top["word"].to_numpy(np.int64).view(np.uint64)[by_hash]
+    size = len(top) + SPELLINGS + 1
+
+    def items(key, rows: pd.DataFrame) -> pd.DataFrame:
+        part, chunks = _parts(rows)
+        own = part.own(frequent)
+        number = np.where(own >= 0, by_hash[own] if len(by_hash) else own, len(by_hash) + part.spellings)
+        return _answers(chunks, key[0], number, "<u2")
+
+    def by_chunk(answers: DataFrame, f, schema: str) -> DataFrame:
+        return pages.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(f, schema)
+
+    known = lists.groupBy("part").applyInPandas(items, _ANSWER)
+    pairs = added(by_chunk(known, _bigrams(size, "<u2", SLICES), TABLE), SLICES)
+    pairs = pairs.reshape(size, size) if len(pairs) else np.zeros((size, size), np.int64)
+    class_of = exchange(pairs).astype(np.uint8)
+    del pairs
+
+    def first_classes(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                part = Part(row)
+                own = part.own(frequent)
+                number = np.where(own >= 0, by_hash[own] if len(by_hash) else own, len(by_hash) + part.spellings)
+                yield pd.DataFrame({"part": [row.part], "classes": [class_of[number].tobytes()]})
+
+    classes = stored(totals.mapInPandas(first_classes, "part int, classes binary"), "classes")
+    none = np.zeros((CLASSES + 1) ** 2, np.int64)
     best = None
     for left in range(ROUNDS, -1, -1):  # the last one only counts
-        blocks = stored(per_chunk(known_of(classed), _contexts(parts if left else 0), _BLOCKS), "contexts")
-        table = np.zeros((CLASSES + 1) ** 2, np.int64)
-        for (x,) in blocks.filter("part = -1").select("counts").collect():
-            table += np.frombuffer(x, np.int64)
-        table = table.reshape(CLASSES + 1, CLASSES + 1).astype(float)
+        answers = stored(class_answers(lists, classes, frequent, counts=False), "answers")
+        table = added(by_chunk(answers, _bigrams(CLASSES + 1, "u1", 1), TABLE), 1)
+        table = (table if len(table) else none).reshape(CLASSES + 1, CLASSES + 1).astype(float)
         if best and _likelihood(table) <= best[0]:
             break
-        best = _likelihood(table), table, classed
+        best = _likelihood(table), table, classes
         if not left:
             break
-        part = F.expr(f"cast(pmod(shiftrightunsigned(word, 1), {parts}) as int)")
-        present = classed.filter("moves").select(part.alias("part"), "word", "class")
-        new = (
-            blocks.filter("part >= 0").groupBy("part").cogroup(present.groupBy("part"))
-            .applyInPandas(_best(table), "word long, new int")
-        )
-        moved = classed.join(new.hint("merge"), "word", "left")
-        classed = stored(moved.withColumn("class", F.coalesce("new", "class")).drop("new"), "classes")
-
-    _, table, classed = best
-    kinds = classed.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
+        others = [F.lit(-2 if c == "chunk" else None).cast(t).alias(c) for c, t in _LIST_TYPES[1:]]
+        blank = classes.select("part", *others, "classes")
+        told = lists.withColumn("classes", F.lit(None).cast("binary")).unionByName(blank)
+        contexts = by_chunk(answers, _contexts, _CONTEXTS)
+        moved = contexts.groupBy("part").cogroup(told.groupBy("part"))
+        classes = stored(moved.applyInPandas(_best(table, frequent), "part int, classes binary"), "classes")
+
+    _, table, classes = best
+
+    def masses(lists: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        part, _ = _parts(lists)
+        of = np.frombuffer(classes["classes"].iloc[0], np.uint8)
+        mass = np.zeros(CLASSES + 1, np.int64)
+        np.add.at(mass, of, part.counts)
+        different = np.bincount(of[part.counts > 0], minlength=CLASSES + 1)
+        return pd.DataFrame({"class": np.arange(CLASSES + 1, dtype=np.int32), "c": mass, "v": different})
+
+    per_part = totals.groupBy("part").cogroup(classes.groupBy("part")).applyInPandas(masses, "class int, c long, v long")
+    kinds = per_part.groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).toPandas()
     mass, different = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     mass[kinds["class"]], different[kinds["class"]] = kinds["c"], kinds["v"]
     table = table + PRIOR
     transitions = np.log10(table / table.sum(axis=1, keepdims=True))
     model = Model(transitions, np.log10(mass + different + 1), int(mass.sum()), int(different.sum()))
-    return model, known_of(classed).drop("moves")
+    return Fitted(model, lists, classes)
+
+
+_LIST_TYPES = [tuple(c.split()) for c in _LISTS.split(", ")]
+
+
+def class_answers(lists: DataFrame, classes: DataFrame, frequent: np.ndarray, counts: bool) -> DataFrame:
+    """To each chunk, the class of each of its words and whether it may move; or class and count."""
+
+    def tell(key, lists: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        part, chunks = _parts(lists)
+        of = np.frombuffer(classes["classes"].iloc[0], np.uint8)
+        if counts:
+            return _answers(chunks, key[0], of, "u1", part.counts)
+        return _answers(chunks, key[0], of + _MOVES * _moves(part, frequent).astype(np.uint8), "u1")
+
+    both = lists.groupBy("part").cogroup(classes.groupBy("part"))
+    return both.applyInPandas(tell, _ANSWER)
+
+
+def chunks_of(docs: DataFrame, train) -> tuple[DataFrame, DataFrame]:
+    """The pages of the chunks of ``docs``, and the lists of the parts."""
+    text = F.coalesce("text", F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(8, -(-size // PART_BYTES))
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("key"), text.cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train")
+    )
+    chunks = dealt(rows.mapInPandas(_number(parts), _CHUNK), "chunks", ["chunk"])
+    words = chunks.filter("part >= 0").select("part", "chunk", "words", "counts", "spellings")
+    lists = dealt(words.groupBy("part").applyInPandas(_meet, _LISTS), "lists", ["part"])
+    return chunks.filter("part < 0").select("chunk", "keys", "train", "sizes", "ids"), lists
 
 
 def scores(docs: DataFrame, train) -> DataFrame:
@@ -412,37 +550,27 @@ def scores(docs: DataFrame, train) -> DataFrame:
 
     ``train`` is a condition on the columns of ``docs``: the rows to learn from.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("string").alias("key"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
-        F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("chunk"),
-    )
-    chunks = dealt(rows.groupBy("chunk").applyInPandas(_encode, _CHUNK), "words", ["chunk"])
-    listed = chunks.filter("is_word").select(F.col("chunk").alias("at"), "word", "spelling", "n")
-    encoded = chunks.filter("NOT is_word").select("chunk", "key", "train", "ids")
-    fitted, known = fit(listed, encoded)
-    model = spark.sparkContext.broadcast(fitted)
-
-    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = _by_hash(known)
-        c, class_ = known["c"].to_numpy(np.int64), known["class"].to_numpy(np.int64)
-        parts = []
-        for start in range(0, len(texts), 2000):
-            some = texts.iloc[start : start + 2000]
-            ids, sizes = _ids(some), some["ids"].map(len).to_numpy(np.int64) // 4
+    pages, lists = chunks_of(docs, train)
+    fitted = fit(pages, lists)
+    model = docs.sparkSession.sparkContext.broadcast(fitted.model)
+
+    def score(pages: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        class_, c = _answered(answers, "u1").astype(np.int64), _answered(answers, "<i8", "counts")
+        made = []
+        for page in pages.itertuples():
+            ids, sizes = unpacked(page.ids), np.asarray(page.sizes, np.int64)
             result = model.value.score(sizes, c[ids], class_[ids])
-            parts.append(pd.DataFrame({"key": some["key"].to_numpy(), "train": some["train"].to_numpy(), **result}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["key", "train", *_MEASURES])
+            made.append(pd.DataFrame({"key": list(page.keys), "train": np.asarray(page.train, bool), **result}))
+        return pd.concat(made) if made else pd.DataFrame(columns=["key", "train", *_MEASURES])
 
     # Ids travel as text: in pandas, a null beside them would turn large numbers into floats.
     kind = docs.schema["doc_id"].dataType
     schema = "key string, train boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = encoded.groupBy("chunk").cogroup(known.groupBy("at")).applyInPandas(score, schema)
+    answers = class_answers(lists, fitted.classes, np.empty(0, np.uint64), counts=True)
+    scored = pages.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)
     return scored.select(
-        F.col("key").cast(kind).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(fitted.total).cast("long").alias("train_tokens"),
-        "base_score", "score",
+        F.col("key").cast(kind).alias("doc_id"), "train", "n_tokens", "n_known",
+        F.lit(fitted.model.total).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 
