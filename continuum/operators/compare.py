@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from continuum.config import CURRENT
+from continuum.config import StudyConfig
 from continuum.operators.completions import gather_samples
 from continuum.sources.catalogue import COMPARISON_GROUPS, RUNS, GroupMember, Run, group_members
 
@@ -20,13 +20,13 @@ def align(
     cleaned: DataFrame,
     kind: str,
     sides: Sequence[str],
+    config: StudyConfig,
     members: Sequence[GroupMember] = COMPARISON_GROUPS,
     runs: Sequence[Run] = RUNS,
-    n: int = CURRENT.n_continuations,
 ) -> DataFrame:
     """``(group_id, story_id, position, <side> array<string>...)`` where every side is present.
 
-    ``cleaned`` holds one row per sample. Deliveries fold per request first; one more
+    ``cleaned`` holds one row per sample; ``config`` tells how many a request has. Deliveries fold per request first; one more
     aggregation over at most one row per side replaces a self-join per side. The group table is
     configuration and broadcast.
     """
@@ -34,7 +34,12 @@ def align(
     compared = [r.run for r in runs if r.run_no in numbers]
     groups = group_members(cleaned.sparkSession, kind, members, runs)
     # The filter reaches the scan, so texts of other runs are neither read nor cleaned.
-    answers = gather_samples(cleaned.filter(F.col("run").isin(compared)), n=n)
+    answers = gather_samples(
+        cleaned.filter(F.col("run").isin(compared)),
+        config.n_continuations,
+        by=["story_id", "position"],
+        usual=len(compared) * config.n_continuations,
+    )
     bags = (
         answers.join(groups, "run")
         .groupBy("group_id", "story_id", "position")
@@ -55,11 +60,11 @@ def _side(ord_: int) -> Column:
     return F.flatten(F.transform(mine, lambda b: b["samples"]["continuation"]))
 
 
-def compare_pairs(cleaned: DataFrame, **config) -> DataFrame:
+def compare_pairs(cleaned: DataFrame, config: StudyConfig, **tables) -> DataFrame:
     """Base against instruct, thinking off against on."""
-    return align(cleaned, "pair", PAIR_SIDES, **config)
+    return align(cleaned, "pair", PAIR_SIDES, config, **tables)
 
 
-def compare_stages(cleaned: DataFrame, **config) -> DataFrame:
+def compare_stages(cleaned: DataFrame, config: StudyConfig, **tables) -> DataFrame:
     """The two chains base, SFT, DPO, final."""
-    return align(cleaned, "stages", STAGE_SIDES, **config)
+    return align(cleaned, "stages", STAGE_SIDES, config, **tables)

@@ -5,17 +5,19 @@ an ``explode`` multiplies rows. The joins ask for a sort-merge, so neither side
 broadcast on a wrong guess; adaptive execution still splits a skewed partition.
 
 ``completions (run, story_id, position, sample_idx, raw_text)`` comes from the generation
-engine: one row per sample of a request. A sample may be delivered again. Then one delivery
-counts, everywhere: the least continuation in text order, whatever order they came in. Samples
-numbered outside ``0..n-1`` are not part of a request; ``checks.check_output_count`` reports
-them, and repeated and missing ones. Gathered samples keep their numbers.
+engine: one row per sample of a request, and perhaps ``delivery long``, which grows with each
+try. A sample may be delivered again. Then one delivery counts, everywhere: one with text before
+an empty one, then the latest, then the least in text order, whatever order they came in.
+Samples numbered outside ``0..n-1`` are not part of a request; ``checks.check_output_count``
+reports them, and repeated and missing ones, and deliveries that nobody asked for. Gathered
+samples keep their numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from continuum.config import CURRENT, StudyConfig
@@ -24,40 +26,71 @@ from continuum.operators import sentences
 from continuum.operators.requests import KEYS
 from continuum.sources.catalogue import MODELS, RUNS, Model, Run, stripping_runs
 
+CROWDED = 20  # deliveries per sample that are still taken as usual
 
 def clean_completions(
     completions: DataFrame, runs: Sequence[Run] = RUNS, registry: Sequence[Model] = MODELS
 ) -> DataFrame:
     """Raw text to continuation: reasoning is stripped only where the run asks for it.
 
-    Done before any shuffle, so the reasoning, often longer than the answer, never moves.
+    What names a run that is not among ``runs`` is no answer and is left out. Done before any shuffle, so the reasoning, often longer than the answer, never moves.
     """
     raw = F.col("raw_text")
     strips = F.col("run").isin(stripping_runs(runs, registry))
-    return completions.select(
+    delivery = F.col("delivery") if "delivery" in completions.columns else F.lit(None)
+    planned = completions.filter(F.col("run").isin([r.run for r in runs]))
+    return planned.select(
         *KEYS,
         "sample_idx",
+        delivery.cast("long").alias("delivery"),
         F.when(strips, text.strip_reasoning(raw)).otherwise(text.strip(raw)).alias("continuation"),
     )
 
 
+def _preferred(i: int) -> Column:
+    """The order of the deliveries of sample ``i``; the least counts."""
+    latest_first = F.coalesce(-F.col("delivery"), F.lit((1 << 63) - 1))
+    rank = F.struct(
+        (F.col("continuation") == "").alias("empty"), latest_first.alias("age"), F.col("continuation").alias("text")
+    )
+    return F.when((F.col("sample_idx") == i) & F.col("continuation").isNotNull(), rank)
+
+
+def crowded(cleaned: DataFrame, by: Sequence[str], usual: int) -> bool:
+    """Whether some group of ``by`` has far more rows than ``usual``; reads and moves keys only."""
+    most = cleaned.groupBy(*by).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+    return (most or 0) > CROWDED * usual
+
+
 def gather_samples(
-    cleaned: DataFrame, keys: Sequence[str] = KEYS, n: int = CURRENT.n_continuations
+    cleaned: DataFrame, n: int, keys: Sequence[str] = KEYS, by: Sequence[str] = KEYS, usual: int | None = None
 ) -> DataFrame:
     """``samples array<struct<sample_idx, continuation>>`` per request, ordered by sample.
 
-    One minimum per sample number, so deliveries fold in the partial aggregation, before the
-    shuffle, and a request never holds more than ``n`` texts.
+    Texts move once, by ``by``, and are sorted after that; what follows on the same columns moves
+    nothing. The preferred delivery of each sample number is kept while reading the sorted rows, so a
+    request never holds more than ``n`` texts. Where a group is ``crowded`` with deliveries, more
+    than twenty times the ``usual`` number, they are folded in the tasks before they move as well.
     """
-    folded = cleaned.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("sample_idx") == i, F.col("continuation"))).alias(f"_s{i}") for i in range(n)]
-    )
+    usual = n if usual is None else usual
+    rows = cleaned if crowded(cleaned, by, usual) else cleaned.repartition(*by)
+    folded = rows.groupBy(*keys).agg(*[F.min(_preferred(i)).alias(f"_s{i}") for i in range(n)])
     samples = F.array(
-        *[F.struct(F.lit(i).alias("sample_idx"), F.col(f"_s{i}").alias("continuation")) for i in range(n)]
+        *[
+            F.struct(F.lit(i).alias("sample_idx"), F.col(f"_s{i}.text").alias("continuation"))
+            for i in range(n)
+        ]
     )
     return folded.select(*keys, F.filter(samples, lambda s: s["continuation"].isNotNull()).alias("samples"))
 
 
+def story_bags(cleaned: DataFrame, n_runs: int, config: StudyConfig) -> DataFrame:
+    """``(story_id, bag)``: all answered requests of a story, from texts that moved once, by story."""
+    usual = n_runs * len(config.position_pcts) * config.n_continuations
+    answers = gather_samples(cleaned, config.n_continuations, by=["story_id"], usual=usual)
+    return answers.groupBy("story_id").agg(F.collect_list(F.struct("run", "position", "samples")).alias("bag"))
+
+
 def attach_completions(
     requests: DataFrame,
     completions: DataFrame,
@@ -70,7 +103,7 @@ def attach_completions(
     Both sides meet on the full request key, so one aggregation shuffle serves the join too.
     """
     cleaned = clean_completions(completions, runs, registry)
-    answers = gather_samples(cleaned, n=config.n_continuations)
+    answers = gather_samples(cleaned, config.n_continuations)
     none = F.array().cast("array<struct<sample_idx: int, continuation: string>>")
     joined = requests.join(answers.hint("merge"), KEYS, "left").withColumn("samples", F.coalesce("samples", none))
     return joined.withColumn("continuations", F.col("samples.continuation"))
@@ -90,7 +123,7 @@ def finetune_rows(
     request; the long texts are repeated per sample only after the join.
     """
     texts = cut_texts.select("story_id", "position", "prefix", "ground_truth_continuation")
-    answers = gather_samples(cleaned, n=config.n_continuations)
+    answers = gather_samples(cleaned, config.n_continuations, by=["story_id", "position"], usual=len(RUNS) * config.n_continuations)
     rows = texts.join(answers.hint("merge"), ["story_id", "position"])
     return rows.select(
         *KEYS, "prefix", "ground_truth_continuation", F.inline("samples")
@@ -105,22 +138,20 @@ def finetune_stories(
     The samples of a story (runs x cuts x samples, at most) meet its sentences on the story id,
     and prefixes and remainders are put together after the join.
     """
-    answers = gather_samples(cleaned, n=config.n_continuations)
-    bags = answers.groupBy("story_id").agg(F.collect_list(F.struct("run", "position", "samples")).alias("bag"))
+    bags = story_bags(cleaned, len(RUNS), config)
     rows = cut.join(bags.hint("merge"), "story_id")
-    per_cut = rows.select(
-        "story_id",
-        "sentences",
-        F.explode("cuts").alias("position"),
-        "bag",
+    # Each cut takes its own share of the bag along; the whole bag is not copied per cut.
+    cuts = F.transform(
+        "cuts",
+        lambda p: F.struct(
+            p.alias("position"),
+            sentences.prefix_at(p).alias("prefix"),
+            sentences.truth_at(p).alias("ground_truth_continuation"),
+            F.filter("bag", lambda b: b["position"] == p).alias("own"),
+        ),
     )
-    own = F.filter("bag", lambda b: b["position"] == F.col("position"))
-    texts = per_cut.select(
-        "story_id",
-        "position",
-        sentences.prefix_at(F.col("position")).alias("prefix"),
-        sentences.truth_at(F.col("position")).alias("ground_truth_continuation"),
-        F.explode(own).alias("answer"),
+    texts = rows.select("story_id", F.inline(cuts)).select(
+        "story_id", "position", "prefix", "ground_truth_continuation", F.explode("own").alias("answer")
     )
     return texts.select(
         F.col("answer.run").alias("run"), "story_id", "position", "prefix", "ground_truth_continuation",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from continuum.sources.shared import cut_lineage
 
+if TYPE_CHECKING:
+    from continuum.sources.index import StoryIndex
+
 _TOP_IDS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
@@ -49,6 +54,12 @@ def shard_number(idx: Column, n_rows: Column, n_shards: int) -> Column:
     return F.when(idx < wide, F.floor(idx / (base + 1))).otherwise(extra + small).cast("int")
 
 
+def shard_edges(n_rows: int, n_shards: int) -> list[int]:
+    """First row of each shard, and the end of the last one: the plain form of ``shard_number``."""
+    base, extra = divmod(n_rows, n_shards)
+    return [i * base + min(i, extra) for i in range(n_shards + 1)]
+
+
 def with_shard(stories: DataFrame, n_shards: int) -> DataFrame:
     """``(story_id, shard_id)`` for every story."""
     numbered = with_global_index(stories.select("story_id"), ["story_id"])
@@ -69,18 +80,44 @@ def shard_bounds(stories: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
+def _between(stories: DataFrame, ends: tuple[str, str] | None) -> DataFrame:
+    return stories.filter(F.lit(False) if ends is None else F.col("story_id").between(*ends))
+
+
+def indexed_slice(
+    stories: DataFrame, index: StoryIndex, shard_id: int = 0, n_shards: int = 1, first: int = 0
+) -> DataFrame:
+    """A shard, and of it the first N stories (0: all), by the stored index: no job reads the corpus.
+
+    ``stories`` are those the index was made of, or the discovered ones among them.
+    """
+    low, count = index.shard_rows(shard_id, n_shards)
+    return _between(stories, index.range_of(low, min(count, first) if first > 0 else count))
+
+
+def slice_by(stories: DataFrame, ids: DataFrame, shard_id: int, n_shards: int, first: int) -> DataFrame:
+    """A shard of ``ids(story_id)``, and of it the first N (0: all), as an id range on ``stories``."""
+    low = high = None
+    if n_shards > 1:
+        bounds = shard_bounds(ids, n_shards).filter(F.col("shard_id") == shard_id).first()
+        if bounds is None:
+            return _between(stories, None)
+        low, high = bounds["first_id"], bounds["last_id"]
+        ids, stories = _between(ids, (low, high)), _between(stories, (low, high))
+    if first <= 0:
+        return stories
+    last = _last_of_first(ids, first)
+    return _between(stories, None) if last is None else stories.filter(F.col("story_id") <= last)
+
+
 def shard(stories: DataFrame, shard_id: int, n_shards: int) -> DataFrame:
     """The stories of one shard.
 
     A shard is contiguous in id order, hence an id range. Two ids travel to the driver and
     come back as a range filter, which a columnar source can prune by. Empty shard: no rows.
+    Numbering reads the ids; with many shards, write an index once and use ``indexed_slice``.
     """
-    if n_shards <= 1:
-        return stories
-    bounds = shard_bounds(stories, n_shards).filter(F.col("shard_id") == shard_id).first()
-    if bounds is None:
-        return stories.filter(F.lit(False))
-    return stories.filter(F.col("story_id").between(bounds["first_id"], bounds["last_id"]))
+    return slice_by(stories, stories, shard_id, n_shards, 0)
 
 
 def first_n(stories: DataFrame, n: int) -> DataFrame:
@@ -88,12 +125,13 @@ def first_n(stories: DataFrame, n: int) -> DataFrame:
 
     The n-th id is found on the id column alone and used as a filter, so no text is sorted.
     """
-    if n <= 0:
-        return stories
-    ids = stories.select("story_id")
+    return slice_by(stories, stories, 0, 1, n)
+
+
+def _last_of_first(ids: DataFrame, n: int) -> str | None:
+    ids = ids.select("story_id")
     if n <= _TOP_IDS:
         head = ids.orderBy("story_id").limit(n)
     else:  # too many ids for one task: number them all instead
         head = with_global_index(ids, ["story_id"]).filter(F.col("idx") < n)
-    last = head.agg(F.max("story_id")).first()[0]
-    return stories.filter(F.lit(False)) if last is None else stories.filter(F.col("story_id") <= last)
+    return head.agg(F.max("story_id")).first()[0]

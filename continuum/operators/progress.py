@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from continuum.config import CURRENT, StudyConfig
-from continuum.functions import text
-from continuum.operators.filters import id_number
 from continuum.operators.ordering import shard_bounds
 from continuum.operators.sentences import with_sentences
 from continuum.sources.catalogue import RUNS, Run, fan_out
+from continuum.sources.index import StoryIndex, story_flags
+from continuum.sources.shared import cut_lineage
+
+
+_STAGES = ("scanned", "in_id_range", "discovered", "long_enough", "too_short")
 
 
 def funnel_counts(
@@ -24,38 +27,33 @@ def funnel_counts(
 ) -> DataFrame:
     """``(stage, n, first_id, last_id)`` after each filter, from one pass over the corpus.
 
-    ``n_shards`` adds one row per shard of the discovered stories.
+    ``n_shards`` adds one row per shard of the discovered stories; ids and flags are then kept
+    once, so that neither the sort nor the counts read a text again.
     """
-    number = id_number(F.col("story_id"))
-    in_range = (number >= config.min_story_id) & (number < config.max_story_id)
-    listed = F.coalesce(in_range, F.lit(False)) if id_filter else F.lit(True)
-    # Nested conditions: a text is only counted and split when the earlier filters let it pass.
-    found = F.when(listed, text.at_most_words(F.col("text"), config.max_words)).otherwise(False)
-    flags = stories.select("story_id", listed.alias("in_id_range"), found.alias("discovered"), "text")
-    found_text = F.when(F.col("discovered"), F.col("text"))
-    split = with_sentences(flags.withColumn("text", found_text))
-    long_enough = F.coalesce(F.size("sentences") >= config.min_sentences, F.lit(False))
-    stages = {
-        "scanned": F.lit(True),
-        "in_id_range": F.col("in_id_range"),
-        "discovered": F.col("discovered"),
-        "long_enough": F.col("discovered") & long_enough,
-        "too_short": F.col("discovered") & ~long_enough,
-    }
-    counts = split.agg(*[_stage(cond).alias(name) for name, cond in stages.items()])
-    rows = F.array(*[_row(s) for s in stages])
-    funnel = counts.select(F.inline(rows))
+    flags = story_flags(stories, config, id_filter=id_filter)
     if n_shards > 0:
-        bounds = shard_bounds(flags.filter("discovered"), n_shards)
-        funnel = funnel.unionByName(
-            bounds.select(
-                F.concat(F.lit("shard_"), F.col("shard_id").cast("string")).alias("stage"),
-                F.col("n_stories").alias("n"),
-                "first_id",
-                "last_id",
-            )
-        )
-    return funnel
+        flags = cut_lineage(flags)
+        return funnel_of(flags).unionByName(_shard_stages(shard_bounds(flags.filter("discovered"), n_shards)))
+    return funnel_of(flags)
+
+
+def indexed_funnel(index: StoryIndex, n_shards: int = 0) -> DataFrame:
+    """``funnel_counts`` from a stored index; the corpus is not read."""
+    funnel = funnel_of(index.flags)
+    return funnel.unionByName(_shard_stages(index.shard_bounds(n_shards))) if n_shards > 0 else funnel
+
+
+def funnel_of(flags: DataFrame) -> DataFrame:
+    """``(stage, n, first_id, last_id)`` of stories with flags."""
+    short = F.col("discovered") & ~F.col("long_enough")
+    conditions = {**{s: F.col(s) for s in _STAGES[1:4]}, "scanned": F.lit(True), "too_short": short}
+    counts = flags.agg(*[_stage(conditions[name]).alias(name) for name in _STAGES])
+    return counts.select(F.inline(F.array(*[_row(s) for s in _STAGES])))
+
+
+def _shard_stages(bounds: DataFrame) -> DataFrame:
+    stage = F.concat(F.lit("shard_"), F.col("shard_id").cast("string")).alias("stage")
+    return bounds.select(stage, F.col("n_stories").alias("n"), "first_id", "last_id")
 
 
 def _stage(condition: Column) -> Column:

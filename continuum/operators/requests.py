@@ -16,6 +16,31 @@ RUN_FIELDS = [
     "run_no", "run", "model", "prompt_mode", "is_reasoning", "enable_thinking", "strip_think", "max_tokens_mult",
 ]
 KEYS = ["run", "story_id", "position"]
+TOKEN_COUNTS = "token_counts"
+
+
+def with_token_counts(rows: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """``rows`` with a map of the counts that a tokenizer gave for a story's prompts, if there are any.
+
+    ``counts (run, story_id, position, prompt_tokens)`` becomes one map per story, of runs x cuts
+    entries at most, so requests, exported prompts and records are guarded by the same numbers. Of
+    several counts for one prompt the largest is taken.
+    """
+    if counts is None:
+        return rows
+    single = counts.groupBy(*KEYS).agg(F.max("prompt_tokens").cast("int").alias("tokens"))
+    entry = F.struct(F.struct("run", F.col("position").cast("int").alias("position")), "tokens")
+    maps = single.groupBy("story_id").agg(F.map_from_entries(F.collect_list(entry)).alias(TOKEN_COUNTS))
+    return rows.join(maps.hint("merge"), "story_id", "left")
+
+
+def prompt_tokens(position: Column, prefix_words: Column, config: StudyConfig, counted: bool) -> Column:
+    """Tokens of a prompt of the row's run: the supplied count, or else the estimate."""
+    estimate = study.estimated_tokens(prompt_words(prefix_words, F.col("prompt_mode")), config)
+    if not counted:
+        return estimate
+    key = F.struct(F.col("run").alias("run"), position.alias("position"))
+    return F.coalesce(F.try_element_at(F.col(TOKEN_COUNTS), key), estimate)
 
 
 def token_budgets(positions: DataFrame, config: StudyConfig = CURRENT) -> DataFrame:
@@ -40,17 +65,16 @@ def requests(
     registry: Sequence[Model] = MODELS,
     config: StudyConfig = CURRENT,
     *,
-    token_counts: DataFrame | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Every cut for every run, before the context guard. Keys, flags and numbers only, and
     the columns to ``keep``.
 
-    ``token_counts (run, story_id, position, prompt_tokens)`` replaces the estimate where a
-    tokenizer's count is at hand.
+    A ``token_counts`` column of the positions (``with_token_counts``) goes before the estimate.
     """
+    counted = TOKEN_COUNTS in positions.columns
     rows = fan_out(positions, RUN_FIELDS, runs, registry)
-    rows = rows.select(
+    return rows.select(
         *RUN_FIELDS,
         "story_id",
         "position",
@@ -58,22 +82,12 @@ def requests(
         study.token_budget(
             F.col("target_n_words"), F.col("max_tokens_mult"), F.col("strip_think"), config
         ).alias("max_tokens"),
-        study.estimated_tokens(
-            prompt_words(F.col("prefix_words"), F.col("prompt_mode")), config
-        ).alias("prompt_tokens_est"),
+        prompt_tokens(F.col("position"), F.col("prefix_words"), config, counted).alias("prompt_tokens_est"),
         F.lit(config.n_continuations).alias("n_continuations"),
         F.lit(config.temperature).alias("temperature"),
         F.lit(config.top_p).alias("top_p"),
         *keep,
     )
-    if token_counts is None:
-        return rows
-    counted = token_counts.select(*KEYS, F.col("prompt_tokens").alias("_counted"))
-    return (
-        rows.join(counted.hint("merge"), KEYS, "left")
-        .withColumn("prompt_tokens_est", F.coalesce(F.col("_counted").cast("int"), "prompt_tokens_est"))
-        .drop("_counted")
-    )
 
 
 def fits_context(prompt_tokens: Column, max_tokens: Column, config: StudyConfig = CURRENT) -> Column:

@@ -13,11 +13,16 @@ from continuum.operators import completions as C
 from continuum.operators import filters, ordering, prompts, records, requests, sentences
 from continuum.operators.joins import anti_join
 from continuum.sources.catalogue import MODELS, RUNS, Model, Run
+from continuum.sources.index import StoryIndex
 
 
 @dataclass(frozen=True)
 class Selection:
-    """Which stories a pass works on; the fields apply in this order."""
+    """Which stories a pass works on; the fields apply in this order.
+
+    An ``index`` of the same corpus, id range and word cap gives shards and first-N without a job
+    over the corpus; with an id list, which no index knows, only the index's ids are sorted.
+    """
 
     id_filter: bool = False
     min_id: int | None = None
@@ -26,6 +31,7 @@ class Selection:
     shard_id: int = 0
     n_shards: int = 1
     first_n: int = 0
+    index: StoryIndex | None = None
 
 
 EVERYTHING = Selection()
@@ -46,8 +52,15 @@ def select_stories(
     stories = filters.word_cap(stories, config.max_words)
     if selection.ids is not None:
         stories = filters.id_list(stories, selection.ids)
-    stories = ordering.shard(stories, selection.shard_id, selection.n_shards)
-    stories = ordering.first_n(stories, selection.first_n)
+    index = selection.index
+    if index is not None and selection.ids is None:
+        if selection.n_shards > 1 or selection.first_n > 0:
+            stories = ordering.indexed_slice(
+                stories, index, selection.shard_id, selection.n_shards, selection.first_n
+            )
+    else:
+        known = stories if index is None else filters.id_list(index.ordered.select("story_id"), selection.ids)
+        stories = ordering.slice_by(stories, known, selection.shard_id, selection.n_shards, selection.first_n)
     return stories if done is None else filters.resume(stories, done)
 
 
@@ -71,9 +84,16 @@ def open_requests(
     runs: Sequence[Run] = RUNS,
     registry: Sequence[Model] = MODELS,
     config: StudyConfig = CURRENT,
+    *,
+    token_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Requests that fit the context window, for every run."""
-    planned = requests.requests(story_positions(stories, config), runs, registry, config)
+    """Requests that fit the context window, for every run.
+
+    ``token_counts (run, story_id, position, prompt_tokens)``, here and below, replaces the estimate
+    of a prompt's tokens where a tokenizer's count is at hand.
+    """
+    cuts = requests.with_token_counts(story_positions(stories, config), token_counts)
+    planned = requests.requests(cuts, runs, registry, config)
     return requests.context_guard(planned, config)
 
 
@@ -82,9 +102,15 @@ def export_requests(
     runs: Sequence[Run] = RUNS,
     registry: Sequence[Model] = MODELS,
     config: StudyConfig = CURRENT,
+    *,
+    token_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Open requests with their prompts, from one row per story: narrow, no text is shuffled."""
+    """Open requests with their prompts, from one row per story: narrow, no text is shuffled.
+
+    With counts each story is shuffled once, to meet them.
+    """
     cut = cut_stories(select_stories(stories, config=config), config)
+    cut = requests.with_token_counts(cut, token_counts)
     cuts = sentences.positions(cut, with_prefix=True)
     planned = requests.requests(cuts, runs, registry, config, keep=["prefix"])
     return prompts.export_rows(requests.context_guard(planned, config))
@@ -108,6 +134,8 @@ def pending_requests(
     runs: Sequence[Run] = RUNS,
     registry: Sequence[Model] = MODELS,
     config: StudyConfig = CURRENT,
+    *,
+    token_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Open requests of the (run, story) pairs not in ``done``.
 
@@ -116,7 +144,8 @@ def pending_requests(
     planned = done.filter(F.col("run").isin([r.run for r in runs])).select("run", "story_id").distinct()
     finished = planned.groupBy("story_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(runs))
     rest = filters.resume(stories, finished)
-    return anti_join(open_requests(rest, runs, registry, config), planned, ["run", "story_id"])
+    open_ = open_requests(rest, runs, registry, config, token_counts=token_counts)
+    return anti_join(open_, planned, ["run", "story_id"])
 
 
 def answered_requests(
@@ -125,9 +154,11 @@ def answered_requests(
     runs: Sequence[Run] = RUNS,
     registry: Sequence[Model] = MODELS,
     config: StudyConfig = CURRENT,
+    *,
+    token_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Requests with their cleaned continuations."""
-    open_ = open_requests(stories, runs, registry, config)
+    open_ = open_requests(stories, runs, registry, config, token_counts=token_counts)
     return C.attach_completions(open_, completions, runs, registry, config)
 
 
@@ -140,7 +171,9 @@ def story_records(
     *,
     complete: bool = True,
     done: DataFrame | None = None,
+    token_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Nested records of every run: the complete ones that are not in ``done``."""
     cut = cut_stories(select_stories(stories, config=config), config)
+    cut = requests.with_token_counts(cut, token_counts)
     return records.nest_story(cut, completions, runs, registry, config, complete=complete, done=done)

@@ -7,14 +7,17 @@ from dataclasses import replace
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from continuum.config import CURRENT
+from continuum.config import CURRENT, OLD
+from continuum.functions.text import WHITESPACE
 from continuum.operators import checks, compare, completions, progress
 from continuum.operators.requests import KEYS
 from continuum.plans import study
 from continuum.sources import results
 from continuum.sources.catalogue import COMPARISON_GROUPS, RUNS
+from tests.conftest import plan_of
 
 TEN = " ".join(f"S{i} word here." for i in range(10))
 FIVE = "A one. B two. C three. D four. E five."
@@ -68,7 +71,7 @@ def test_one_delivery_of_a_sample_counts(spark, stories, raw):
     assert tuned.select(keyed).orderBy(order).collect() == (
         completions.sample_rows(attached).select(keyed).orderBy(order).collect()
     )
-    faults = by_subject(checks.check_output_count(study.open_requests(stories), faulty))
+    faults = by_subject(checks.check_output_count(study.open_requests(stories), faulty).filter("check = 'output_count'"))
     assert faults[PLAIN] == (1, "fail") and faults[THINKS] == (0, "pass")
     assert study.story_records(stories, faulty).count() == 39
     kept = study.story_records(stories, faulty, complete=False).filter(f"run = '{PLAIN}' AND story_id = '00001'").first()
@@ -160,12 +163,12 @@ def test_finetune_rows(spark, stories, raw, tmp_path):
 
 def test_compare_pairs_and_stages(spark, stories, raw):
     cleaned = completions.clean_completions(raw)
-    pairs = compare.compare_pairs(cleaned)
+    pairs = compare.compare_pairs(cleaned, CURRENT)
     assert pairs.count() == 6 * 7
     r = pairs.filter("group_id = 'qwen3_thinking' AND story_id = '00001' AND position = 4").first()
     assert r.right == [f"out {THINKS} 4 {i}" for i in range(5)]
     assert all(t.startswith("<think>plan</think>") for t in r.left)
-    stages = compare.compare_stages(cleaned)
+    stages = compare.compare_stages(cleaned, CURRENT)
     assert stages.count() == 2 * 7
     assert {m.group_id for m in COMPARISON_GROUPS if m.kind == "stages"} == {
         x.group_id for x in stages.select("group_id").distinct().collect()
@@ -174,8 +177,8 @@ def test_compare_pairs_and_stages(spark, stories, raw):
 
 def test_compare_needs_every_side(spark, stories, raw):
     cleaned = completions.clean_completions(raw).filter("NOT (run = 'olmo3_base' AND position = 4)")
-    assert compare.compare_stages(cleaned).filter("position = 4").isEmpty()
-    assert compare.compare_pairs(cleaned).count() == 42
+    assert compare.compare_stages(cleaned, CURRENT).filter("position = 4").isEmpty()
+    assert compare.compare_pairs(cleaned, CURRENT).count() == 42
 
 
 def by_subject(df):
@@ -186,7 +189,7 @@ def test_output_checks(spark, stories, raw):
     open_ = study.open_requests(stories)
     assert set(by_subject(checks.check_output_count(open_, raw)).values()) == {(0, "pass")}
     less = raw.filter(f"NOT (run = '{PLAIN}' AND position = 4 AND sample_idx = 0)")
-    faults = by_subject(checks.check_output_count(open_, less))
+    faults = by_subject(checks.check_output_count(open_, less).filter("check = 'output_count'"))
     assert faults[PLAIN] == (2, "fail") and faults[THINKS] == (0, "pass")
     bad = spark.createDataFrame(
         [(THINKS, "1", 1, 0, "a</think> "), (THINKS, "1", 1, 1, "<think>b"), (PLAIN, "1", 1, 0, "fine")], RAW
@@ -256,3 +259,115 @@ def test_a_flood_of_copies_of_one_sample_changes_nothing(spark, stories, raw):
     assert answers(flooded) == answers(raw)
     sizes = study.story_records(stories, flooded).select(F.flatten("positions.continuations").alias("c"))
     assert {len(r.c) for r in sizes.collect()} == {15, 20}
+
+
+TRIES = "run string, story_id string, position int, sample_idx int, delivery long, raw_text string"
+
+
+def folded(spark, tries, schema=TRIES):
+    rows = [(PLAIN, "00001", 4, *t) for t in tries]
+    cleaned = completions.clean_completions(spark.createDataFrame(rows, schema))
+    found = completions.gather_samples(cleaned, 5).collect()
+    return {s.sample_idx: s.continuation for r in found for s in r.samples}
+
+
+def test_a_retry_mends_an_empty_delivery(spark):
+    tries = [(0, 0, ""), (0, 1, "A real answer."), (1, 5, "late"), (1, 2, "early"), (2, 0, "text"), (2, 3, " "),
+             (3, None, "a"), (3, None, "b"), (4, None, "zz"), (4, 0, "z")]
+    assert folded(spark, tries) == {0: "A real answer.", 1: "late", 2: "text", 3: "a", 4: "z"}
+    plain = [(0, ""), (0, "A real answer."), (1, ""), (2, "b"), (2, "a"), (3, None), (9, "x")]
+    assert folded(spark, plain, RAW) == {0: "A real answer.", 1: "", 2: "a"}
+
+
+def test_a_crowded_request_is_folded_before_it_moves(spark):
+    tries = [(0, i, f"try {i}") for i in range(150)]
+    assert completions.crowded(spark.createDataFrame([(1,)] * 150, "story_id int"), ["story_id"], 5)
+    assert folded(spark, tries) == {0: "try 149"}
+
+
+def test_comparison_keeps_all_samples_of_the_older_preset(spark):
+    rows = [(r, "1", 1, i, f"{r} {i}") for r in (PLAIN, "qwen25_32b_instruct") for i in range(20)]
+    cleaned = completions.clean_completions(spark.createDataFrame(rows, RAW))
+    (pair,) = compare.compare_pairs(cleaned, OLD).collect()
+    assert [len(pair.left), len(pair.right)] == [20, 20] and pair.left[19] == f"{PLAIN} 19"
+    with pytest.raises(TypeError):
+        compare.compare_pairs(cleaned)
+
+
+def test_orphan_deliveries_fail(spark, stories, raw):
+    open_ = study.open_requests(stories)
+    strange = [("nobody", "00001", 4, 0, "x"), (PLAIN, "99999", 4, 0, "x"), (PLAIN, "00001", 5, 0, "x"), (PLAIN, "00001", 5, 1, "y")]
+    found = checks.check_output_count(open_, raw.unionByName(spark.createDataFrame(strange, RAW))).collect()
+    got = {(r.check, r.subject): (r.n, r.status) for r in found}
+    assert got["orphan_output", PLAIN] == (2, "fail") and got["orphan_output", "nobody"] == (1, "fail")
+    assert got["orphan_output", THINKS] == (0, "pass") and got["output_count", PLAIN] == (0, "pass")
+    assert ("output_count", "nobody") not in got
+    again = raw.withColumn("delivery", F.lit(1).cast("long")).unionByName(raw.withColumn("delivery", F.lit(0).cast("long")).withColumn("raw_text", F.lit("")))
+    assert {r.status for r in checks.check_output_count(open_, again).collect()} == {"pass"}
+
+
+def test_supplied_counts_agree_everywhere(spark, stories, raw):
+    counts = spark.createDataFrame(
+        [(PLAIN, "00001", 4, 40000), (PLAIN, "00001", 4, 39999), (THINKS, "00002", 2, 99999), (PLAIN, "00002", 2, 1), ("nobody", "00001", 4, 9)],
+        "run string, story_id string, position int, prompt_tokens int",
+    )
+    open_ = study.open_requests(stories, token_counts=counts)
+    keys = lambda df: sorted(map(tuple, df.select(*KEYS).collect()))
+    assert open_.count() == 138 and (PLAIN, "00001", 4) not in keys(open_)
+    assert {r.prompt_tokens_est for r in open_.filter(f"run = '{PLAIN}' AND story_id = '00002' AND position = 2").collect()} == {1}
+    assert keys(study.export_requests(stories, token_counts=counts)) == keys(open_)
+    none = spark.createDataFrame([], "run string, story_id string")
+    assert keys(study.pending_requests(stories, none, token_counts=counts)) == keys(open_)
+    records = study.story_records(stories, raw, token_counts=counts)
+    assert keys(records.select("run", "story_id", F.explode("positions.position").alias("position"))) == keys(open_)
+    assert keys(study.answered_requests(stories, raw, token_counts=counts)) == keys(open_)
+
+
+def test_a_repeated_commit_changes_nothing(spark, stories, raw, tmp_path):
+    out = str(tmp_path / "records")
+    assert results.read_committed(spark, out).isEmpty() and results.committed(spark, out).isEmpty()
+    records = study.story_records(stories, raw)
+    for batch in ("0001", "0001", "0002"):
+        told = results.commit_records(records.filter("story_id = '00001'") if batch == "0001" else records, out, batch)
+    back = results.read_committed(spark, out)
+    assert back.count() == 40 and back.select("run", "story_id").distinct().count() == 40
+    assert sorted(back.select(sorted(records.columns)).collect()) == sorted(records.select(sorted(records.columns)).collect())
+    assert {(r.check, r.status, r.n) for r in told.collect() if r.check == "missing_runs"} == {("missing_runs", "pass", 1)}
+    # A write that was cut off before its commit is not read, and is replaced when it is repeated.
+    results.write_records(records, f"{out}/batch=0003")
+    assert results.read_committed(spark, out).count() == 40
+    assert study.pending_requests(stories, results.committed(spark, out)).isEmpty()
+    with pytest.raises(ValueError):
+        results.commit_records(records, out, "a/b")
+
+
+def test_checks_on_the_way_to_the_sink(spark, stories, raw, tmp_path):
+    """The tally of the write equals that of queries over what was written, with one read of the records."""
+    bad = raw.withColumn("raw_text", F.when((F.col("run") == PLAIN) & (F.col("position") == 4), "a</think>")
+                         .when((F.col("run") == "olmo3_base") & (F.col("sample_idx") == 1), " ").otherwise(F.col("raw_text")))
+    faulty = bad.filter(f"NOT (run = '{THINKS}' AND story_id = '00002' AND sample_idx = 0)").filter("run <> 'qwq_32b'")
+    records = study.story_records(stories, faulty, complete=False).filter("run <> 'qwq_32b'")
+    out = str(tmp_path / "records")
+    told = {(r.check, r.subject): (r.n, r.status) for r in results.commit_records(records, out, "a").collect()}
+    back = results.read_committed(spark, out)
+    samples = back.select("run", F.explode("positions").alias("p")).select("run", F.explode("p.continuations").alias("continuation"))
+    for r in checks.check_output_texts(samples).collect():
+        assert told[r.check, r.subject] == (r.n, r.status)
+    assert told["think_leak", PLAIN] == (35, "fail")  # a run that does not think keeps its tags
+    assert told["empty_output", "olmo3_base"] == (7, "fail")
+    assert told["output_count", THINKS] == (3, "fail") and told["output_count", PLAIN] == (0, "pass")
+    assert told["missing_runs", "qwq_32b"] == (0, "fail") and told["missing_runs", PLAIN] == (2, "pass")
+    observation = Observation()
+    plan = plan_of(checks.observed(spark.read.schema(results.RECORD_SCHEMA).json(f"{out}/batch=a"), observation))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "CollectMetrics" in plan
+
+
+def test_expected_constants():
+    """What the SQL counterparts take from the library, stated once more."""
+    assert (CURRENT.position_pcts, CURRENT.n_continuations, CURRENT.max_words) == ((0.40, 0.60, 0.80, 0.90), 5, 5000)
+    assert (OLD.position_pcts, OLD.n_continuations) == ((0.20, 0.40, 0.60, 0.80, 0.90), 20)
+    assert (CURRENT.context_length, CURRENT.token_floor, CURRENT.token_clamp) == (32768, 100, 4096)
+    assert (CURRENT.thinking_tokens, CURRENT.thinking_clamp, CURRENT.tokens_per_word) == (2048, 8192, 1.3)
+    assert len(RUNS) == 20 and {r.max_tokens_mult for r in RUNS if r.thinking} == {2.0}
+    assert sum(r.thinking for r in RUNS) == 6 and {r.max_tokens_mult for r in RUNS if not r.thinking} == {1.3}
+    assert len(WHITESPACE) == 29 and all(c.isspace() for c in WHITESPACE)

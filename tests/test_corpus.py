@@ -133,3 +133,21 @@ def test_whole_study_on_files(spark, tmp_path):
         ("00007", 2, 6), ("00007", 3, 4), ("00007", 4, 2)]
     assert rows[0].prefix == "A one. B two."
     assert rows[0].ground_truth_continuation == "C three. D four. E five."
+
+
+def test_manifest_corpus_equals_the_folder(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    for name, content in {"00001.txt": "a", "00002.txt": "", "x y+[1].txt": "b", "a.txt": "first", "a.txt.txt": "last", "n.md": "no"}.items():
+        (folder / name).write_text(content)
+    (folder / "sub.txt").mkdir()
+    manifest = corpus.write_manifest(spark, str(folder), str(tmp_path / "manifest"), names_per_part=2)
+    assert manifest.count() == 5 and manifest.select("part").distinct().count() == 3
+    got = corpus.ingest_manifest(manifest, out)
+    want = {(r.story_id, r.text) for r in corpus.read_text_corpus(spark, str(folder)).collect()}
+    assert {(r.story_id, r.text) for r in got.collect()} == want == {("00001", "a"), ("00002", ""), ("x y+[1]", "b"), ("a", "last")}
+    (folder / "00001.txt").write_text("changed")  # parts that are complete are not read again
+    assert {(r.story_id, r.text) for r in corpus.ingest_manifest(manifest, out).collect()} == want
+    (folder / ".h.txt").write_text("x")
+    with pytest.raises(ValueError, match="hidden"):
+        corpus.write_manifest(spark, str(folder), str(tmp_path / "again"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from continuum.config import CURRENT
-from continuum.operators import filters, ordering
+from continuum.operators import filters, ordering, progress
 from continuum.plans import study
+from continuum.sources import index
 
 
 def frame(spark, ids, body="a b c"):
@@ -89,3 +92,29 @@ def test_selection_applies_in_order(spark):
     picked = study.select_stories(df, study.Selection(n_shards=4, shard_id=1, first_n=2))
     assert ids(picked) == ["00195", "00196"]
     assert CURRENT.max_story_id == 200
+
+
+@pytest.mark.parametrize("n, shards", [(13, 5), (3, 5), (0, 2), (101, 7)])
+def test_an_index_gives_the_same_shards(spark, tmp_path, n, shards):
+    df = frame(spark, [f"{i:05d}" for i in range(n)] + ["x"], "One. Two. Three. Four. Five.").repartition(3)
+    made = index.write_index(df, str(tmp_path / "index"))
+    kept = filters.id_range(df)
+    for i in range(shards):
+        for first in (0, 1, 4):
+            chosen = study.Selection(id_filter=True, shard_id=i, n_shards=shards, first_n=first)
+            want = ids(study.select_stories(df, chosen))
+            assert ids(study.select_stories(df, replace(chosen, index=made))) == want
+            assert ids(ordering.indexed_slice(kept, made, i, shards, first)) == want
+    listed = study.Selection(id_filter=True, ids="1,3,5,00007,9", shard_id=1, n_shards=2, first_n=1, index=made)
+    assert ids(study.select_stories(df, listed)) == ids(study.select_stories(df, replace(listed, index=None)))
+    bounds = lambda df: sorted(map(tuple, df.collect()))
+    assert bounds(made.shard_bounds(shards)) == bounds(ordering.shard_bounds(kept, shards))
+    assert bounds(progress.indexed_funnel(made, shards)) == bounds(progress.funnel_counts(df, n_shards=shards))
+    assert made.flags.count() == n + 1
+
+
+def test_shard_edges():
+    for n, shards in [(13, 5), (3, 5), (0, 2), (20, 4)]:
+        edges = ordering.shard_edges(n, shards)
+        assert edges[0] == 0 and edges[-1] == n
+        assert [b - a for a, b in zip(edges, edges[1:], strict=False)] == [n // shards + (i < n % shards) for i in range(shards)]

@@ -99,7 +99,7 @@ def test_supplied_token_counts_win(spark, stories):
     counts = spark.createDataFrame(
         [("olmo3_base", "00001", 4, 40000)], "run string, story_id string, position int, prompt_tokens int"
     )
-    kept = requests.context_guard(requests.requests(pos, token_counts=counts))
+    kept = requests.context_guard(requests.requests(requests.with_token_counts(pos, counts)))
     assert kept.count() == 79
     assert kept.filter("run = 'olmo3_base' AND position = 4").isEmpty()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from continuum.plans import study
 from continuum.sources.corpus import read_table_corpus, read_text_corpus
 from continuum.streaming import incremental
@@ -45,3 +47,52 @@ def test_table_stream_equals_batch_for_text_ids(spark, tmp_path):
     assert {r.story_id for r in arrived.collect()} == {"42", "x7"}
     none = spark.createDataFrame([], "run string, story_id string, position int, sample_idx int, raw_text string")
     assert study.story_records(arrived, none, complete=False).count() == 2 * 20
+
+
+def test_a_story_that_arrives_again_is_written_once(spark, tmp_path):
+    folder, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    text = " ".join(f"S{i} says hi." for i in range(10))
+    schema = "story_id string, text string"
+    plan = study.story_positions
+
+    def deliver(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / name))
+
+    def step(checkpoint=mark):
+        stream = incremental.stream_table_corpus(spark, f"{folder}/*", schema, max_files_per_trigger=1)
+        incremental.append_new_stories(stream, plan, out, checkpoint)
+        return incremental.read_lots(spark, out, plan(spark.createDataFrame([], "story_id string, source_file string, text string")).schema)
+
+    deliver("a", [("00001", text), ("00001", text), ("00002", text)])
+    assert step().count() == 8
+    deliver("b", [("00001", "Else. " + text), ("00003", text), ("00004", "Too short.")])
+    assert step().count() == 12
+    assert step(str(tmp_path / "lost")).count() == 12  # the checkpoint is lost: everything arrives again
+    (first,) = {r.n_context_sentences for r in step().filter("story_id = '00001' AND position = 9").collect()}
+    assert first == 9
+
+
+def test_a_lot_that_is_repeated_replaces_itself(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([("1", "f", "x"), ("2", "f", "y")], "story_id string, source_file string, text string")
+    for _ in range(2):
+        incremental._write_lot(rows, 0, lambda s: s, out)
+    incremental._write_lot(rows.unionByName(rows.withColumn("story_id", rows.story_id + 5)), 1, lambda s: s, out)
+    assert incremental.read_lots(spark, out, rows.schema).count() == 4
+
+
+def test_text_folder_keeps_empty_files_and_refuses_hidden_names(spark, tmp_path):
+    folder, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    folder.mkdir()
+    (folder / "00001.txt").write_text("One.")
+    (folder / "00003.txt").write_text("")
+    same = lambda stories: stories.select("story_id", "text")
+    schema = spark.createDataFrame([], "story_id string, text string").schema
+    for _ in range(2):
+        incremental.append_text_folder(spark, str(folder), same, out, mark)
+        got = {r.story_id: r.text for r in incremental.read_lots(spark, out, schema).collect()}
+        assert got == {"00001": "One.", "00003": ""}
+    assert incremental.read_lots(spark, out, schema).count() == 2
+    (folder / "_hid.txt").write_text("Hidden.")
+    with pytest.raises(ValueError, match="hidden"):
+        incremental.append_text_folder(spark, str(folder), same, out, mark)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from continuum.operators.ordering import with_global_index
 from continuum.sources.catalogue import fan_out
 from continuum.sources.corpus import pad_id, read_table_corpus
+from continuum.sources.shared import fresh_path
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,21 +38,29 @@ def done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(reached).select("run", "story_id")
 
 
-#: Folders of completions written beforehand, by table folder; ``bench.py`` fills it.
-PREPARED: dict[str, str] = {}
+#: Folders of completions written beforehand, by table folder and name.
+PREPARED: dict[tuple[str, str], str] = {}
 
 
-def all_completions(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
-    """Completions of all open requests: those prepared for this folder, or else new ones."""
-    if sf_dir in PREPARED:
-        return spark.read.parquet(PREPARED[sf_dir])
-    return completions(spark, sf_dir, requests)
+def all_completions(spark: SparkSession, sf_dir: str, requests: DataFrame, name: str = "open") -> DataFrame:
+    """Deliveries for the requests, written once per session and table folder; ``name`` tells requests apart."""
+    key = (sf_dir, name)
+    if key not in PREPARED:
+        path = fresh_path(spark, "completions")
+        completions(spark, sf_dir, requests).write.parquet(path)
+        PREPARED[key] = path
+    return spark.read.parquet(PREPARED[key])
+
+
+N_FAULTS = 1009
+UNKNOWN_RUN = "ghost_run"
 
 
 def completions(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
-    """A raw text for every sample of every request, drawn from the assistant turns.
+    """Deliveries ``(run, story_id, position, sample_idx, delivery, raw_text)`` for every request.
 
-    The mapping from request to turn and the four text shapes are those of FIXTURES.md.
+    The mapping from request to turn and the four text shapes are those of FIXTURES.md. One
+    sample in ``N_FAULTS`` each has one of the faults that ``with_faults`` lists.
     """
     assistant = (
         spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -60,9 +69,9 @@ def completions(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFr
     )
     numbers = with_global_index(assistant.select("conv_id", "turn"), ["conv_id", "turn"], "k")
     turns = assistant.join(numbers.drop("n_rows"), ["conv_id", "turn"]).select("k", "text")
-    k = (
-        F.col("run_no") * 7 + F.col("story_id").cast("long") * 20 + F.col("position") * 5 + F.col("sample_idx")
-    ) % F.lit(assistant.count())
+    number = F.col("story_id").cast("long")
+    k = (F.col("run_no") * 7 + number * 20 + F.col("position") * 5 + F.col("sample_idx")) % F.lit(assistant.count())
+    fault = (F.col("run_no") * 31 + number * 17 + F.col("position") * 7 + F.col("sample_idx")) % N_FAULTS
     shape = F.col("k") % 4
     raw = (
         F.when(shape == 0, F.col("text"))
@@ -74,10 +83,52 @@ def completions(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFr
     # One small file means one task; spread the narrow keys before texts are put on them.
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = requests.select("run", "run_no", "story_id", "position", "n_continuations")
-    return (
+    drawn = (
         keys.repartition(width, "story_id", "position")
         .select("run", "run_no", "story_id", "position", samples)
         .withColumn("k", k)
+        .withColumn("fault", fault)
         .join(turns.hint("merge"), "k")
-        .select("run", "story_id", "position", "sample_idx", raw.alias("raw_text"))
+        .select("run", "story_id", "position", "sample_idx", "fault", raw.alias("raw_text"))
+    )
+    return with_faults(drawn)
+
+
+def with_faults(drawn: DataFrame) -> DataFrame:
+    """What an engine may deliver, by fault: 1 an empty first try, 2 an empty last one, 3 nothing, 4 only
+    an empty text, 5 another first try, 6 two texts at once, 7 a sample too many, 8 an unknown run,
+    9 an unknown cut, 10 an unknown story."""
+    fault, raw = F.col("fault"), F.col("raw_text")
+
+    def row(run, story_id, position, sample_idx, delivery, text) -> Column:
+        return F.struct(
+            run.alias("run"), story_id.alias("story_id"), position.cast("int").alias("position"),
+            sample_idx.cast("int").alias("sample_idx"), delivery.cast("long").alias("delivery"), text.alias("raw_text"),
+        )
+
+    run, story, position, sample = (F.col(c) for c in ("run", "story_id", "position", "sample_idx"))
+    usual = row(run, story, position, sample, F.when(fault.isin(1, 5), 1).otherwise(0), F.when(fault == 4, "").otherwise(raw))
+    text = (
+        F.when(fault.isin(1, 2), "")
+        .when(fault == 5, F.concat(F.lit("first try "), raw))
+        .when(fault == 6, F.concat(F.lit("zz "), raw))
+        .otherwise(raw)
+    )
+    other = row(
+        F.when(fault == 8, UNKNOWN_RUN).otherwise(run),
+        F.when(fault == 10, F.concat(story, F.lit("x"))).otherwise(story),
+        F.when(fault == 9, position + 1000).otherwise(position),
+        F.when(fault == 7, 99).otherwise(sample),
+        F.when(fault == 2, 1).otherwise(0),
+        text,
+    )
+    both = F.array(F.when(fault != 3, usual), F.when(fault.isin(1, 2, 5, 6, 7, 8, 9, 10), other))
+    return drawn.select(F.inline(F.array_compact(both)))
+
+
+def token_counts(requests: DataFrame) -> DataFrame:
+    """A tokenizer's counts for the prompts of half the runs and a third of the stories: twice the estimate."""
+    some = (F.col("run_no") % 2 == 0) & (F.col("story_id").cast("long") % 3 == 0)
+    return requests.filter(some).select(
+        "run", "story_id", "position", (F.col("prompt_tokens_est") * 2).alias("prompt_tokens")
     )

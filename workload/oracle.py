@@ -10,6 +10,7 @@ from continuum.config import CURRENT, OLD, StudyConfig
 from continuum.functions.text import WHITESPACE, WHITESPACE_CLASS
 from continuum.operators.prompts import SYSTEM_TEXT, USER_TEMPLATE
 from continuum.sources.catalogue import COMPARISON_GROUPS, EXPECTED_CLASSES, MODELS, RUNS
+from workload.fixtures import N_FAULTS, UNKNOWN_RUN
 from workload.queries import N_SHARDS
 
 
@@ -85,7 +86,7 @@ _RUNS = ",\n".join(
         ),
         _values("model_rows", "model, is_base, is_reasoning, is_vlm, is_mistral", MODELS),
         """runs AS (
-  SELECT r.run_no, r.run, r.model, CAST(r.mult AS DOUBLE) AS mult,
+  SELECT r.run_no, r.run, r.model, r.tp, CAST(r.mult AS DOUBLE) AS mult,
          CASE WHEN m.is_base THEN 'base_raw' ELSE 'chat' END AS prompt_mode, m.is_reasoning,
          (m.is_reasoning AND r.thinking) AS enable_thinking, (m.is_reasoning AND r.thinking) AS strip_think
   FROM run_rows r JOIN model_rows m USING (model))""",
@@ -125,35 +126,80 @@ def _strip_reasoning(x: str) -> str:
 _SHAPES = """CASE {k} % 4 WHEN 0 THEN text WHEN 1 THEN concat('<think>plan A. B</think>', text)
               WHEN 2 THEN concat('plan A. B</think> ', text) ELSE concat('<think>cut off ', text) END"""
 
-_ANSWERS = f"""turns AS (
+def _answers(n: int) -> str:
+    return f"""turns AS (
   SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS k, text FROM conversations WHERE role = 'assistant'),
 samples AS (
-  SELECT run, strip_think, story_id, position, CAST(s AS INTEGER) AS sample_idx,
-         (run_no * 7 + doc_id * 20 + position * 5 + s) % (SELECT count(*) FROM turns) AS k
-  FROM requests, range({CURRENT.n_continuations}) AS g(s)),
-raw AS (
-  SELECT run, strip_think, story_id, position, sample_idx, {_SHAPES.format(k='k')} AS raw_text
+  SELECT run, story_id, position, CAST(s AS INTEGER) AS sample_idx,
+         (run_no * 7 + doc_id * 20 + position * 5 + s) % (SELECT count(*) FROM turns) AS k,
+         (run_no * 31 + doc_id * 17 + position * 7 + s) % {N_FAULTS} AS fault
+  FROM requests, range({n}) AS g(s)),
+drawn AS (
+  SELECT run, story_id, position, sample_idx, fault, {_SHAPES.format(k='k')} AS raw_text
   FROM samples JOIN turns USING (k)),
-answers AS (
-  SELECT run, story_id, position, sample_idx,
+raw AS (
+  SELECT run, story_id, position, sample_idx, CASE WHEN fault IN (1, 5) THEN 1 ELSE 0 END AS delivery,
+         CASE WHEN fault = 4 THEN '' ELSE raw_text END AS raw_text
+  FROM drawn WHERE fault <> 3
+  UNION ALL
+  SELECT CASE WHEN fault = 8 THEN '{UNKNOWN_RUN}' ELSE run END,
+         CASE WHEN fault = 10 THEN story_id || 'x' ELSE story_id END,
+         CASE WHEN fault = 9 THEN position + 1000 ELSE position END,
+         CASE WHEN fault = 7 THEN 99 ELSE sample_idx END,
+         CASE WHEN fault = 2 THEN 1 ELSE 0 END,
+         CASE WHEN fault IN (1, 2) THEN '' WHEN fault = 5 THEN 'first try ' || raw_text
+              WHEN fault = 6 THEN 'zz ' || raw_text ELSE raw_text END
+  FROM drawn WHERE fault IN (1, 2, 5, 6, 7, 8, 9, 10)),
+cleaned AS (
+  SELECT run, story_id, position, sample_idx, delivery,
          CASE WHEN strip_think THEN {_strip_reasoning('raw_text')} ELSE {_strip('raw_text')} END AS continuation
-  FROM raw),
-attached AS (
+  FROM raw JOIN runs USING (run)),
+folded AS (
+  SELECT run, story_id, position, sample_idx, continuation FROM cleaned WHERE sample_idx BETWEEN 0 AND {n - 1}
+  QUALIFY row_number() OVER (PARTITION BY run, story_id, position, sample_idx
+                             ORDER BY continuation = '', delivery DESC, encode(continuation)) = 1),
+gathered AS (
   SELECT run, story_id, position, count(*) AS n_out,
          string_agg(continuation, chr(10) ORDER BY sample_idx) AS continuations
-  FROM answers GROUP BY ALL)"""
-
-_RECORDS = """record_positions AS (
-  SELECT q.run, q.story_id, count(*) AS n_positions_emitted, sum(n_out) AS n_continuations,
-         string_agg(prefix || chr(10) || truth || chr(10) || continuations, chr(10) ORDER BY q.position) AS whole
-  FROM requests q JOIN attached USING (run, story_id, position) GROUP BY ALL),
+  FROM folded GROUP BY ALL),
+answers AS (SELECT f.* FROM folded f SEMI JOIN requests USING (run, story_id, position)),
+attached AS (SELECT g.* FROM gathered g SEMI JOIN requests USING (run, story_id, position)),
+delivered AS (
+  SELECT run, story_id, position, count(*) AS got, min(sample_idx) AS low, max(sample_idx) AS high,
+         bool_or(texts > 1) AS differs
+  FROM (SELECT run, story_id, position, sample_idx, count(DISTINCT raw_text) AS texts FROM raw r
+        WHERE delivery = (SELECT max(delivery) FROM raw l WHERE l.run = r.run AND l.story_id = r.story_id
+                          AND l.position = r.position AND l.sample_idx = r.sample_idx) GROUP BY ALL)
+  GROUP BY run, story_id, position)"""
+
+
+_ANSWERS = _answers(CURRENT.n_continuations)
+
+
+def _records(config: StudyConfig) -> str:
+    pcts = ",".join(str(p) for p in config.position_pcts)
+    return f"""record_positions AS (
+  SELECT q.run, q.story_id, count(*) AS n_positions_emitted, coalesce(sum(n_out), 0) AS n_continuations,
+         bool_and(coalesce(n_out, 0) = {config.n_continuations}) AS complete,
+         string_agg(concat_ws(chr(10), q.position, q.position, n - q.position,
+             round_even(q.position / CAST(n AS DOUBLE) * 100, 1), target_n_words, prefix, truth,
+             coalesce(continuations, '')), chr(10) ORDER BY q.position) AS whole
+  FROM requests q LEFT JOIN attached USING (run, story_id, position) GROUP BY ALL),
 records AS (
   SELECT run, story_id, n AS n_sentences, n_words, CAST(count(*) AS INTEGER) AS n_positions_evaluated,
          CAST(coalesce(any_value(p.n_positions_emitted), 0) AS INTEGER) AS n_positions_emitted,
          CAST(coalesce(any_value(p.n_continuations), 0) AS INTEGER) AS n_continuations,
+         {config.n_continuations} AS n_continuations_per_position, CAST({config.temperature} AS DOUBLE) AS temperature,
+         CAST({config.top_p} AS DOUBLE) AS top_p, model, prompt_mode, enable_thinking AS thinking_enabled,
+         tp AS tensor_parallel_size, mult AS max_tokens_mult, 'documents.parquet' AS source_file,
+         'none' AS quantization, '{pcts}' AS position_pcts,
          md5(coalesce(any_value(p.whole), '')) AS positions_md5
   FROM all_requests LEFT JOIN record_positions p USING (run, story_id)
-  GROUP BY run, story_id, n, n_words)"""
+  GROUP BY run, story_id, n, n_words, model, prompt_mode, enable_thinking, tp, mult
+  HAVING coalesce(any_value(p.complete), true))"""
+
+
+_RECORDS = _records(CURRENT)
 
 _DONE = f"""done AS (
   SELECT run, {_PAD} AS story_id FROM labels, runs
@@ -170,6 +216,12 @@ _POS = (*_BASE, _cuts(CURRENT))
 _REQ = (*_POS, _RUNS, _REQUESTS, _guarded(CURRENT.context_length))
 _ANS = (*_REQ, _ANSWERS)
 _REQ_4096 = (*_POS, _RUNS, _REQUESTS, _guarded(4096))
+_COUNTED = """SELECT * REPLACE (CAST(CASE WHEN run_no % 2 = 0 AND doc_id % 3 = 0 THEN prompt_tokens_est * 2
+    ELSE prompt_tokens_est END AS INTEGER) AS prompt_tokens_est) FROM all_requests"""
+_REQ_COUNTED = (
+    *_POS, _RUNS, _REQUESTS,
+    f"requests AS (SELECT * FROM ({_COUNTED}) WHERE prompt_tokens_est + max_tokens <= 4096)",
+)
 
 _POSITIONS_SQL = """SELECT story_id, position, position AS n_context_sentences,
   n - position AS n_remaining_sentences,
@@ -190,7 +242,7 @@ def _compare(kind: str, sides: tuple[str, ...]) -> str:
         *_ANS,
         _values("members", "group_id, ord, run", members),
         f"""SELECT group_id, story_id, position, {texts}
-  FROM members JOIN attached USING (run) GROUP BY group_id, story_id, position
+  FROM members JOIN gathered USING (run) GROUP BY group_id, story_id, position
   HAVING count(DISTINCT ord) = {len(sides)}""",
     )
 
@@ -211,14 +263,31 @@ def _fault(check: str, n: str, source: str) -> str:
 
 
 _THINK_LEAK = _fault(
-    "think_leak", "count(*) FILTER (WHERE regexp_matches(continuation, '(?i)</?think>'))", "answers"
+    "think_leak", "count(*) FILTER (WHERE regexp_matches(continuation, '(?i)</?think>'))", "cleaned"
 )
-_OUTPUT_COUNT = _fault(
+_RIGHT = f"got = {CURRENT.n_continuations} AND low = 0 AND high = {CURRENT.n_continuations - 1} AND NOT differs"
+_OUTPUT_COUNT = f"""SELECT * FROM ({_fault(
     "output_count",
-    f"count(*) FILTER (WHERE coalesce(n_out, 0) <> {CURRENT.n_continuations})",
-    "requests LEFT JOIN attached USING (run, story_id, position)",
+    f"count(*) FILTER (WHERE NOT coalesce({_RIGHT}, false))",
+    "requests LEFT JOIN delivered USING (run, story_id, position)",
+)}) UNION ALL {_fault(
+    "orphan_output",
+    "count(*) FILTER (WHERE max_tokens IS NULL)",
+    "requests FULL JOIN delivered USING (run, story_id, position)",
+)}"""
+_EMPTY_OUTPUT = _fault("empty_output", "count(*) FILTER (WHERE continuation = '')", "cleaned")
+_WRITTEN = "\nUNION ALL ".join(
+    f"""SELECT '{check}' AS "check", run AS subject, CAST(coalesce({n}, 0) AS BIGINT) AS n,
+  CASE WHEN coalesce({n}, 0) {good} THEN 'pass' ELSE 'fail' END AS status
+  FROM runs LEFT JOIN (SELECT run, story_id, continuation, 0 AS wrong FROM records JOIN answers USING (run, story_id))
+  USING (run) GROUP BY run"""
+    for check, n, good in [
+        ("think_leak", "count(*) FILTER (WHERE regexp_matches(continuation, '(?i)</?think>'))", "= 0"),
+        ("empty_output", "count(*) FILTER (WHERE continuation = '')", "= 0"),
+        ("output_count", "sum(wrong)", "= 0"),
+        ("missing_runs", "count(DISTINCT story_id)", "> 0"),
+    ]
 )
-_EMPTY_OUTPUT = _fault("empty_output", "count(*) FILTER (WHERE continuation = '')", "answers")
 _PROMPTS = _fault(
     "prompts",
     f"""count(*) FILTER (WHERE CASE WHEN prompt_mode = 'base_raw' THEN {_strip('prefix')} = ''
@@ -298,6 +367,17 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT story_id, CAST(ntile({N_SHARDS}) OVER (ORDER BY story_id) - 1 AS INTEGER) AS shard_id
   FROM stories""",
     ),
+    "shard_index": _with(
+        _STORIES,
+        f"""SELECT CAST(shard AS INTEGER) AS shard_id, count(*) AS n_stories, min(story_id) AS first_id, max(story_id) AS last_id
+  FROM (SELECT story_id, ntile({N_SHARDS}) OVER (ORDER BY story_id) - 1 AS shard FROM stories
+        WHERE n_words <= {CURRENT.max_words}) GROUP BY shard""",
+    ),
+    "shard_stories": _with(
+        _STORIES,
+        f"""SELECT story_id, n_words FROM (SELECT *, ntile({N_SHARDS}) OVER (ORDER BY story_id) - 1 AS shard FROM stories
+        WHERE n_words <= {CURRENT.max_words}) WHERE shard = 2""",
+    ),
     "first_n": _with(_STORIES, "SELECT story_id FROM stories ORDER BY story_id LIMIT 25"),
     "resume": _with(
         _STORIES,
@@ -355,7 +435,7 @@ ORACLE_SQL: dict[str, str] = {
     "finetune_rows": _with(
         *_ANS,
         """SELECT run, story_id, position, sample_idx, md5(prefix) AS prefix_md5, md5(truth) AS ground_truth_md5,
-  md5(continuation) AS continuation_md5 FROM answers JOIN pos USING (story_id, position)""",
+  md5(continuation) AS continuation_md5 FROM folded JOIN pos USING (story_id, position)""",
     ),
     "pending_records": _with(
         *_ANS,
@@ -364,11 +444,29 @@ ORACLE_SQL: dict[str, str] = {
         _RECORD_SQL + " ANTI JOIN done USING (run, story_id)",
     ),
     "nest_story": _with(*_ANS, _RECORDS, _RECORD_SQL),
+    "nest_story_old": _with(
+        *_BASE,
+        _cuts(OLD),
+        _RUNS.replace("JOIN model_rows m USING (model))", "JOIN model_rows m USING (model) WHERE run_no IN (1, 2, 9, 10))"),
+        _REQUESTS,
+        _guarded(OLD.context_length),
+        _answers(OLD.n_continuations),
+        _records(OLD),
+        _RECORD_SQL,
+    ),
     "nest_story_4096": _with(*_REQ_4096, _ANSWERS, _RECORDS, _RECORD_SQL),
+    "requests_counted": _with(*_REQ_COUNTED, _REQUEST_SQL + "requests"),
+    "export_counted": _with(
+        *_REQ_COUNTED,
+        "SELECT run, story_id, position, CASE WHEN prompt_mode = 'base_raw' THEN md5(prefix) END AS prompt_md5, max_tokens FROM requests",
+    ),
+    "nest_story_counted": _with(*_REQ_COUNTED, _ANSWERS, _RECORDS, _RECORD_SQL),
+    "written_checks": _with(*_ANS, _RECORDS, _WRITTEN),
     "story_result_json": _with(*_ANS, _RECORDS, _RECORD_SQL),
     "compare_pairs": _compare("pair", ("left", "right")),
     "compare_stages": _compare("stages", ("base", "sft", "dpo", "final")),
     "funnel_counts": _funnel(True),
+    "funnel_index": _funnel(True),
     "funnel_counts_all": _funnel(False),
     "progress_counts": _with(
         *_BASE,

@@ -27,7 +27,7 @@ from continuum.operators import (
 )
 from continuum.operators import completions as C
 from continuum.plans import study
-from continuum.sources import catalogue, results
+from continuum.sources import catalogue, index, results
 from continuum.sources.shared import fresh_path
 from continuum.streaming import incremental
 from workload import fixtures
@@ -124,6 +124,24 @@ def shard(spark, d):
     return ordering.with_shard(fixtures.stories(spark, d), N_SHARDS)
 
 
+def story_index(spark, d):
+    return index.write_index(fixtures.stories(spark, d), fresh_path(spark, "index"))
+
+
+def shard_index(spark, d):
+    """Sizes and ends of the shards of the stories under the word cap, from an index written once."""
+    made = index.write_index(fixtures.stories(spark, d), fresh_path(spark, "index"), id_filter=False)
+    return made.shard_bounds(N_SHARDS)
+
+
+def shard_stories(spark, d):
+    """The stories of one shard, found by the index; the corpus is read for them alone."""
+    s = fixtures.stories(spark, d)
+    made = index.write_index(s, fresh_path(spark, "index"), id_filter=False)
+    chosen = study.select_stories(s, study.Selection(shard_id=2, n_shards=N_SHARDS, index=made))
+    return chosen.select("story_id", text.word_count(F.col("text")).alias("n_words"))
+
+
 def first_n(spark, d):
     return ordering.first_n(fixtures.stories(spark, d), 25).select("story_id")
 
@@ -144,13 +162,15 @@ def positions_old(spark, d):
 
 
 def stream_positions(spark, d):
-    arriving = incremental.stream_table_corpus(
-        spark, d, DOCUMENTS, id_column="doc_id", glob="documents.parquet"
-    )
-    rows = study.story_positions(arriving).select(*POSITION_COLUMNS)
+    """The documents arrive as a stream, and once more in a second folder; each story is written once."""
     out = fresh_path(spark, "stream-positions")
-    incremental.append_available(rows, f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    plan = lambda stories: study.story_positions(stories).select(*POSITION_COLUMNS)
+    for lot in ("first", "again"):
+        arriving = incremental.stream_table_corpus(
+            spark, d, DOCUMENTS, id_column="doc_id", glob="documents.parquet"
+        )
+        incremental.append_new_stories(arriving, plan, f"{out}/rows", f"{out}/checkpoint-{lot}")
+    return incremental.read_lots(spark, f"{out}/rows", plan(fixtures.stories(spark, d)).schema)
 
 
 def cut_texts(spark, d):
@@ -246,7 +266,7 @@ def export_prompts(spark, d):
 
 def answered(spark, d):
     s = fixtures.stories(spark, d)
-    return study.answered_requests(s, fixtures.all_completions(spark, d, study.open_requests(s)))
+    return study.answered_requests(s, raw_completions(spark, d))
 
 
 def raw_completions(spark, d):
@@ -275,47 +295,92 @@ def finetune_rows(spark, d):
     )
 
 
-def story_records(spark, d, config=CURRENT):
+def story_records(spark, d, config=CURRENT, runs=catalogue.RUNS, name="open", counts=None):
     s = fixtures.stories(spark, d)
-    planned = requests.requests(study.story_positions(s))
-    make = fixtures.all_completions if config is CURRENT else fixtures.completions
-    raw = make(spark, d, requests.context_guard(planned, config))
-    return study.story_records(s, raw, config=config)
+    open_ = study.open_requests(s, runs, config=config, token_counts=counts)
+    raw = fixtures.all_completions(spark, d, open_, name)
+    return study.story_records(s, raw, runs, config=config, token_counts=counts)
 
 
 def _record_view(rows: DataFrame) -> DataFrame:
-    """Counts of each record and an MD5 over all texts of its positions, in order."""
+    """Every field of each record, its positions as counts and an MD5 over all their fields, in order."""
     whole = F.transform(
         "positions",
         lambda p: F.concat_ws(
-            "\n", p["prefix"], p["ground_truth_continuation"], F.array_join(p["continuations"], "\n")
+            "\n",
+            *[p[f].cast("string") for f in records.POSITION_FIELDS],
+            F.array_join(p["continuations"], "\n"),
         ),
     )
-    digest = _md5(F.array_join(whole, "\n")).alias("positions_md5")
-    return records.record_counts(rows, "n_sentences", "n_words", digest)
+    fields = [
+        "n_sentences", "n_words", "n_continuations_per_position", "temperature", "top_p", "model", "prompt_mode",
+        "thinking_enabled", "tensor_parallel_size", "max_tokens_mult",
+    ]
+    return records.record_counts(
+        rows,
+        *fields,
+        F.substring_index("source_file", "/", -1).alias("source_file"),
+        F.coalesce("quantization", F.lit("none")).alias("quantization"),
+        F.array_join(F.col("position_pcts_config").cast("array<string>"), ",").alias("position_pcts"),
+        _md5(F.array_join(whole, "\n")).alias("positions_md5"),
+    )
 
 
 def nest_story(spark, d):
     return _record_view(story_records(spark, d))
 
 
+OLD_RUNS = [r for r in catalogue.RUNS if r.run_no in (1, 2, 9, 10)]
+
+
+def nest_story_old(spark, d):
+    """The older preset, five cuts and twenty samples, for a base, an instruct and two reasoning runs."""
+    return _record_view(story_records(spark, d, OLD, OLD_RUNS, "old"))
+
+
 def pending_records(spark, d):
     """Records that are complete and not in the done-set of all runs."""
     s = fixtures.stories(spark, d)
-    raw = fixtures.all_completions(spark, d, study.open_requests(s))
-    return _record_view(study.story_records(s, raw, done=fixtures.done(spark, d)))
+    return _record_view(study.story_records(s, raw_completions(spark, d), done=fixtures.done(spark, d)))
 
 
 def nest_story_4096(spark, d):
     """With a small context window some records lose positions, and some lose all of them."""
-    return _record_view(story_records(spark, d, SMALL_CONTEXT))
+    return _record_view(story_records(spark, d, SMALL_CONTEXT, name="4096"))
+
+
+def counted(spark, d):
+    """A table of supplied prompt sizes; the context window is small, so that they matter."""
+    return fixtures.token_counts(all_requests(spark, d, SMALL_CONTEXT))
+
+
+def requests_counted(spark, d):
+    open_ = study.open_requests(fixtures.stories(spark, d), config=SMALL_CONTEXT, token_counts=counted(spark, d))
+    return open_.select(*REQUEST_COLUMNS)
+
+
+def export_counted(spark, d):
+    out = study.export_requests(fixtures.stories(spark, d), config=SMALL_CONTEXT, token_counts=counted(spark, d))
+    return out.select(*requests.KEYS, _md5(F.col("prompt")).alias("prompt_md5"), "max_tokens")
+
+
+def nest_story_counted(spark, d):
+    return _record_view(story_records(spark, d, SMALL_CONTEXT, name="counted", counts=counted(spark, d)))
 
 
 def story_result_json(spark, d):
-    """Records written to the JSON sink and read back."""
+    """Records committed to the JSON sink in two batches, the first one twice, and read back."""
+    out = fresh_path(spark, "story-records")
+    rows = story_records(spark, d)
+    for batch, some in (("a", rows.filter(F.col("story_id") < "00500")), ("a", rows.filter(F.col("story_id") < "00500")), ("b", rows)):
+        results.commit_records(some, out, batch)
+    return _record_view(results.read_committed(spark, out))
+
+
+def written_checks(spark, d):
+    """What the checks found while records were written."""
     out = fresh_path(spark, "story-records")
-    results.write_records(story_records(spark, d), out)
-    return _record_view(results.read_records(spark, out))
+    return results.commit_records(story_records(spark, d), out, "all")
 
 
 def _joined(side: str) -> Column:
@@ -323,12 +388,12 @@ def _joined(side: str) -> Column:
 
 
 def compare_pairs(spark, d):
-    rows = compare.compare_pairs(cleaned(spark, d))
+    rows = compare.compare_pairs(cleaned(spark, d), CURRENT)
     return rows.select("group_id", "story_id", "position", *[_joined(s) for s in compare.PAIR_SIDES])
 
 
 def compare_stages(spark, d):
-    rows = compare.compare_stages(cleaned(spark, d))
+    rows = compare.compare_stages(cleaned(spark, d), CURRENT)
     return rows.select("group_id", "story_id", "position", *[_joined(s) for s in compare.STAGE_SIDES])
 
 
@@ -339,6 +404,11 @@ def funnel_counts(spark, d):
     return progress.funnel_counts(fixtures.stories(spark, d), n_shards=N_SHARDS)
 
 
+def funnel_index(spark, d):
+    """The same funnel from a stored index."""
+    return progress.indexed_funnel(story_index(spark, d), N_SHARDS)
+
+
 def funnel_counts_all(spark, d):
     """The production funnel: no id filter."""
     return progress.funnel_counts(fixtures.stories(spark, d), id_filter=False)
@@ -363,7 +433,7 @@ def check_think_leak(spark, d):
 
 def check_output_count(spark, d):
     open_ = study.open_requests(fixtures.stories(spark, d))
-    return checks.check_output_count(open_, fixtures.completions(spark, d, open_))
+    return checks.check_output_count(open_, raw_completions(spark, d))
 
 
 def check_empty_output(spark, d):
@@ -407,6 +477,8 @@ QUERIES: dict[str, Query] = {
     "id_range": id_range,
     "id_list": id_list,
     "shard": shard,
+    "shard_index": shard_index,
+    "shard_stories": shard_stories,
     "first_n": first_n,
     "resume": resume,
     "positions": positions,
@@ -427,12 +499,18 @@ QUERIES: dict[str, Query] = {
     "attach_completions": attach_completions,
     "finetune_rows": finetune_rows,
     "nest_story": nest_story,
+    "nest_story_old": nest_story_old,
+    "requests_counted": requests_counted,
+    "export_counted": export_counted,
+    "nest_story_counted": nest_story_counted,
+    "written_checks": written_checks,
     "pending_records": pending_records,
     "nest_story_4096": nest_story_4096,
     "story_result_json": story_result_json,
     "compare_pairs": compare_pairs,
     "compare_stages": compare_stages,
     "funnel_counts": funnel_counts,
+    "funnel_index": funnel_index,
     "funnel_counts_all": funnel_counts_all,
     "progress_counts": progress_counts,
     "progress_by_run": progress_by_run,
