@@ -2,15 +2,18 @@
 
 A page is read into blocks of text, the stretches between block-level tags, each with its chain
 of open elements. A linear classifier turns the chain (element names, roles, words of ``class``
-and ``id``), the share of linked characters and the length into log-odds for content. They
-become capacities: from the source if content is likelier, to the sink if boilerplate is.
-Neighbouring blocks, and the next blocks of one container, are tied by smoothness edges that
-are stronger the closer they are in the tree. A minimum cut separates content from boilerplate.
-Blocks whose own odds outweigh all their edges are decided first and handed to their
-neighbours, which leaves the cut minimal; maximum flow decides the rest.
+and ``id``), the share of linked characters and the length into log-odds for content. Evidence
+adds up without bound, so a cost saturates: ``MOST * tanh(odds / SCALE)``, which puts it on the
+scale of the smoothness edges. Costs become capacities: from the source if content is likelier,
+to the sink if boilerplate is. Neighbouring blocks, and the next blocks of one container, are
+tied by smoothness edges that are stronger the closer they are in the tree. A minimum cut
+separates content from boilerplate: a block of weak odds goes with its surroundings, and only
+evidence that outweighs all its ties stands against them. Such blocks are decided first and
+handed to their neighbours, which leaves the cut minimal; maximum flow decides the rest.
 
 Reading never fails: unclosed, crossed and cut-off tags are repaired the way browsers do for the
-common cases. White space, no-break spaces included, becomes one space inside a block.
+common cases. What only fills in for a picture or a script is silent: it is read, but its text is
+left out, until it ends or what holds it ends; drawings end at the next block. White space, no-break spaces included, becomes one space inside a block.
 
 Defined results: null and empty pages, and pages without content, give an empty text; equal rows
 are extracted each; an empty table gives no rows; null ids and addresses pass through; other
@@ -20,6 +23,7 @@ columns are not read.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 
@@ -54,20 +58,22 @@ SAME = {
     "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
     "th": {"tr", "table"}, "option": {"select"}, "a": set(), "button": set(),
 }
-#: What only the browser shows, or nobody.
-UNSHOWN = {"template", "svg", "math", "canvas", "object", "audio", "video", "noscript", "datalist", "map"}
+#: What is drawn or played, and stand-ins for it; their text is not shown.
+SILENT = {"template", "svg", "canvas", "object", "audio", "video", "noscript", "datalist"}
+#: Drawings and formulas, which have no blocks inside, and may end in their opening tag.
+FOREIGN = {"svg", "math"}
 
 # Weights of the classifier, as log-odds for content.
 BIAS = -0.5
 ELEMENT = {
     "article": 3.0, "main": 3.0, "p": 1.0, "blockquote": 0.5, "pre": 0.5, "h1": 0.5, "h2": 0.5, "h3": 0.5,
-    "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "button": -8.0,
-    "select": -8.0, "fieldset": -8.0, "label": -8.0,
+    "nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "button": -12.0,
+    "select": -12.0, "fieldset": -12.0, "label": -12.0,
 }
 ROLE = {
-    "main": 3.0, "article": 3.0, "navigation": -8.0, "banner": -8.0, "contentinfo": -8.0, "complementary": -8.0,
-    "search": -8.0, "form": -8.0, "dialog": -8.0, "alert": -8.0, "alertdialog": -8.0, "menu": -8.0, "menubar": -8.0,
-    "status": -8.0, "toolbar": -8.0, "tooltip": -8.0, "note": -2.0,
+    "main": 3.0, "article": 3.0, "navigation": -12.0, "banner": -12.0, "contentinfo": -12.0, "complementary": -12.0,
+    "search": -12.0, "form": -12.0, "dialog": -12.0, "alert": -12.0, "alertdialog": -12.0, "menu": -12.0, "menubar": -12.0,
+    "status": -12.0, "toolbar": -12.0, "tooltip": -12.0, "note": -2.0,
 }
 GOOD_WORDS = {"article", "articlebody", "body", "content", "entry", "main", "maincontent", "post", "story", "text"}
 BAD_WORDS = {
@@ -78,18 +84,22 @@ BAD_WORDS = {
     "replies", "reply", "respond", "rail", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
     "sponsor", "sponsored", "subscribe", "subscription", "tags", "toc", "toolbar", "topbar", "widget", "widgets",
 }
-GOOD_WORD, BAD_WORD, SITE_HEADER, HIDDEN = 1.5, -8.0, -8.0, -12.0
+GOOD_WORD, BAD_WORD, SITE_HEADER, HIDDEN = 1.5, -12.0, -12.0, -16.0
 LINKED = -4.0
 PER_100_CHARS, MOST_FOR_LENGTH = 0.5, 2.0
-# Smoothness by relation.
-NEXT, SIBLING, CONTAINER = 0.2, 0.4, 0.2
+# The largest cost of a block, and the odds at which it bends.
+MOST, SCALE = 2.0, 4.0
+# Smoothness by relation. Siblings are of one element and one container; a block between
+# two of them is tied by 1.6 in all.
+NEXT, SIBLING, CONTAINER = 0.3, 0.5, 0.3
 
 
 class Element:
-    __slots__ = ("name", "odds", "linked", "inside", "number")
+    __slots__ = ("name", "odds", "linked", "inside", "silent", "number")
 
-    def __init__(self, name: str, odds: float, linked: bool, inside: bool, number: int):
-        self.name, self.odds, self.linked, self.inside, self.number = name, odds, linked, inside, number
+    def __init__(self, name: str, odds: float, linked: bool, inside: bool, silent: bool, number: int):
+        self.name, self.odds, self.linked, self.inside = name, odds, linked, inside
+        self.silent, self.number = silent, number
 
 
 def _own_odds(name: str, attributes: str, inside: bool) -> float:
@@ -117,16 +127,16 @@ def _own_odds(name: str, attributes: str, inside: bool) -> float:
 
 
 class Block:
-    __slots__ = ("text", "odds", "parent", "holder")
+    __slots__ = ("text", "odds", "kind", "parent", "holder")
 
-    def __init__(self, text: str, odds: float, parent: int, holder: int):
-        self.text, self.odds, self.parent, self.holder = text, odds, parent, holder
+    def __init__(self, text: str, odds: float, kind: str, parent: int, holder: int):
+        self.text, self.odds, self.kind, self.parent, self.holder = text, odds, kind, parent, holder
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order, with their log-odds for content."""
     found: list[Block] = []
-    stack = [Element("#page", BIAS, False, False, 0)]
+    stack = [Element("#page", BIAS, False, False, False, 0)]
     parts: list[str] = []
     linked = 0
     numbers = 0
@@ -138,13 +148,13 @@ def blocks(page: str) -> list[Block]:
             at = max((i for i, e in enumerate(stack) if e.name in BLOCK), default=0)
             odds = stack[-1].odds + LINKED * min(1.0, linked / len(text))
             odds += min(MOST_FOR_LENGTH, PER_100_CHARS * len(text) / 100)
-            found.append(Block(text, odds, stack[max(at - 1, 0)].number, stack[max(at - 2, 0)].number))
+            found.append(Block(text, odds, stack[at].name, stack[max(at - 1, 0)].number, stack[max(at - 2, 0)].number))
         parts.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not stack[-1].silent:
             parts.append(text)
             if stack[-1].linked:
                 linked += len(text.strip())
@@ -172,11 +182,16 @@ def blocks(page: str) -> list[Block]:
             close(name)
             continue
         attributes = match[3] or match[6] or ""
-        if name in RAW or name in UNSHOWN:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+        if name in RAW:  # a slash does not end these, and without an end tag they hold what follows
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if name in FOREIGN and attributes.endswith("/"):
             continue
+        if name in BLOCK:
+            for foreign in FOREIGN:
+                if any(e.name == foreign for e in stack):
+                    close(foreign)
         if name in CLOSES_P:
             close("p", {"table", "td", "th", "button", "article", "section", "div"} - {name} | {"caption"})
         if name in SAME:
@@ -193,7 +208,8 @@ def blocks(page: str) -> list[Block]:
         numbers += 1
         inside = top.inside or name in ("article", "main")
         odds = top.odds + _own_odds(name, attributes, top.inside)
-        stack.append(Element(name, odds, top.linked or name == "a", inside, numbers))
+        silent = top.silent or name in SILENT
+        stack.append(Element(name, odds, top.linked or name == "a", inside, silent, numbers))
     say(page[at:])
     flush()
     return found
@@ -206,7 +222,8 @@ def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     for i, block in enumerate(found):
         if i:
             before = found[i - 1]
-            weight = NEXT + SIBLING * (block.parent == before.parent)
+            alike = block.parent == before.parent and block.kind == before.kind
+            weight = NEXT + SIBLING * alike
             result[i - 1, i] = weight
         for holder in {block.parent, block.holder}:
             if holder in last and last[holder] != i - 1:
@@ -223,15 +240,13 @@ def cut(odds: list[float], ties: dict[tuple[int, int], float]) -> list[bool]:
     for (i, j), weight in ties.items():
         near[i][j] = near[j][i] = near[i].get(j, 0.0) + weight
     label: list[bool | None] = [None] * len(z)
-    waiting = deque(range(len(z)))
-    while waiting:
-        i = waiting.popleft()
-        if label[i] is None and abs(z[i]) > sum(near[i].values()):
-            label[i] = z[i] > 0
+    for i in [i for i, own in enumerate(z) if abs(own) > sum(near[i].values())]:
+        label[i] = z[i] > 0
+    for i, side in enumerate(label):
+        if side is not None:
             for j, weight in near[i].items():
-                z[j] += weight if label[i] else -weight
-                del near[j][i]
-                waiting.append(j)
+                z[j] += weight if side else -weight
+                near[j].pop(i)
             near[i] = {}
     rest = [i for i, done in enumerate(label) if done is None]
     for i, side in zip(rest, _max_flow(rest, z, near), strict=True):
@@ -268,9 +283,14 @@ def _max_flow(nodes: list[int], z: list[float], near: list[dict[int, float]]) ->
             room[j][i] = room[j].get(i, 0.0) + least
 
 
+def costs(found: list[Block]) -> list[float]:
+    """What it costs to call each block boilerplate (above 0) or content (below)."""
+    return [MOST * math.tanh(b.odds / SCALE) for b in found]
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
-    keep = cut([b.odds for b in found], edges(found))
+    keep = cut(costs(found), edges(found))
     return "\n".join(b.text for b, kept in zip(found, keep, strict=True) if kept)
 
 
