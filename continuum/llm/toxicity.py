@@ -4,7 +4,8 @@ The classifiers are linear over hashed features of the words of a text: each low
 without punctuation at its ends, and its first three to eight letters. Only features whose share
 of texts differs between confirmed and unlabelled ones by ``MIN_Z`` standard errors are used, so
 that words of single texts are not learnt by heart; those a text has weigh the same, and have
-unit length together.
+unit length together. The shares are counted over all training rows, so the larger the table, the
+rarer a word may be that tells.
 
 Each classifier is trained on confirmed positives and on unlabelled texts (a sample of all
 training rows, whatever their label). With the class prior p, the mean logistic loss ``R`` and
@@ -17,8 +18,8 @@ down, so that it cannot be driven to minus infinity by learning the positives by
 prior is the share of positives among the labelled training rows. Scores are the mean
 probability over ``SEEDS`` classifiers that differ in order and start.
 
-Training uses about ``POSITIVES`` and ``UNLABELLED`` texts, chosen by hash; these bounds are
-parameters. Everything else reads all rows.
+The numpy trainer uses at most ``POSITIVES`` and ``UNLABELLED`` rows, those of the least hashes; these
+bounds are parameters. Everything else reads all rows.
 
 Defined results: null and empty texts have no features and get the score of the intercepts;
 rows with equal ids or equal rows are scored each; of contradicting labels of one id, a positive
@@ -36,8 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuum.llm import words
+from continuum.llm.counts import TABLE, added, slices
+from continuum.operators.joins import semi_join
 
 BITS = 20
+SLICES = 16  # rows that a table of feature counts is dealt into
 PREFIXES = range(3, 9)
 MIN_Z = 6.0
 MIN_TEXTS = 5
@@ -73,10 +77,11 @@ def features(text: str) -> np.ndarray:
     return np.unique(np.frombuffer(joined, np.int32))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """For each feature number its place among the features in use, or -1."""
-    p, u = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (positive, unlabelled))
-    n_p, n_u = len(positive), len(unlabelled)
+def telling(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int) -> np.ndarray:
+    """For each feature number its place among the features in use, or -1.
+
+    ``p`` of ``n_p`` confirmed and ``u`` of ``n_u`` unlabelled texts have the feature.
+    """
     share = (p + u) / (n_p + n_u)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_p + 1 / n_u))
     used = (np.abs(p / n_p - u / n_u) >= MIN_Z * error) & (p + u >= MIN_TEXTS)
@@ -153,7 +158,29 @@ def train(positive: Rows, unlabelled: Rows, n_features: int, prior: float, seed:
 def _extract(batches):
     for batch in batches:
         numbers = [features(t).tobytes() for t in batch["text"]]
-        yield pd.DataFrame({"positive": batch["positive"], "number": numbers})
+        yield pd.DataFrame({"chance": batch["chance"], "number": numbers})
+
+
+def _texts_with(batches):
+    """How many texts of a task have each feature, and, last, how many there are."""
+    total = np.zeros((1 << BITS) + 1, np.int64)
+    for batch in batches:
+        for text in batch["text"]:
+            total[features(text)] += 1  # the features of a text are different
+        total[-1] += len(batch)
+    yield slices(total, SLICES)
+
+
+def _counted(texts: DataFrame) -> tuple[np.ndarray, int]:
+    total = added(texts.select("text").mapInPandas(_texts_with, TABLE), SLICES)
+    return (total[:-1], int(total[-1])) if len(total) else (np.zeros(1 << BITS, np.int64), 0)
+
+
+def _sample(texts: DataFrame, n: int, of: int) -> list[np.ndarray]:
+    """Features of the ``n`` rows of the least hashes among ``of``."""
+    wide = texts.filter(F.col("chance") < min(1.0, 1.5 * n / max(of, 1) + 1e-6))
+    least = wide.mapInPandas(_extract, "chance double, number binary").orderBy("chance", "number").limit(n)
+    return [np.frombuffer(x, np.int32) for x in least.toPandas()["number"]]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -167,22 +194,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | N
     n_labelled, n_positive = marked.agg(F.count("*"), F.sum("toxic")).first()
     if not n_positive:
         return None
-    n_docs = docs.count()
     prior = min(max(n_positive / n_labelled, 1e-3), 1 - 1e-3)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    text = F.coalesce("text", F.lit("")).alias("text")
-    some = docs.filter(chance < min(1.0, UNLABELLED / max(n_docs, 1))).select(text, F.lit(False).alias("positive"))
-    chosen = marked.filter("toxic = 1").filter(chance < min(1.0, POSITIVES / n_positive)).select("doc_id")
-    confirmed = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(text, F.lit(True).alias("positive"))
-    found = some.unionByName(confirmed).mapInPandas(_extract, "positive boolean, number binary").toPandas()
-    positive, unlabelled = (
-        [np.frombuffer(n, np.int32) for n in found.loc[found["positive"] == side, "number"]] for side in (True, False)
-    )
-    if not positive or not unlabelled:
+    text = F.coalesce("text", F.lit(""))
+    chance = F.pmod(F.xxhash64("doc_id", text, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    unlabelled = docs.select("doc_id", text.alias("text"), chance.alias("chance"))
+    confirmed = semi_join(unlabelled, marked.filter("toxic = 1").select("doc_id"), "doc_id")
+    (p, n_p), (u, n_u) = _counted(confirmed), _counted(unlabelled)
+    if not n_p or not n_u:
         return None
-    places = telling(positive, unlabelled)
+    places = telling(p, n_p, u, n_u)
     n_features = int(places.max()) + 1
-    p, u = (Rows([in_use(n, places) for n in side]) for side in (positive, unlabelled))
+    chosen = (_sample(confirmed, POSITIVES, n_p), _sample(unlabelled, UNLABELLED, n_u))
+    p, u = (Rows([in_use(n, places) for n in side]) for side in chosen)
     return places, np.array([train(p, u, n_features, prior, seed) for seed in range(SEEDS)])
 
 
