@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +21,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """The rows, written once in buckets of ``keys``, so that joins on them move only the other side."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    path = fresh_path(spark, name)
-    writer = df.repartition(n, *keys).write.format("parquet").option("path", path)
-    writer.bucketBy(n, *keys).saveAsTable(table)
-    return spark.table(table)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt(df.repartition(n, *keys), name, keys)
 
 
 def dealt(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -34,13 +31,24 @@ def dealt(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("path", fresh_path(spark, name))
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(table)
-    return spark.table(table)
+    rows = spark.table(table)
+    rows.schema  # resolved now, so the catalogue entry has done its work; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
+_shipped: set[str] = set()
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package, from wherever the driver was started."""
-    environment = spark.sparkContext.environment
-    root = str(Path(__file__).resolve().parents[2])
-    paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = ":".join([root, *paths])
+    """Lets Python workers import this package: it is sent to them as an archive, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="continuum-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)

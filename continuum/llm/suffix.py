@@ -44,6 +44,7 @@ from continuum.sources.shared import cut_lineage
 LENGTH = 200
 GRAM = 72
 CHOICES = LENGTH - GRAM + 1
+MAX_POWERS = 1 << 20  # powers that a Python worker keeps; a longer text has its own
 RUN = 8
 RUNS = 1 << 5  # more than there are runs in a stretch
 _PLACE = np.uint64((1 << 31) - 1)
@@ -57,9 +58,9 @@ def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         inverse = pow(base, -1, 1 << 64)
-        have = _powers[base] = tuple(
-            np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (base, inverse)
-        )
+        have = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (base, inverse))
+        if size <= MAX_POWERS:
+            _powers[base] = have
     return have
 
 

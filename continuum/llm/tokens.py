@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 100_000  # entries of each of the two dictionaries that a Python worker keeps
 
 # Outside these characters, or at spaces that touch other white space, texts are not cut.
 _UNUSUAL = re.compile("[^\t\n\r -~¡§©«®°·»¿-ɏ‐-‧]| [ \t\n\r]|[\t\n\r] |^ | $")

@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 import xxhash
 
-MAX_WORDS = 500_000
+MAX_WORDS = 128_000  # entries of a dictionary that a Python worker keeps, some 25 MB
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
