@@ -15,7 +15,7 @@ import pytest
 from cases import prose, texts_of
 from pyspark.sql import functions as F
 
-from continuum.llm import brown, chat, html, minhash, mixing, multiset, packing, quality, suffix, tokens, toxicity, words
+from continuum.llm import counts, brown, chat, html, minhash, mixing, multiset, packing, quality, suffix, tokens, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -157,6 +157,40 @@ def test_main_text_of_a_page():
     ]
 
 
+LONG = "A paragraph that goes on for a while and says many things about the matter at hand. " * 4
+
+
+def test_the_cut_beats_the_sign():
+    """A short line without any mark of its own lies between long paragraphs, or between menus."""
+    inside = f"<div><p>{LONG}</p><div>A short line.</div><p>{LONG}</p></div>"
+    found = html.blocks(inside)
+    assert [c > 0 for c in html.costs(found)] == [True, False, True]
+    assert html.main_text(inside).split("\n") == [LONG.strip(), "A short line.", LONG.strip()]
+    menus = f"<nav><p>One</p></nav><p>Short.</p><nav><p>Two</p></nav><article><p>{LONG}</p></article>"
+    assert [c > 0 for c in html.costs(html.blocks(menus))] == [False, True, False, True]
+    assert html.main_text(menus) == LONG.strip()
+    advert = f'<article><p>{LONG}</p><p class="ad">{LONG}</p><p>{LONG}</p><section class="comments"><p>{LONG}</p></section></article>'
+    assert html.main_text(advert).split("\n") == [LONG.strip()] * 2
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>A</p><svg width=1><p>B</p></article>", "A\nB"),
+    ("<article><p>A <svg><title>no</title><text>no</text></svg>b <math><mi>x</mi></math> c</p></article>", "A b x c"),
+    ("<article><p>A <svg/>b <math/> c</p></article>", "A b c"),
+    ("<article><map name=m><p>Inside</p></map></article>", "Inside"),
+    ("<article><script src=a/>var x = 1;</script><p>A</p><script src='a.js'/>no</script></article>", "A"),
+    ("<article><p>A</p><video src=v><p>no</p></article><article><p>B</p></article>", "A\nB"),
+    ("<article><p>A</p><noscript><p>no</p></noscript><object><object>no</object>no</object><p>B</p></article>", "A\nB"),
+])
+def test_what_is_drawn_or_stands_in(page, text):
+    assert html.main_text(page) == text
+
+
+def test_a_long_page():
+    page = "<nav><a href=/>Home</a></nav><article>" + f"<p>{LONG}</p>" * 3000 + "</article><footer>End</footer>"
+    assert html.main_text(page) == "\n".join([LONG.strip()] * 3000)
+
+
 def test_cut_off_pages_never_fail():
     for end in range(0, len(PAGE), 7):
         html.main_text(PAGE[:end])
@@ -304,6 +338,69 @@ def test_scores_beat_the_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_are_those_of_the_classes(spark, monkeypatch, small):
+    """The score again from the words' classes and the texts alone, with one chunk and with many."""
+    if small:
+        for name, value in {"CHUNK_BYTES": 900, "PAGE_TOKENS": 50, "PART_BYTES": 500}.items():
+            monkeypatch.setattr(brown, name, value)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(-1, None), (-2, "unseen words only")], docs.schema)).coalesce(2)
+    train = F.col("doc_id") % 5 != 2
+    seen = {}
+    fit = brown.fit
+    monkeypatch.setattr(brown, "fit", lambda *a: seen.setdefault("made", fit(*a)))
+    rows = brown.scores(docs, train).collect()
+    check_scores(rows, texts_of(docs), lambda k: k % 5 != 2)
+    told = seen["made"].words().collect()
+    of, count = {r["word"]: r["class"] for r in told}, {r["word"]: r["c"] for r in told}
+
+    def tokens(text):
+        h = (words.hashes(text.encode().lower()) & np.uint64(brown._MASK)).view(np.int64).tolist()
+        return [*h, brown.END]
+
+    assert len({of[brown.END]}) == 1 and of[brown.END] == brown.CLASSES
+    table = np.full((brown.CLASSES + 1, brown.CLASSES + 1), brown.PRIOR)
+    for key, text in texts_of(docs):
+        if key % 5 != 2:
+            c = [brown.CLASSES, *(of[w] for w in tokens(text))]
+            np.add.at(table, (c[:-1], c[1:]), 1)
+    mass, different = collections.Counter(), collections.Counter()
+    for w, c in count.items():
+        mass[of[w]] += c
+        different[of[w]] += c > 0
+    want = collections.Counter()
+    for key, text in texts_of(docs):
+        before, score = brown.CLASSES, 0.0
+        for w in tokens(text):
+            c = of[w]
+            score += math.log10(table[before, c] / table[before].sum())
+            if c != brown.CLASSES:
+                score += math.log10((count[w] + 1) / (mass[c] + different[c] + 1))
+            before = c
+        want[key, round(score, 6)] += 1
+    assert want == collections.Counter((r.doc_id, round(r.score, 6)) for r in rows)
+
+
+def test_packed_counts():
+    for kind in ("u1", "<u2", "<u4", "<i8"):
+        for n in (1, 7, 1000):
+            x = np.random.default_rng(n).integers(0, 200, n)
+            assert (counts.unpacked(counts.packed(x, kind), kind) == x).all()
+
+
+def test_added_tables(spark):
+    rows = spark.range(0, 300, 1, 150)
+
+    def make(batches):
+        for batch in batches:
+            for i in batch["id"]:
+                yield counts.slices(np.arange(10) * i, 3)
+
+    assert counts.added(rows.mapInPandas(make, counts.TABLE), 3).tolist() == [44850 * i for i in range(10)]
+    assert not len(counts.added(rows.filter("id < 0").mapInPandas(make, counts.TABLE), 3))
+
+
 def test_gains_are_those_of_the_likelihood():
     rng = np.random.default_rng(1)
     pairs, of = rng.poisson(0.7, (21, 21)).astype(float), np.append(np.arange(20) % 4, 4)
@@ -333,7 +430,7 @@ def test_classes_of_words_that_are_not_frequent(spark, monkeypatch):
     fit = brown.fit
     monkeypatch.setattr(brown, "fit", lambda *a: seen.setdefault("made", fit(*a)))
     check_scores(brown.scores(docs, F.lit(True)).collect(), texts_of(docs), lambda k: True)
-    of = {r["word"]: r["class"] for r in seen["made"][1].collect()}
+    of = {r["word"]: r["class"] for r in seen["made"].words().collect()}
     hashed = lambda ws: {of[int(x)] for x in (words.hashes(" ".join(ws).encode()) & brown._MASK).view(np.int64)}
     assert not hashed(kinds[0]) & hashed(kinds[1])
 
