@@ -125,8 +125,8 @@ def _spelled(keys: list[str], texts: list[str]) -> dict[bytes, int]:
 
 def _count(min_length: int):
     def frame(total: dict[bytes, int]) -> pd.DataFrame:
-        words = [w.decode("latin-1") for w in total]
-        return pd.DataFrame({"word": words, "n": list(total.values())})
+        rows = [(w.decode("latin-1"), c) for w, c in total.items()]
+        return pd.DataFrame(rows, columns=["word", "n"])
 
     def run(batches):
         total: dict[bytes, int] = {}

@@ -240,7 +240,7 @@ def check_groups(docs, **options):
 def test_variants(spark):
     """Few letters, so words are near in all ways: at their ends, in repeats, in chains of forms."""
     rng = random.Random(7)
-    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(5, 10))) for _ in range(120)]
+    words = ["".join(rng.choice("aé") for _ in range(rng.randrange(5, 9))) for _ in range(200)]
     words += ["aaaaaa", "aaaaaaa", "aaaaaaaa", "ababab", "bababa", "abababa", "Ñandué", "ñanduéé", "xabcdef", "abcdef", "abcdefx"]
     chosen = [w for w in words for _ in range(int(min(400, 2 * rng.paretovariate(0.5))))]
     rng.shuffle(chosen)
