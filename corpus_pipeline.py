@@ -4,6 +4,11 @@ The stages clean lines and drop poor documents, keep one document of each near-d
 cut out long strings that occur more than once, repeat sources towards their weights, and pack
 what is left. The first four return the columns of ``documents``; a text whose parts were
 removed keeps its row, and ``n_chars`` follows the text.
+
+Defined results: a null or empty text fails the quality rules and goes, as do texts of under 20
+words; equal documents, whatever their ids, are one class and the least id stays, of equal rows
+one; null ids and null sources pass through, a null source being a source of its own; columns
+beyond those of ``documents`` are kept until packing; an empty table gives no sequences.
 """
 
 from __future__ import annotations
