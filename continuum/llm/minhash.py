@@ -10,10 +10,15 @@ narrow strips only and a short one throws many darts per cell.
 
 Equal texts are one node from the start. Nodes that share a band are candidates, and whole texts
 decide. First all members of a band group are compared with its leader. Where a group then still
-holds several classes, the members outside its largest class are compared with all members by
-an inverted index of cells, in blocks of bounded size, and only the links that join classes are
-kept. So no link between classes is lost among candidates, and pairs within a class are not
-formed.
+holds several classes, it is split by size: texts are alike only if their numbers of windows
+are within the threshold of each other, so a member meets those of its own and the next band of
+sizes. In what then still holds several classes, the members outside the largest class are compared
+with all members by an inverted index of cells, in blocks of bounded size, and only the links that
+join classes are kept. So no link between classes is lost among candidates, and pairs within a
+class are not formed.
+
+The threshold is a parameter; the bands are made for 0.8, where a pair is missed with probability
+3e-6 (at 0.7 with 2e-3, at 0.6 with 4e-2).
 
 Defined results: a null text is empty; empty texts are one class; texts of fewer than five
 words are alike only if their words are; rows with equal ids or wholly equal rows are rows of
@@ -43,7 +48,8 @@ BANDS = 24  # with 4 coordinates each, a pair at 0.8 is missed with probability
 ROWS = 4
 FIRST_STRIP = 2.0**-5
 BLOCK = 2000
-MAX_CELLS = 1 << 20
+SALTS = 16
+MAX_CELLS = 1 << 18  # cells that are signed together
 
 
 @cache
@@ -143,11 +149,14 @@ def _signed(docs: DataFrame) -> DataFrame:
     return texts.mapInPandas(sign, "node binary, n long, bands array<long>")
 
 
-@F.pandas_udf(BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [similarity(x.encode(), y.encode()) >= THRESHOLD for x, y in zip(a, b, strict=True)], dtype=bool
-    )
+def _alike(threshold: float):
+    @F.pandas_udf(BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(
+            [similarity(x.encode(), y.encode()) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool
+        )
+
+    return alike
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -176,36 +185,53 @@ def shared_cells(texts: list[np.ndarray], some: np.ndarray) -> np.ndarray:
     return result
 
 
-def _join_groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """Enough links to join what is alike in a band group, beyond what is joined already."""
-    texts = [cells(words.shingles(t.encode(), SHINGLE)) for t in rows["text"]]
-    group = pd.factorize(rows["comp"])[0]
-    outside = np.flatnonzero(group != np.bincount(group).argmax())  # the largest class is joined
-    n = np.array([len(c) for c in texts])
-    nodes = rows["node"].to_numpy()
-    found = []
-    for start in range(0, len(outside), 256):
-        some = outside[start : start + 256]
-        both = shared_cells(texts, some)
-        alike = both >= THRESHOLD * (n[some][:, None] + n[None, :] - both)
-        for i, j in zip(*np.nonzero(alike), strict=True):
-            one, other = group[some[i]], group[j]
-            if one != other:
-                group[group == one] = other
-                found.append((nodes[some[i]], nodes[j]))
-    return pd.DataFrame(found, columns=["a", "b"])
+def _join_groups(threshold: float):
+    """Enough links to join what is alike in a group, beyond what is joined already."""
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = [cells(words.shingles(t.encode(), SHINGLE)) for t in rows["text"]]
+        group = pd.factorize(rows["comp"])[0]
+        outside = np.flatnonzero(group != np.bincount(group).argmax())  # the largest class is joined
+        n = np.array([len(c) for c in texts])
+        own = rows["own"].to_numpy(bool)
+        nodes = rows["node"].to_numpy()
+        found = []
+        for start in range(0, len(outside), 256):
+            some = outside[start : start + 256]
+            both = shared_cells(texts, some)
+            alike = both >= threshold * (n[some][:, None] + n[None, :] - both)
+            # Two members of the band of sizes below meet in their own group.
+            for i, j in zip(*np.nonzero(alike & (own[some][:, None] | own[None, :])), strict=True):
+                one, other = group[some[i]], group[j]
+                if one != other:
+                    group[group == one] = other
+                    found.append((nodes[some[i]], nodes[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return join
+
+
+def _by_size(named: DataFrame, threshold: float) -> DataFrame:
+    """``key, size`` groups: each member in the group of its band of sizes (``own``) and in the next."""
+    band = F.floor(F.log("n") / (math.log(1 / threshold) * (1 + 1e-9))).cast("int") if threshold < 1 else F.col("n").cast("int")
+    return named.withColumn("_band", band).select(
+        "key", "node", "comp", F.inline(F.array(
+            F.struct(F.col("_band").alias("size"), F.lit(True).alias("own")),
+            F.struct((F.col("_band") + 1).alias("size"), F.lit(False).alias("own")),
+        )),
+    )
 
 
 def _unsettled(group: DataFrame) -> DataFrame:
-    """``key, c``: band groups with members of several classes, one of each with equal members."""
-    kinds = group.groupBy("key").agg(
-        F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+    """``key, size, c``: groups with members of several classes, one of each with equal members."""
+    kinds = group.groupBy("key", "size").agg(
+        F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("any_own"),
+        F.sum(F.xxhash64("node", "own").cast("decimal(38,0)")).alias("members"),
     )
-    return kinds.filter("low <> high").groupBy("c", "members").agg(F.min("key").alias("key"))
+    return kinds.filter("low <> high AND any_own").groupBy("c", "members").agg(F.min(F.struct("key", "size")).alias("g")).select("g.*", "c")
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``node, root`` for each different text that is linked to a lesser one."""
     signed = cut_lineage(_signed(docs).groupBy("node").agg(F.min("n").alias("n"), F.min("bands").alias("bands")))
     rows = signed.select("node", "n", F.explode("bands").alias("key"))
@@ -217,7 +243,7 @@ def links(docs: DataFrame) -> DataFrame:
     chosen = group.groupBy("key").agg(F.min(order).alias("lead"))
     lead = chosen.select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "n")])
     led = group.join(lead.hint("merge"), "key").filter("node <> lead_node")
-    near = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * THRESHOLD
+    near = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * threshold
     pairs = led.filter(near).select(
         F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")
     ).distinct()
@@ -225,48 +251,62 @@ def links(docs: DataFrame) -> DataFrame:
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     linked = (
         pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-        .filter(_alike("text_a", "text_b")).select("a", "b")
+        .filter(_alike(threshold)("text_a", "text_b")).select("a", "b")
     )
     forest = components(linked)
     # Then, within the groups that still hold several classes, everyone outside the largest
     # class against all. Leaders have been compared and stay out. A large group is dealt into
     # blocks, and each pair of blocks is a group of its own.
     named = cut_lineage(
-        led.select("key", "node").join(forest.hint("merge"), "node", "left")
-        .select("key", "node", F.coalesce("root", "node").alias("comp"))
+        led.select("key", "node", "n").join(forest.hint("merge"), "node", "left")
+        .select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
     )
+    sized = _by_size(named, threshold)
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
     dealt = (
-        named.join(_unsettled(named).hint("merge"), "key")
+        sized.join(_unsettled(sized).hint("merge"), ["key", "size"])
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "comp")
+        .select(
+            "key", "size", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "comp", "own"
+        )
     )
-    more = dealt.join(texts.hint("merge"), "node").groupBy("key", "x", "y").applyInPandas(
-        _join_groups, "a binary, b binary"
+    more = dealt.join(texts.hint("merge"), "node").groupBy("key", "size", "x", "y").applyInPandas(
+        _join_groups(threshold), "a binary, b binary"
     )
     return components(forest.toDF("a", "b").unionByName(more))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_members``: the least id of the class, and its number of rows."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id, n_members``: the least id of the class, and its number of rows.
+
+    Rows are counted by text and texts by class, so a class is as many rows as it has different
+    texts; what is known of a class goes back to them in ``SALTS`` parts.
+    """
     members = docs.select("doc_id", node_of(F.col("text")).alias("node"))
-    named = members.join(links(docs).hint("merge"), "node", "left").select(
-        "doc_id", F.coalesce("root", "node").alias("class")
+    per_node = members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    salt = F.when(F.col("root").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    named = cut_lineage(
+        per_node.join(links(docs, threshold).hint("merge"), "node", "left").select(
+            "node", "least", "rows", F.coalesce("root", "node").alias("class"), salt.alias("salt")
+        )
     )
     totals = named.groupBy("class").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("n_members")
+        F.min("least").alias("class_id"), F.sum("rows").alias("n_members"), F.count("*").alias("texts")
     )
-    return named.join(totals.hint("merge"), "class").select("doc_id", "class_id", "n_members")
+    parts = F.when(F.col("texts") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = totals.select("class", "class_id", "n_members", F.explode(parts).alias("salt"))
+    told = named.join(salted.hint("merge"), ["class", "salt"]).select("node", "class_id", "n_members")
+    return members.join(told.hint("merge"), "node").select("doc_id", "class_id", "n_members")
 
 
-def one_per_class(docs: DataFrame) -> DataFrame:
+def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that of the least id; the columns of ``docs``."""
     packed = docs.select(F.struct("*").alias("_doc"), node_of(F.col("text")).alias("_node"))
     keyed = packed.withColumn("_id", F.col("_doc.doc_id"))
     members = docs.select("doc_id", node_of(F.col("text")).alias("node")).distinct()
-    named = members.join(links(docs).hint("merge"), "node", "left")
+    named = members.join(links(docs, threshold).hint("merge"), "node", "left")
     least = F.min(F.struct("doc_id", "node")).alias("first")
     chosen = named.groupBy(F.coalesce("root", "node")).agg(least).select("first.*")
     same = (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("doc_id"))

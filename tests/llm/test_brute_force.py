@@ -565,7 +565,7 @@ def test_repeats_of_every_kind(spark):
 # --- 9: near duplicates ------------------------------------------------------------------
 
 
-def plain_classes(texts):
+def plain_classes(texts, threshold=0.8):
     parent = list(range(len(texts)))
 
     def root(i):
@@ -577,7 +577,7 @@ def plain_classes(texts):
     for i, j in itertools.combinations(range(len(texts)), 2):
         both = sum((bags[i] & bags[j]).values())
         either = sum((bags[i] | bags[j]).values())
-        if texts[i][1] == texts[j][1] or (either and both / either >= 0.8):
+        if texts[i][1] == texts[j][1] or (either and both / either >= threshold):
             a, b = sorted((root(i), root(j)))
             parent[b] = a
     members = collections.defaultdict(list)
@@ -608,13 +608,16 @@ def test_near_duplicate_groups(spark, monkeypatch):
             text = list(base)
             for _ in range(rng.randint(0, 12)):
                 text[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
-            rows.append((len(rows), " ".join(text)))
+            rows.append((len(rows), " ".join(text[: rng.choice([150, 150, rng.randrange(115, 150)])])))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = plain_classes(rows)
     assert 3 < len({r[1] for r in want}) < 200
     assert tally(minhash.classes(docs).collect()) == want
     monkeypatch.setattr(minhash, "BLOCK", 16)
     assert tally(minhash.classes(docs).collect()) == want
+    wider = plain_classes(rows, 0.7)
+    assert len({r[1] for r in wider}) < len({r[1] for r in want})
+    assert tally(minhash.classes(docs, 0.7).collect()) == wider
 
 
 def test_darts_estimate_similarity():
