@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuum.llm import tokens
+from continuum.llm.words import lots
 from continuum.sources.shared import cut_lineage
 
 BUDGET = 2048
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, budget: int = BUDGET, vocabulary: str | None = None)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens.encoder(vocabulary)
-        for batch in batches:
+        for batch in lots(batches):
             rows = []
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 ids = encoder.ids(text or "") + end

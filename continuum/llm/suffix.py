@@ -161,7 +161,7 @@ def _frame(columns: dict[str, list[np.ndarray]]) -> pd.DataFrame:
 
 
 def _find_anchors(batches):
-    for batch in batches:
+    for batch in words.lots(batches):
         out = {"uid": [], "at": [], "rank": [], "stretch": []}
         for uid, text in zip(batch["uid"], batch["text"], strict=True):
             a = Anchors(text.encode())
@@ -176,7 +176,7 @@ def _visit(of, names):
     """For texts with a list of numbers each: what ``of`` an ``Anchors`` finds for the list."""
 
     def find(batches):
-        for batch in batches:
+        for batch in words.lots(batches):
             out = {"uid": [], **{n: [] for n in names}}
             for uid, text, at in zip(batch["uid"], batch["text"], batch["at"], strict=True):
                 found = of(Anchors(text.encode()), np.sort(np.asarray(at, np.int64)))
@@ -192,7 +192,7 @@ def _cut(batches):
     def numbers(x) -> np.ndarray:
         return np.asarray([] if x is None else x, np.int64)
 
-    for batch in batches:
+    for batch in words.lots(batches):
         rows = []
         for node, text, at, runs, start in zip(
             *(batch[c] for c in ("node", "text", "at", "runs", "starts")), strict=True

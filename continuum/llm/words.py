@@ -59,3 +59,10 @@ def shingles(data: bytes, width: int) -> np.ndarray:
     for k in range(width):
         total += h[k : len(h) - width + 1 + k] * multiple(2 * k + 1)
     return mix(total + np.uint64(width))
+
+
+def lots(batches, rows: int = 1000):
+    """The batches in lots of so many rows: what is made of a batch need not be held all at once."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
