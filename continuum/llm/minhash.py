@@ -18,7 +18,7 @@ join classes are kept. So no link between classes is lost among candidates, and
 class are not formed.
 
 The threshold is a parameter; the bands are made for 0.8, where a pair is missed with probability
-3e-6 (at 0.7 with 2e-3, at 0.6 with 4e-2).
+3e-6 (at 0.7 with 1.4e-3, at 0.6 with 4e-2).
 
 Defined results: a null text is empty; empty texts are one class; texts of fewer than five
 words are alike only if their words are; rows with equal ids or wholly equal rows are rows of

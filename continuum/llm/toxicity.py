@@ -36,11 +36,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from continuum.llm import words
 from continuum.llm.counts import TABLE, added, slices
 from continuum.operators.joins import semi_join
 
 BITS = 20
+MAX_WORDS = 500_000  # entries of the dictionary that a Python worker keeps, some 110 MB
 SLICES = 16  # rows that a table of feature counts is dealt into
 PREFIXES = range(3, 9)
 MIN_Z = 6.0
@@ -59,7 +59,7 @@ class Features(dict):
     """Word to its feature numbers as bytes; emptied when it grows too large."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= words.MAX_WORDS:
+        if len(self) >= MAX_WORDS:
             self.clear()
         bare = word.lower().strip(_EDGE)
         parts = {"=" + bare} | {bare[:k] for k in PREFIXES if len(bare) >= k}
