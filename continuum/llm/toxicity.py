@@ -30,6 +30,7 @@ one counts; null ids have no label; without a positive or a labelled training ro
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,7 @@ EPOCHS = 20
 BATCH = 400
 RATE = 0.05
 DECAY = 1e-5
+_LAST = (1 << BITS) - 1
 _EDGE = ".,;:!?\"'()[]*#$%&|-_…“”‘’«»¡¿"
 
 
@@ -62,9 +64,13 @@ class Features(dict):
         if len(self) >= MAX_WORDS:
             self.clear()
         bare = word.lower().strip(_EDGE)
-        parts = {"=" + bare} | {bare[:k] for k in PREFIXES if len(bare) >= k}
-        numbers = sorted(zlib.crc32(p.encode("utf-8", "replace")) & ((1 << BITS) - 1) for p in parts)
-        self[word] = value = np.array(numbers if bare else [], np.int32).tobytes()
+        data = bare.encode("utf-8", "replace")
+        if len(data) == len(bare):  # one byte a character
+            parts = [data[:k] for k in PREFIXES if len(data) >= k]
+        else:
+            parts = [bare[:k].encode("utf-8", "replace") for k in PREFIXES if len(bare) >= k]
+        numbers = [zlib.crc32(x) & _LAST for x in (b"=" + data, *parts)] if bare else []
+        self[word] = value = array("i", numbers).tobytes()
         return value
 
 
@@ -73,7 +79,7 @@ _features = Features()
 
 def features(text: str) -> np.ndarray:
     """The different feature numbers of a text, ascending."""
-    joined = b"".join(map(_features.__getitem__, text.split()))
+    joined = b"".join(map(_features.__getitem__, set(text.split())))
     return np.unique(np.frombuffer(joined, np.int32))
 
 
