@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from continuum.config import StudyConfig
 from continuum.operators.completions import gather_samples
+from continuum.operators.requests import by_lot
 from continuum.sources.catalogue import COMPARISON_GROUPS, RUNS, GroupMember, Run, group_members
 
 PAIR_SIDES = ("left", "right")
@@ -42,7 +43,7 @@ def align(
     )
     bags = (
         answers.join(groups, "run")
-        .groupBy("group_id", "story_id", "position")
+        .groupBy(*by_lot(cleaned), "group_id", "story_id", "position")
         .agg(F.collect_list(F.struct("ord", "samples")).alias("bag"))
     )
     aligned = bags.select(
