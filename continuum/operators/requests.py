@@ -31,13 +31,15 @@ def by_lot(*tables: DataFrame) -> list[str]:
 
 
 def lot_keys(*tables: DataFrame) -> list[str]:
-    """The keys of a request; by lot and story first where there are lots, as one sort then serves stories too."""
-    return [LOT, "story_id", "run", "position"] if by_lot(*tables) else KEYS
+    """The keys of a request; by lot, story and cut first where there are lots, as one sort then serves those too."""
+    return [LOT, "story_id", "position", "run"] if by_lot(*tables) else KEYS
 
 
 def deal(rows: DataFrame, partitions: int | None) -> DataFrame:
     """Rows in so many partitions by lot; None leaves them where they are.
 
+    Lots that are ``int`` are numbers of partitions (modulo their count), so lots as even as they are give even
+    partitions; others are hashed.
     By default Spark takes tables for a join as lying right only if they lie by all keys of the join. The session
     is told here that the lot, one of the keys, is enough, and that sorted rows are grouped as they go by.
     """
@@ -45,7 +47,8 @@ def deal(rows: DataFrame, partitions: int | None) -> DataFrame:
         return rows
     rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
-    return rows.repartition(partitions, LOT)
+    numbered = dict(rows.dtypes)[LOT] == "int"
+    return rows.repartitionById(partitions, LOT) if numbered else rows.repartition(partitions, LOT)
 
 
 def with_token_counts(rows: DataFrame, counts: DataFrame | None) -> DataFrame:
