@@ -28,7 +28,7 @@ def align(
     """``(group_id, story_id, position, <side> array<string>...)`` where every side is present.
 
     ``cleaned`` holds one row per sample; ``config`` tells how many a request has. Deliveries fold per request first; one more
-    aggregation over at most one row per side replaces a self-join per side. The group table is
+    aggregation over at most one row per cut and member replaces a self-join per side. The group table is
     configuration and broadcast.
     """
     numbers = {m.run_no for m in members if m.kind == kind}
@@ -41,23 +41,25 @@ def align(
         by=["story_id", "position"],
         usual=len(compared) * config.n_continuations,
     )
+    # A cut's answers are in one place and in order: nothing is sorted again for its groups.
     bags = (
         answers.join(groups, "run")
-        .groupBy(*by_lot(cleaned), "group_id", "story_id", "position")
-        .agg(F.collect_list(F.struct("ord", "samples")).alias("bag"))
+        .groupBy(*by_lot(cleaned), "story_id", "position")
+        .agg(F.collect_list(F.struct("group_id", "ord", "samples")).alias("bag"))
     )
-    aligned = bags.select(
-        "group_id",
-        "story_id",
-        "position",
-        *[_side(i).alias(side) for i, side in enumerate(sides, start=1)],
+    per_group = F.transform(
+        F.array_distinct("bag.group_id"),
+        lambda g: F.struct(
+            g.alias("group_id"), *[_side(g, i).alias(side) for i, side in enumerate(sides, start=1)]
+        ),
     )
+    aligned = bags.select("story_id", "position", F.inline(per_group)).select("group_id", "story_id", "position", *sides)
     present = [F.size(side) > 0 for side in sides]
     return aligned.filter(reduce(Column.__and__, present))
 
 
-def _side(ord_: int) -> Column:
-    mine = F.filter("bag", lambda b: b["ord"] == ord_)
+def _side(group: Column, ord_: int) -> Column:
+    mine = F.filter("bag", lambda b: (b["group_id"] == group) & (b["ord"] == ord_))
     return F.flatten(F.transform(mine, lambda b: b["samples"]["continuation"]))
 
 

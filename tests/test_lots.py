@@ -14,6 +14,7 @@ from continuum.plans import study
 from continuum.sources import results
 from continuum.sources.catalogue import RUNS
 from tests.conftest import plan_of
+from workload import fixtures, queries
 
 TEXT = " ".join(f"S{i} word here." for i in range(10))
 N = 3
@@ -58,6 +59,40 @@ def test_lots_change_no_row_and_move_no_sample(tables, name):
     assert not re.findall(r"hashpartitioning\((?!lot#\d+L?, 3\)|run#\d+,)[^\n]*", plan_of(dealt))
 
 
+def test_a_cut_is_grouped_without_sorting_its_texts_again(tables):
+    raw = deal(lot(tables[1]), N)
+    plan = plan_of(compare.compare_pairs(completions.clean_completions(raw), CURRENT))
+    assert plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan
+
+
+def test_lots_that_are_numbers_get_a_partition_each(spark):
+    rows = deal(spark.range(40).select((F.col("id") % 8).cast("int").alias("lot"), "id"), 8)
+    found = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("lot").alias("n"), F.first("lot").alias("lot"))
+    assert sorted(map(tuple, found.collect())) == [(i, 1, i) for i in range(8)]
+
+
+@pytest.mark.parametrize("n_turns", [3, 45, 400])
+def test_lots_are_even_partitions_whatever_the_turns(spark, tmp_path, n_turns):
+    ids = spark.range(1600).selectExpr("id AS doc_id", "'t' AS text")
+    ids.write.parquet(str(tmp_path / "documents.parquet"))
+    turns = spark.range(n_turns).selectExpr("id AS conv_id", "0L AS turn", "'assistant' AS role", "'t' AS text")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    n = fixtures.partitions(spark, str(tmp_path))
+    stories = ids.select(F.col("doc_id").cast("string").alias("story_id"))
+    lots = fixtures.with_lot(spark, str(tmp_path), stories).groupBy("lot").count().collect()
+    assert {r["lot"] for r in lots} == set(range(n)) and max(r["count"] for r in lots) < 2 * 1600 / n
+    # A lot has the stories of one stretch of turns.
+    first = F.pmod(F.col("story_id").cast("long") * 20, F.lit(n_turns))
+    ends = fixtures.with_lot(spark, str(tmp_path), stories).groupBy("lot").agg(F.max(first) - F.min(first)).collect()
+    assert max(r[1] for r in ends) <= n_turns // max(1, min(n, n_turns // 20)) + 1
+
+
+def test_texts_of_completions_are_never_sorted(spark, sf):
+    plan = plan_of(queries.compare_pairs(spark, sf))
+    above, _, below = plan.partition("ShuffledHashJoin")
+    assert below and "Sort [" not in above and "Exchange" not in above.replace("BroadcastExchange", "")
+
+
 def test_checks_in_one_pass_equal_those_apart(tables):
     stories, raw, _ = tables
     open_ = study.open_requests(stories)
