@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from continuum.config import StudyConfig
 from continuum.operators.completions import gather_samples
-from continuum.operators.requests import by_lot
+from continuum.operators.requests import by_lot, groups_in_order
 from continuum.sources.catalogue import COMPARISON_GROUPS, RUNS, GroupMember, Run, group_members
 
 PAIR_SIDES = ("left", "right")
@@ -41,12 +41,11 @@ def align(
         by=["story_id", "position"],
         usual=len(compared) * config.n_continuations,
     )
+    cut, members_of = [*by_lot(cleaned), "story_id", "position"], answers.join(groups, "run")
     # A cut's answers are in one place and in order: nothing is sorted again for its groups.
-    bags = (
-        answers.join(groups, "run")
-        .groupBy(*by_lot(cleaned), "story_id", "position")
-        .agg(F.collect_list(F.struct("group_id", "ord", "samples")).alias("bag"))
-    )
+    if by_lot(cleaned) and groups_in_order(cleaned.sparkSession):
+        members_of = members_of.sortWithinPartitions(*cut)
+    bags = members_of.groupBy(*cut).agg(F.collect_list(F.struct("group_id", "ord", "samples")).alias("bag"))
     per_group = F.transform(
         F.array_distinct("bag.group_id"),
         lambda g: F.struct(

@@ -11,6 +11,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from continuum.config import CURRENT, OLD
+from continuum.functions import text
 from continuum.functions.text import WHITESPACE
 from continuum.operators import checks, compare, completions, progress
 from continuum.operators.requests import KEYS
@@ -371,3 +372,22 @@ def test_expected_constants():
     assert len(RUNS) == 20 and {r.max_tokens_mult for r in RUNS if r.thinking} == {2.0}
     assert sum(r.thinking for r in RUNS) == 6 and {r.max_tokens_mult for r in RUNS if not r.thinking} == {1.3}
     assert len(WHITESPACE) == 29 and all(c.isspace() for c in WHITESPACE)
+
+
+def test_cleaning_in_steps_equals_the_single_expression(spark):
+    run = THINKS
+    texts = [
+        None, "", " ", "a ", "a\u00a0", "a\u3000\u2003 ", "a\u0085", "\u1680a\u3002", "é", "à", "x\u202f", "x\u205f", "x\u2029",
+        "<think>a</think> b ", "<THINK>a</Think>", "a</think>b</think> c\t", "x <think>a</think> ", "<think>open ", "a</b> ",
+        "p<<think>q</think>/think>z ", "</thi<think>x</think>nk> y", "<thınK>x</THİNK> y",
+    ]
+    rows = [(r, str(i), 1, 0, t) for r in (run, PLAIN) for i, t in enumerate(texts)]
+    raw = spark.createDataFrame(rows, RAW)
+    t = F.col("raw_text")
+    paired = F.regexp_replace(t, f"(?s){text.THINK_OPEN}.*?{text.THINK_CLOSE}", "")
+    answer = F.when(F.col("run") == run, F.element_at(F.split(paired, text.THINK_CLOSE, 2), -1)).otherwise(t)
+    plain = raw.select("run", "story_id", F.trim(answer, F.lit(text.WHITESPACE)).alias("c"))
+    cleaned = completions.clean_completions(raw)
+    assert sorted(map(str, cleaned.select("run", "story_id", F.col("continuation").alias("c")).collect())) == sorted(map(str, plain.collect()))
+    plan = plan_of(cleaned.filter("story_id = '1'"))
+    assert plan.count("regexp_replace") == 1 and "cast(_answer" in plan  # the end is told from one byte
