@@ -65,6 +65,18 @@ def test_a_cut_is_grouped_without_sorting_its_texts_again(tables):
     assert plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan
 
 
+def test_sorted_samples_are_folded_in_one_step(spark, sf):
+    plan = plan_of(queries.nest_story(spark, sf))
+    assert "partial_min(" not in plan.partition("ShuffledHashJoin")[0] and "ObjectHashAggregate" not in plan
+    assert "min(CASE" in plan
+
+
+def test_a_record_is_told_complete_before_it_is_built(spark, sf):
+    plan = plan_of(queries.nest_story(spark, sf))
+    condition = next(line for line in plan.splitlines() if "- Filter forall(" in line)
+    assert ".prefix," not in condition
+
+
 def test_lots_that_are_numbers_get_a_partition_each(spark):
     rows = deal(spark.range(40).select((F.col("id") % 8).cast("int").alias("lot"), "id"), 8)
     found = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("lot").alias("n"), F.first("lot").alias("lot"))
@@ -93,6 +105,11 @@ def test_texts_of_completions_are_never_sorted(spark, sf):
     assert below and "Sort [" not in above and "Exchange" not in above.replace("BroadcastExchange", "")
 
 
+def test_faults_are_drawn_by_compiled_steps(spark, sf):
+    plan = plan_of(fixtures.all_completions(spark, sf, queries.open_in_lots(spark, sf)))
+    assert "Generate inline(" not in plan.partition("Sort [")[2].partition("Generate explode")[0]
+
+
 def test_checks_in_one_pass_equal_those_apart(tables):
     stories, raw, _ = tables
     open_ = study.open_requests(stories)
